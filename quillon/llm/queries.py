@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.chunk_bpe import encode_and_decode
 from quillon.llm.common import read_table
+from quillon.llm.digest import fingerprints
 from quillon.llm.packing import pack_documents
+from quillon.llm.secrets import scan
+from quillon.llm.simhash import near_duplicates
 from quillon.llm.token_files import round_trip
+from quillon.llm.urls import judge
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +24,39 @@ def op2_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(read_table(spark, sf_dir, "documents"))
 
 
+def op3_canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_addressable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op10_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = (
+    op1_best_fit_packing,
+    op2_chunk_reuse_bpe,
+    op3_canonical_digests,
+    op4_simhash_bit_planes,
+    op7_linked_secrets,
+    op9_addressable_token_files,
+    op10_url_association_rules,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_chunk_reuse_bpe, op9_addressable_token_files)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
