@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.chunk_bpe import encode_and_decode
 from quillon.llm.common import read_table
 from quillon.llm.digest import fingerprints
+from quillon.llm.line_crf import classify
 from quillon.llm.packing import pack_documents
+from quillon.llm.quality_rules import judge as judge_quality
 from quillon.llm.secrets import scan
 from quillon.llm.simhash import near_duplicates
 from quillon.llm.token_files import round_trip
-from quillon.llm.urls import judge
+from quillon.llm.urls import judge as judge_urls
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,16 +34,24 @@ def op4_simhash_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_addressable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
 def op10_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read_table(spark, sf_dir, "pages"))
+    return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
 QUERIES = (
@@ -49,7 +59,9 @@ QUERIES = (
     op2_chunk_reuse_bpe,
     op3_canonical_digests,
     op4_simhash_bit_planes,
+    op6_ngram_quality_rules,
     op7_linked_secrets,
+    op8_line_crf_quality,
     op9_addressable_token_files,
     op10_url_association_rules,
 )
