@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.chunk_bpe import encode_and_decode
 from quillon.llm.common import read_table
 from quillon.llm.digest import fingerprints
+from quillon.llm.html_text import extract
 from quillon.llm.line_crf import classify
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality_rules import judge as judge_quality
@@ -34,6 +35,10 @@ def op4_simhash_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_tree_model_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ QUERIES = (
     op2_chunk_reuse_bpe,
     op3_canonical_digests,
     op4_simhash_bit_planes,
+    op5_tree_model_html,
     op6_ngram_quality_rules,
     op7_linked_secrets,
     op8_line_crf_quality,
