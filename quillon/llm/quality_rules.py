@@ -89,26 +89,37 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataF
 
 
 def rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR) -> DataFrame:
-    """Every column of ``docs`` (doc_id, text, ...) with the counts, the score and the verdict behind them."""
+    """Every column of ``docs`` (doc_id, text, ...) with the counts, the score and the verdict behind them.
+
+    All of a row's values come from one expression that binds each intermediate array once, so a filter on the verdict,
+    which Spark moves below the projection, does not evaluate them again.
+    """
     fitted = weights(docs, labels).first()["w"]
     table = F.split(F.lit(" ".join(map(repr, fitted))), " ").cast("array<double>")  # folds to one constant
-    rows = docs.withColumn("_words", words(F.col("text"))).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("_windows", window_hashes(F.col("_hashes"))).withColumn("_grams", ngrams(F.col("_hashes")))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(VISIBLE))
-    total = F.aggregate("_grams", F.lit(0.0), lambda acc, g: acc + F.get(table, g))
-    n = F.size("_words").cast("long")
-    rows = rows.select(
-        *[c for c in docs.columns if c not in COUNTS],
-        n.alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_windows")).cast("long").alias("n_repeat_words"),
-        F.coalesce(total / F.nullif(F.size("_grams"), F.lit(0)), F.lit(0.0)).alias("llr"),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= min_llr))
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        kept = ~failed & (c["llr"] >= min_llr)
+        return F.struct(*[c[k].alias(k) for k in COUNTS[:6]], failed.alias("base_failed"), kept.alias("kept"))
+
+    def counts(ws: Column, hashes: Column) -> Column:
+        total = F.aggregate(ngrams(hashes), F.lit(0.0), lambda acc, g: acc + F.get(table, g))
+        return F.struct(
+            F.size(ws).cast("long").alias("n_words"),
+            F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
+            let(window_hashes(hashes), repeat_words).cast("long").alias("n_repeat_words"),
+            F.coalesce(total / F.nullif(2 * F.size(hashes), F.lit(0)), F.lit(0.0)).alias("llr"),
+        )
+
+    def all_of(ws: Column) -> Column:
+        return let(let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hashes: counts(ws, hashes)), verdict)
+
+    rows = docs.select(*[c for c in docs.columns if c not in COUNTS], let(words(F.col("text")), all_of).alias("_r"))
+    return rows.select("*", "_r.*").drop("_r")
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
