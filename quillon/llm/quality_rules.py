@@ -71,7 +71,8 @@ def window_hashes(hashes: Column) -> Column:
 def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: the array of log p_target - log p_raw by bucket."""
     trusted = labels.groupBy(F.col("doc_id").alias("_trusted")).agg(F.max("quality").alias("_quality")).where("_quality = 1")
-    rows = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
+    # The labels grow with the documents, so they are never broadcast: a sort-merge join at every size.
+    rows = docs.select("doc_id", "text").join(trusted.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
     rows = rows.select(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"), F.col("_trusted").isNotNull().cast("long").alias("target"))
     grams = rows.select("target", F.explode(ngrams(F.col("hashes"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
