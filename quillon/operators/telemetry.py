@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 on the timestamp's own clock, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def daily_stats(requests: DataFrame) -> DataFrame:
     """Per UTC day: counts by outcome, exact continuous percentiles of latency."""
     day = F.date_trunc("day", "created_at").alias("day")
@@ -76,7 +81,7 @@ def usage_totals(attempts: DataFrame, *by: str) -> DataFrame:
 def window_end_wait(ts: Column, unit: str) -> Column:
     """Whole seconds to the end of the window, 1 at least."""
     span = {"minute": 60, "day": 86400}[unit]
-    left = span - (F.unix_micros(ts) - F.unix_micros(F.date_trunc(unit, ts))) / 1e6
+    left = span - (micros(ts) - micros(F.date_trunc(unit, ts))) / 1e6
     return F.greatest(F.lit(1), F.ceil(left)).cast("int")
 
 
@@ -109,7 +114,7 @@ def cache_classify(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     A storable miss opens an entry that lives ``ttl_seconds`` whatever hits it gets; a miss that may not be stored opens
     none. An ordered fold per key: its rows are bounded by the retention of the log.
     """
-    row = F.struct(F.unix_micros("ts").alias("t"), F.col("request_id").alias("id"), "storable")
+    row = F.struct(micros(F.col("ts")).alias("t"), F.col("request_id").alias("id"), "storable")
     by = requests.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     empty = F.array().cast("array<struct<id:bigint,kind:string,hits:int>>")
     start = F.struct(F.lit(None).cast("bigint").alias("until"), F.lit(0).alias("hits"), empty.alias("out"))
@@ -136,9 +141,9 @@ def failure_openings(attempts: DataFrame, failures: int = 3, within_s: int = 60,
     runs = attempts.withColumn("_run", ok).where("outcome <> 'ok'")
     inner = Window.partitionBy("provider", "_run").orderBy("ts", "attempt_id")
     back = F.lag("ts", failures - 1).over(inner)
-    opened = runs.withColumn("_first", back).where(F.col("_first").isNotNull() & (F.unix_micros("ts") - F.unix_micros("_first") <= within_s * 1_000_000))
+    opened = runs.withColumn("_first", back).where(F.col("_first").isNotNull() & (micros(F.col("ts")) - micros(F.col("_first")) <= within_s * 1_000_000))
     wait = F.greatest(F.lit(open_s), F.least(F.coalesce("retry_after_s", F.lit(0)), F.lit(3600)))
-    return opened.select("provider", F.col("ts").alias("opened_at"), F.timestamp_micros(F.unix_micros("ts") + wait.cast("long") * 1_000_000).alias("reopen_at"))
+    return opened.select("provider", F.col("ts").alias("opened_at"), (F.col("ts") + F.make_dt_interval(secs=wait)).alias("reopen_at"))
 
 
 def outage_intervals(attempts: DataFrame, **cfg: int) -> DataFrame:
