@@ -41,7 +41,7 @@ def agreement_scopes(ratings: DataFrame) -> DataFrame:
     cells = ratings.groupBy("kind", "source", "human", "judge").agg(F.count("*").alias("c"))
     cells.createOrReplaceTempView("quillon_rating_cells")
     by = cells.sparkSession.sql(
-        f"select grouping_id(kind, source) as g, kind, source, human, judge, sum(c) as c from quillon_rating_cells group by grouping sets ({SCOPES})"
+        f"select grouping(kind) * 2 + grouping(source) as g, kind, source, human, judge, sum(c) as c from quillon_rating_cells group by grouping sets ({SCOPES})"
     )
     cells.sparkSession.catalog.dropTempView("quillon_rating_cells")
     scope = ["g", "kind", "source"]
