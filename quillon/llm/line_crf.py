@@ -70,7 +70,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         begin = np.zeros(len(data), np.uint64)
         begin[first] = first
         inside = at - np.maximum.accumulate(begin)
-        mixed = np.where(space, np.uint64(0), MIX[data] * (np.uint64(2) * inside + np.uint64(1)))
+        mixed = np.where(space, np.uint64(0), MIX[data] * (np.uint64(2) * inside + np.uint64(1)))  # place and byte
         names = np.add.reduceat(mixed, first)
         same = np.flatnonzero(names[1:] == names[:-1]) + 1
         repeats = per_line(first[same])
@@ -95,6 +95,19 @@ def with_neighbours(x: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     return np.concatenate([x, before, after, np.ones((len(x), 1), x.dtype)], axis=1)
 
 
+def groups(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in runs of about ``limit`` characters (a longer text is a run of its own), which bounds the arrays of a step."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > limit:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 @dataclass(frozen=True)
 class Model:
     """``emit``: weights of label good against bad; ``move``: log potentials of label pairs (0 bad, 1 good)."""
@@ -168,10 +181,13 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     """Length-weighted marginals of label good."""
     if model.constant is not None or not texts:
         return np.full(len(texts), model.constant or 0.0)
-    x, size, n_lines = line_features(texts)
-    good, _ = forward_backward(model.inputs(x, n_lines) @ model.emit, n_lines, model.move)
-    at = np.cumsum(n_lines) - n_lines
-    return np.clip(np.add.reduceat(good * size, at) / np.add.reduceat(size, at), 0.0, 1.0)
+    found = []
+    for run in groups(texts):
+        x, size, n_lines = line_features(run)
+        good, _ = forward_backward(model.inputs(x, n_lines) @ model.emit, n_lines, model.move)
+        at = np.cumsum(n_lines) - n_lines
+        found.append(np.add.reduceat(good * size, at) / np.add.reduceat(size, at))
+    return np.clip(np.concatenate(found), 0.0, 1.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -188,10 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, _, n_lines = line_features([t.as_py() or "" for t in batch.column(1)])
+            found = []
+            for run in groups([t.as_py() or "" for t in batch.column(1)]):
+                x, _, n_lines = line_features(run)
                 at = np.cumsum(n_lines) - n_lines
-                found = [x[a : a + n].tobytes() for a, n in zip(at, n_lines, strict=True)]
+                found += [x[a : a + n].tobytes() for a, n in zip(at, n_lines, strict=True)]
+            if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "x"])
 
     found = texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "_y").mapInArrow(features, "doc_id long, y int, x binary")
@@ -201,18 +219,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     return fit(x, np.array([len(v) for v in xs], int), np.array([r["y"] for r in rows], int))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a ``score`` column in place of any column of that name."""
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *[c for c in docs.columns if c != "score"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, in place of any column of that name."""
+    rows = docs.select(*[c for c in docs.columns if c != name])
+    at = rows.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = score_texts(model, [t.as_py() or "" for t in batch.column(0)])
-            columns = [*batch.columns[1:], pa.array(found, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "score"])
+            found = score_texts(model, [t.as_py() or "" for t in batch.column(at)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-    return rows.mapInArrow(scores, f"{schema}, score double")
+    return rows.mapInArrow(scores, f"{schema}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -223,6 +241,5 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 def keep(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of ``docs`` predicted good, with their columns."""
-    inner = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    model = train(docs, labels, max_train)
-    return scored(inner, model).where(F.col("score") >= THRESHOLD).select("row.*").select(*docs.columns)
+    rows = scored(docs, train(docs, labels, max_train), "_line_crf_score")
+    return rows.where(F.col("_line_crf_score") >= THRESHOLD).select(*docs.columns)
