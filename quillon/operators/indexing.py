@@ -123,6 +123,30 @@ def uncached(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return texts.join(cache, "key", "left_anti").agg(F.count_distinct("key").alias("uncached"))
 
 
+def build_index(
+    pages: DataFrame, base_url: str, cache: DataFrame, embed: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    versions: DataFrame, versions_path: str, index_path: str, config: dict, dim: int,
+) -> dict:
+    """Pages to a verified index version; a ready version of the same configuration is used again.
+
+    Chunks, embeddings of texts that the cache lacks, both tables, the check, the version row last.
+    """
+    from quillon.operators import corpus
+
+    digest = config_hash(config)
+    ready = versions.where((F.col("status") == "ready") & (F.col("config_hash") == digest)).orderBy(F.desc("index_version_id")).first()
+    if ready:
+        return ready.asDict()
+    rows = corpus.with_chunk_ids(corpus.chunks(pages, base_url))
+    text = F.concat_ws("\n\n", "breadcrumb_text", "content")
+    texts = rows.select("chunk_id", text.alias("text"), F.col("content_hash").alias("key"))
+    vectors, _ = embed_cached(texts, cache, embed)
+    chunks = rows.join(vectors.select("chunk_id", F.col("value").alias("embedding")), "chunk_id").withColumnRenamed("source_path", "document_id")
+    documents = pages.select(F.col("source_path").alias("document_id"))
+    newest = versions.agg(F.coalesce(F.max("index_version_id"), F.lit(0)).alias("v")).first()["v"]
+    return publish_index(documents, chunks, versions_path, index_path, {"index_version_id": newest + 1, "config_hash": digest}, dim)
+
+
 # --- golden set ---
 
 TYPES = ["single_section", "multi_section", "code", "unanswerable"]
@@ -158,3 +182,24 @@ def unresolved_labels(qrels: DataFrame, chunks: DataFrame) -> DataFrame:
     full = chunks.select(F.explode("anchor_path").alias("a"), F.split_part("section_id", F.lit("#"), F.lit(1)).alias("p")).select(F.concat_ws("#", "p", "a").alias("name"))
     known = pages.unionByName(full).distinct()
     return qrels.join(known, qrels["section"] == known["name"], "left_anti")
+
+
+def split_answerable(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answerable, counts): unanswerable questions are counted, never scored."""
+    counts = items.agg(F.count_if("answerable").alias("answerable"), F.count_if(~F.col("answerable")).alias("skipped"))
+    return items.where("answerable"), counts
+
+
+def ask_batch_summary(results: DataFrame, total: int) -> DataFrame:
+    """One row: results by status, the share valid at first try, totals, complete if every question has a result."""
+    n = F.count("*")
+    return results.agg(
+        n.alias("n"), F.count_if(F.col("status") == "answered").alias("answered"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.try_divide(F.count_if("schema_first_try"), n).alias("first_try_share"), F.sum("tokens").alias("tokens"), (n == total).alias("is_complete"),
+    )
+
+
+def eval_run_rows(means: DataFrame, suite: str) -> DataFrame:
+    """One row per configuration with its metrics as a map."""
+    metrics = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))
+    return means.groupBy("config").agg(F.lit(suite).alias("suite"), metrics.alias("metrics"), F.max("n").alias("n"))

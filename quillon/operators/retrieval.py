@@ -6,6 +6,9 @@ within each task before the shuffle. Wide chunk fields are joined at the end.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +133,25 @@ def build_context(ranked: DataFrame, k_context: int = 5, rank: str = "final_rank
     rows = context_labels(ranked, k_context, rank).select("question_id", F.struct("label_no", block.alias("block")).alias("b"))
     blocks = F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"])
     return rows.groupBy("question_id").agg(F.count("*").alias("n_sources"), F.array_join(blocks, "\n\n").alias("context"))
+
+
+def rerank_cached(candidates: DataFrame, cache: DataFrame, model: str, score: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, new, stats): pairs with a cached score take it, the others go to ``score`` on batches of (key, question,
+    content) to (key, rerank_score). Candidates: question_id, chunk_id, question, content."""
+    keyed = candidates.withColumn("key", F.sha2(F.to_json(F.array(F.lit(model), "question", "content")), 256))
+    misses = keyed.select("key", "question", "content").dropDuplicates(["key"]).join(cache, "key", "left_anti")
+    new = misses.mapInPandas(score, "key string, rerank_score double")
+    scores = keyed.join(cache.unionByName(new), "key").select("question_id", "chunk_id", "rerank_score")
+    stats = keyed.join(cache.select("key", F.lit(True).alias("hit")), "key", "left").agg(F.count_if("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+    return scores, new, stats
+
+
+def retrieval_configs(settings: dict, modes: list[str]) -> list[dict]:
+    """One configuration per mode: only the reranked mode keeps rerank fields, and it must name provider and model."""
+    found = []
+    for mode in modes:
+        own = {k: v for k, v in settings.items() if mode == "hybrid_rerank" or not k.startswith("rerank_")}
+        if mode == "hybrid_rerank" and not (own.get("rerank_provider") and own.get("rerank_model")):
+            raise ValueError("hybrid_rerank needs a rerank provider and model")
+        found.append(own | {"mode": mode})
+    return found
