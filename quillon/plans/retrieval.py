@@ -101,8 +101,6 @@ def hybrid_search(t: Tables) -> DataFrame:
     return rows.select("question_id", "chunk_id", *ranks, F.round("rrf_score", 9).alias("rrf_score"))
 
 
-RERANK_SCORE = "conv_score"
-
 
 def scores(candidates: DataFrame) -> DataFrame:
     text = F.concat_ws(":", "question_id", "chunk_id")
