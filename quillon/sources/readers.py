@@ -16,10 +16,10 @@ RESULTS = (
 
 
 def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     full = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^\w+:/+", "/")
     own = root.split("://")[-1].rstrip("/")
-    return read.text(root).select(F.substring(full, len(own) + 2, 1 << 20).alias("source_path"), F.col("value").alias("text"))
+    return read.text(root, wholetext=True).select(F.substring(full, len(own) + 2, 1 << 20).alias("source_path"), F.col("value").alias("text"))
 
 
 def scan_pages(spark: SparkSession, root: str) -> DataFrame:
@@ -33,10 +33,12 @@ def scan_code_files(spark: SparkSession, root: str, pattern: str = "*.py") -> Da
 
 
 def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(items, problems) of a JSONL file; problems name the file and the text of lines that do not parse."""
-    rows = spark.read.schema(f"{GOLDEN}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file"))
-    return rows.where("_bad is null").drop("_bad", "file"), rows.where("_bad is not null").select("file", F.col("_bad").alias("line"))
+    """(items, problems) of JSONL files; problems name the file, the 1-based line and its text. Blank lines do not count."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    parsed = F.from_json("line", f"{GOLDEN}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = files.where(F.trim("line") != "").select("file", (F.col("at") + 1).alias("line_no"), "line", parsed.alias("item"))
+    bad = F.col("item._bad").isNotNull() | F.col("item").isNull()
+    return rows.where(~bad).select("item.*").drop("_bad"), rows.where(bad).select("file", "line_no", "line")
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
