@@ -210,3 +210,52 @@ def golden_subset(t: Tables) -> DataFrame:
     ids = items.where("id % 9 = 0").unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("id")))
     kept, unknown = indexing.golden_subset(items, ids)
     return kept.select(F.lit("kept").alias("part"), F.col("id").alias("item_id")).unionByName(unknown.select(F.lit("unknown").alias("part"), F.col("id").alias("item_id")))
+
+
+# --- directives and containers: a page per document, a code file per nation ---
+
+
+def with_directives(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 30
+    text = F.concat(F.lit("start\n{* ../../src/f"), k, F.lit(".py ln[2:3] *}\n/// tip\n\nfirst\n\nsecond\n\n///\n\n<!-- gone -->\n\nend"))
+    return t.documents.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source_path"), text.alias("text"))
+
+
+def code_files(t: Tables) -> DataFrame:
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat("n_name", F.lit(" "), i)), "\n")
+    return t.nation.select(F.concat(F.lit("src/f"), "n_nationkey", F.lit(".py")).alias("path"), lines.alias("text"))
+
+
+@query("C2_includes", """select source || '/' || doc_id || '.md' as source_path, sha256('start' || chr(10) || case when n_name is not null then '# Code above omitted' || chr(10) || n_name || ' 2' || chr(10) || n_name || ' 3' || chr(10) || '# Code below omitted' || chr(10) else '' end
+  || '/// tip' || chr(10) || chr(10) || 'first' || chr(10) || chr(10) || 'second' || chr(10) || chr(10) || '///' || chr(10) || chr(10) || '<!-- gone -->' || chr(10) || chr(10) || 'end') as resolved from documents left join nation on n_nationkey = doc_id % 30""")
+def includes(t: Tables) -> DataFrame:
+    lines, _ = c.resolve_includes(c.page_lines(with_directives(t)), code_files(t))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "sub_no", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("source_path").agg(F.sha2(text, 256).alias("resolved"))
+
+
+@query("D9_include_problems", "select source || '/' || doc_id || '.md' as source_path, 1::bigint as line_no, 'missing_file' as rule from documents where doc_id % 30 >= 25")
+def include_problems(t: Tables) -> DataFrame:
+    _, problems = c.resolve_includes(c.page_lines(with_directives(t)), code_files(t))
+    return problems.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query("C7_containers", "select source || '/' || doc_id || '.md' as source_path, 3 as n_blocks, 7 as container_lines from documents")
+def containers(t: Tables) -> DataFrame:
+    rows = c.blocks(c.page_lines(with_directives(t)))
+    inside = F.max(F.when(F.col("markdown").startswith("///"), F.size(F.split("markdown", "\n"))))
+    return rows.groupBy("source_path").agg(F.count("*").alias("n_blocks"), inside.cast("long").alias("container_lines"))
+
+
+@query("C5_comment_drop", "select count(*) as pages, 0 as comments from documents")
+def comment_drop(t: Tables) -> DataFrame:
+    rows = c.blocks(c.page_lines(with_directives(t)))
+    return rows.agg(F.count_distinct("source_path").alias("pages"), F.count_if(F.col("markdown").contains("<!--")).alias("comments"))
+
+
+@query("C13_long_sections")
+def long_sections(t: Tables) -> DataFrame:
+    """Documents as pages of one long section: packed parts stay within the limit."""
+    pages = t.documents.select(F.concat(F.lit("p"), "doc_id", F.lit(".md")).alias("source_path"), F.concat(F.lit("# T\n\n"), "text").alias("text"))
+    parts = c.pack_sections(c.sections(c.blocks(c.page_lines(pages))), 200, 20, 10)
+    return parts.groupBy("source_path").agg(F.count("*").alias("n_parts"), F.max(token_count(F.col("content"))).alias("longest"))

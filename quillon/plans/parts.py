@@ -386,3 +386,28 @@ def ordinals(t: Tables) -> DataFrame:
 def active_join(t: Tables) -> DataFrame:
     active = ev.versions(t).where("is_active").select("index_version_id").limit(1)
     return tq.requests(t).select(F.col("request_id").alias("event_id")).join(F.broadcast(active), F.lit(True), "left")
+
+
+@query("L21_baseline_self_check", f"with {rq.EVAL} select 'pass' as status, 0 as failed_metrics, (select count(*) from means) as gated_metrics, 0 as reasons")
+def self_check(t: Tables) -> DataFrame:
+    """Fresh rows pass their own gate."""
+    run = mt.config_means(rq.per_question(t))
+    base = run.select("config", "metric", "value", F.lit(0.04).alias("tolerance"), F.lit(None).cast("double").alias("floor"), F.lit("g").alias("golden"), F.lit("i").alias("index_hash"))
+    return gates.retrieval_gate(run, base, t.spark.range(1).select(F.lit("g").alias("golden"), F.lit("i").alias("index_hash")))
+
+
+@query("L6_rerank_cached", f"with {rq.LEXICAL} select question_id, count(*) as n, count_if(chunk_id % 2 = 0) as cached from fts_top group by question_id")
+def rerank_cached(t: Tables) -> DataFrame:
+    """Every second chunk has a cached score; the others are scored by a user function."""
+    import pandas as pd
+
+    def score(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "rerank_score": 0.25})
+
+    found = r.lexical_search(rq.asked_texts(t), r.postings(rq.text_chunks(t)), rq.K).select("question_id", "chunk_id")
+    pairs = found.withColumn("question", F.col("question_id").cast("string")).withColumn("content", F.col("chunk_id").cast("string"))
+    key = F.sha2(F.to_json(F.array(F.lit("m"), "question", "content")), 256)
+    cache = pairs.where("chunk_id % 2 = 0").select(key.alias("key"), F.lit(0.75).alias("rerank_score"))
+    scores, _, _ = r.rerank_cached(pairs, cache, "m", score)
+    return scores.groupBy("question_id").agg(F.count("*").alias("n"), F.count_if(F.col("rerank_score") == 0.75).alias("cached"))
