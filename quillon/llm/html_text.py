@@ -255,7 +255,7 @@ def sum_product(forest: Forest, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500))), pairs
 
 
-def fit(trees: list[Tree], steps: int = 250, ridge: float = 1e-4) -> Model:
+def fit(trees: list[Tree], steps: int = 300, ridge: float = 1e-5) -> Model:
     """Maximum likelihood of the labels of whole trees, by Adam on sum-product gradients."""
     forest = Forest(trees)
     y = np.array([label for t in trees for label in t.labels], int)
@@ -286,6 +286,10 @@ def layout(content: list[str], other: list[str], seed: int) -> str:
     """A labelled page that sets the texts in a layout drawn with ``seed``: where boilerplate stands, in which elements
     and class names, with prose, lists or links inside, and how the main text is wrapped."""
     rng = random.Random(seed)
+    first = rng.randrange(len(content))
+    content = content[first : first + rng.choice([1, 2, 3, 5, 8, 30])]
+    if rng.random() < 0.5:  # short blocks
+        content = [" ".join(t.split()[: rng.randint(1, 14)]) for t in content]
     body = [escape(t) for t in content]
     rest = [escape(t) for t in [*other, *SAMPLE_OTHER]]
 
@@ -313,7 +317,10 @@ def layout(content: list[str], other: list[str], seed: int) -> str:
             inner = f"<div>{inner}</div><div>{filling()}</div>"
         return f'<{tag}{name} data-y="0">{inner}</{tag}>'
 
-    parts = [f"<h1>{body[0]}</h1>", *(f"<p>{t}</p>" for t in body[1:])]
+    head = rng.choice(["h1", "h1", "h2", "p"])
+    parts = [f"<{head}>{body[0]}</{head}>", *(f"<p>{t}</p>" for t in body[1:])]
+    if rng.random() < 0.2:
+        parts.insert(rng.randint(1, len(parts)), "<table>" + "".join(f"<tr><td>{t}</td><td>{k}</td></tr>" for k, t in enumerate(body[:3])) + "</table>")
     if rng.random() < 0.4:
         parts.insert(rng.randint(1, len(parts)), "<ul>" + "".join(f"<li>{t}</li>" for t in body[1:4]) + "</ul>")
     if rng.random() < 0.3:
@@ -330,14 +337,15 @@ def layout(content: list[str], other: list[str], seed: int) -> str:
         around = "".join(boilerplate() for _ in range(rng.randint(0, 2)))
         page = f"<div>{page}{around}</div>" if rng.random() < 0.5 else f"<div>{around}{page}</div>"
     before, after = ("".join(boilerplate() for _ in range(rng.randint(0, 3))) for _ in range(2))
-    return f"<body>{before}{page}{after}</body>"
+    page = f"{before}{page}{after}"
+    return f"<body>{page}</body>" if rng.random() < 0.9 else page
 
 
 def train(pages: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on pages that mark their article and on layouts of their texts."""
     marked = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
     sample = [r["html"] for r in marked.orderBy(F.xxhash64("html"), "html").limit(max_train).collect()]
-    trees = [parse(layout(SAMPLE_CONTENT, SAMPLE_OTHER, -k)) for k in range(1, 150)]
+    trees = [parse(layout(SAMPLE_CONTENT, SAMPLE_OTHER, -k)) for k in range(1, 250)]
     for k, html in enumerate(sample):
         tree = parse(html, labels_from_tags=True)
         trees.append(tree)
