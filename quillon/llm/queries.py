@@ -14,6 +14,7 @@ from quillon.llm.line_crf import classify
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality_rules import judge as judge_quality
 from quillon.llm.secrets import scan
+from quillon.llm.secrets import sql as secrets_sql
 from quillon.llm.simhash import near_duplicates
 from quillon.llm.token_files import round_trip
 from quillon.llm.urls import judge as judge_urls
@@ -78,4 +79,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the secret scan is SQL: the others need hashes, tokenizers, fitted models or components."""
+    return {"op7_linked_secrets": secrets_sql()}

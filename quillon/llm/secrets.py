@@ -127,3 +127,33 @@ def mask(docs: DataFrame, scope: int = SCOPE, by: str = "[SECRET]") -> DataFrame
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(length))
     return out.select(*docs.columns)
+
+
+def _matches_sql(kind: int, pattern: str, group: int = 0) -> str:
+    """Rows (rid, kind, start, end, value) of all matches; places add up as in ``found``."""
+    quoted = pattern.replace("'", "''")
+    lengths = "list_sum(list_transform({}, lambda x: length(x)))"
+    start = f"coalesce({lengths.format('gaps[1:i]')}, 0) + coalesce({lengths.format('hits[1:i - 1]')}, 0)"
+    return f"""select rid, {kind} as kind, ({start})::int as "start", ({start} + length(hits[i]))::int as "end", vals[i] as value
+      from (select rid, hits, vals, gaps, unnest(range(1, len(hits) + 1)) as i from (select rid, regexp_extract_all(t, '{quoted}') as hits,
+        regexp_extract_all(t, '{quoted}', {group}) as vals, string_split_regex(t, '{quoted}') as gaps from docs) where len(hits) > 0)"""
+
+
+def sql(scope: int = SCOPE) -> str:
+    """The rows of ``scan`` over the table documents, for DuckDB."""
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    text = f"{names}[kind + 1] || ':' || \"start\" || ':' || \"end\""
+    listed = f"coalesce(string_agg({text}, ',' order by \"start\", kind, \"end\"), '')"
+    count = ", ".join(f"count_if(kind = {k}) as n_{KINDS[k]}" for k in range(3))
+    return f"""with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+      keyed as ({_matches_sql(0, KEY, 2)}),
+      base as (select * from keyed where length(value) >= {MIN_ASSIGN} union all {_matches_sql(1, ACCESS)} union all {_matches_sql(2, HEX)}),
+      weak as (select rid, 4 as kind, "start", "end", value from keyed where length(value) >= {MIN_SHORT} and length(value) < {MIN_ASSIGN}
+        union all {_matches_sql(3, IDENTIFIER)} union all {_matches_sql(5, ENDPOINT)}),
+      parts as (select * from base union all select * from weak),
+      linked as (select * from weak w where exists (select 1 from parts p where p.rid = w.rid and (p.kind in (0, 2, 4)) <> (w.kind in (0, 2, 4))
+        and p."start" <= w."end" + {scope} and w."start" <= p."end" + {scope})),
+      b as (select rid, {count}, {listed} as base from base group by rid),
+      s as (select rid, {listed} as spans from (select * from base union all select * from linked) group by rid)
+      select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+      from docs left join b using (rid) left join s using (rid)"""

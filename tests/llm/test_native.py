@@ -3,6 +3,8 @@ import random
 import re
 import unicodedata
 
+import duckdb
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -109,6 +111,16 @@ def test_secrets_against_plain(docs):
     assert secrets.mask(docs([(3, "token=abcdefghijklmnop"), (3, "token=abcdefghijklmnop"), (None, "x")])).count() == 3
 
 
+def test_secrets_against_sql(docs):
+    texts = [t for t in SECRETS if "ſ" not in (t or "")]  # DuckDB folds that letter into s, the contract does not
+    con = duckdb.connect()
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    con.execute("create table documents as select * from documents")
+    columns = "doc_id, n_assign, n_access, n_hex, base_sha256, spans"
+    expected = sorted(con.sql(f"select {columns} from ({secrets.sql()})").fetchall())
+    assert sorted(map(tuple, secrets.scan(docs(texts)).collect())) == expected
+
+
 def plain_listed(url):
     host = path = ""
     if url and "://" in url:
