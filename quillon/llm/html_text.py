@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import hashed_sample
+
 MAX_TRAIN = 200
 # Element classes of HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
@@ -344,7 +346,7 @@ def layout(content: list[str], other: list[str], seed: int) -> str:
 def train(pages: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on pages that mark their article and on layouts of their texts."""
     marked = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    sample = [r["html"] for r in marked.orderBy(F.xxhash64("html"), "html").limit(max_train).collect()]
+    sample = [r["html"] for r in hashed_sample(marked, "html", max_train).collect()]
     trees = [parse(layout(SAMPLE_CONTENT, SAMPLE_OTHER, -k)) for k in range(1, 250)]
     for k, html in enumerate(sample):
         tree = parse(html, labels_from_tags=True)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import hashed_sample
+
 MAX_TRAIN = 3000
 STEPS = 120
 THRESHOLD = 0.7
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     """Fit on the labelled documents that are not held out, ``max_train`` at most."""
     rows = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    chosen = hashed_sample(rows, "doc_id", max_train)
     chosen = chosen.select(F.col("doc_id").alias("_labelled"), (F.col("quality") == 1).cast("int").alias("_y"))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
 
