@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import normalize_label, seeded_rank
 
+BLOCK = 500
 SCOPES = "(human, judge), (kind, human, judge), (source, human, judge), (kind, source, human, judge)"
 
 
@@ -88,9 +89,9 @@ def negative_controls(claims: DataFrame, sources: DataFrame, n: int, seed: int,
     """Claims paired with sources of another question that share few words with them; each question gives one claim.
 
     claims: question_id, sections, words, claim; sources: source_question, source_sections, source_words, source. Pairs
-    are found within hashed blocks of sources, the best of each claim kept, so pairs grow with claims, not with the product.
+    are drawn within hashed blocks of about ``BLOCK`` sources, so their number grows with the claims, not with the product.
     """
-    blocks = 64
+    blocks = max(1, sources.count() // BLOCK)
     give = claims.withColumn("_b", F.pmod(F.xxhash64("claim", "question_id"), F.lit(blocks)))
     take = sources.withColumn("_b", F.pmod(F.xxhash64("source", "source_question"), F.lit(blocks)))
     share = F.try_divide(F.size(F.array_intersect("words", "source_words")), F.size("words"))
