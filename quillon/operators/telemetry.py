@@ -112,23 +112,25 @@ def cache_classify(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     """Per key the ordered requests as hit, miss or uncached.
 
     A storable miss opens an entry that lives ``ttl_seconds`` whatever hits it gets; a miss that may not be stored opens
-    none. An ordered fold per key: its rows are bounded by the retention of the log.
+    none. An ordered fold per key keeps only the requests that open an entry; windows then place the others after them.
     """
-    row = F.struct(micros(F.col("ts")).alias("t"), F.col("request_id").alias("id"), "storable")
-    by = requests.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    empty = F.array().cast("array<struct<id:bigint,kind:string,hits:int>>")
-    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.lit(0).alias("hits"), empty.alias("out"))
+    row = F.struct(micros(F.col("ts")).alias("t"), F.col("request_id").alias("id"))
+    by = requests.where("storable").groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
-        live = F.coalesce(r["t"] < acc["until"], F.lit(False))
-        kind = F.when(live, "hit").when(r["storable"], "miss").otherwise("uncached")
-        hits = F.when(live, acc["hits"] + 1).when(r["storable"], F.lit(0)).otherwise(acc["hits"])
-        until = F.when(live, acc["until"]).when(r["storable"], r["t"] + ttl_seconds * 1_000_000).otherwise(acc["until"])
-        out = F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), kind.alias("kind"), hits.alias("hits"))))
-        return F.struct(until.alias("until"), hits.alias("hits"), out.alias("out"))
-
-    folded = by.select("key", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select("key", F.col("r.id").alias("request_id"), F.col("r.kind").alias("kind"), F.col("r.hits").alias("hits"))
+        opens = acc["until"].isNull() | (r["t"] >= acc["until"])
+        until = F.when(opens, r["t"] + ttl_seconds * 1_000_000).otherwise(acc["until"])
+        return F.struct(until.alias("until"), F.when(opens, F.concat(acc["out"], F.array(r["id"].cast("bigint")))).otherwise(acc["out"]).alias("out"))
+
+    opened = by.select("key", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("request_id"), F.lit(True).alias("_opens"))
+    rows = requests.select("key", "request_id", micros(F.col("ts")).alias("_t")).join(opened, ["key", "request_id"], "left")
+    order = Window.partitionBy("key").orderBy("_t", "request_id")
+    rows = rows.withColumn("_from", F.last(F.when(F.col("_opens"), F.col("_t")), ignorenulls=True).over(order))
+    live = F.coalesce(F.col("_t") < F.col("_from") + ttl_seconds * 1_000_000, F.lit(False))
+    rows = rows.withColumn("kind", F.when(F.col("_opens"), "miss").when(live, "hit").otherwise("uncached"))
+    since = Window.partitionBy("key", "_from").orderBy("_t", "request_id")
+    return rows.select("key", "request_id", "kind", F.sum((F.col("kind") == "hit").cast("int")).over(since).cast("int").alias("hits"))
 
 
 def failure_openings(attempts: DataFrame, failures: int = 3, within_s: int = 60, open_s: int = 30) -> DataFrame:
