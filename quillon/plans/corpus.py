@@ -198,8 +198,8 @@ def one_setup(t: Tables) -> DataFrame:
 def golden_problems(t: Tables) -> DataFrame:
     i = F.col("item_id")
     kind = F.get(F.array(*map(F.lit, ["single_section", "multi_section", "unanswerable"])), (i % 3).cast("int"))
-    items = t.benchmark.where("item_id < 1000").select(
-        F.concat(F.lit("q"), F.lpad(i.cast("string"), 3, "0")).alias("id"), kind.alias("type"), (i % 4 != 0).alias("answerable"), F.array(F.struct(F.lit("a/b.md#c").alias("section"), (i % 5).cast("int").alias("grade"))).alias("relevant_sections")
+    items = t.benchmark.select(
+        F.format_string("q%03d", i).alias("id"), kind.alias("type"), (i % 4 != 0).alias("answerable"), F.array(F.struct(F.lit("a/b.md#c").alias("section"), (i % 5).cast("int").alias("grade"))).alias("relevant_sections")
     )
     return indexing.golden_problems(items)
 

@@ -280,5 +280,5 @@ def stored_means(t: Tables) -> DataFrame:
 
 @query("L18_unresolved_labels", f"with {EVAL} select question_id, section from qrels q where contains(section, '#') and not exists (select 1 from embeddings e where 'p' || e.label || '#a' || (e.vec_id % 4) = q.section and e.vec_id % 3 = 0) or (not contains(section, '#') and not exists (select 1 from embeddings e where 'p' || e.label = q.section and e.vec_id % 3 = 0))")
 def unresolved_labels(t: Tables) -> DataFrame:
-    chunks = vectors(t).where("chunk_id % 3 = 0").select(F.concat(F.lit("p"), "label", F.lit("#a"), F.col("chunk_id") % 4).alias("section_id"), F.array(F.concat(F.lit("a"), F.col("chunk_id") % 4)).alias("anchor_path"))
+    chunks = vectors(t).select(F.concat(F.lit("p"), "label", F.lit("#a"), F.col("chunk_id") % 4).alias("section_id"), F.array(F.concat(F.lit("a"), F.col("chunk_id") % 4)).alias("anchor_path"))
     return indexing.unresolved_labels(qrels(t), chunks).select("question_id", "section")
