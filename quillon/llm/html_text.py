@@ -32,8 +32,11 @@ from quillon.llm.common import hashed_sample
 MAX_TRAIN = 200
 # Element classes of HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+# Formulas are part of the text block around them.
+INLINE |= set("math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded mphantom menclose merror semantics annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style noscript template head title iframe object svg math canvas audio video select textarea button option datalist".split())
+UNSEEN = set("script style noscript template head title iframe object svg canvas audio video select textarea button option optgroup datalist annotation annotation-xml".split())
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes script style template".split())
 CLOSED_BY = {  # an element ends where one of these begins
     "p": set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd td th tr".split()),
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
@@ -82,7 +85,8 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tree = Tree()
         self.open: list[tuple[str, int]] = [("", 0)]  # tag, node
-        self.skip = self.links = 0
+        self.skip: list[str] = []  # the unseen elements that are open
+        self.links = 0
         self.parts: list[str] = []
         self.link_chars = 0
         self.by_tags = labels_from_tags
@@ -105,15 +109,17 @@ class TreeBuilder(HTMLParser):
             self.parts, self.link_chars = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "select" and "select" in self.skip:  # ends the open one and opens none
+            self.end_unseen(tag)
+            return
+        if self.skip:
+            self.imply_unseen(tag)
         if self.skip:
-            if tag in UNSEEN and tag not in VOID:
-                self.skip += 1
-            elif tag == "body":
-                self.skip = 0
-                self.handle_starttag(tag, attrs)
+            if tag in UNSEEN:
+                self.skip.append(tag)
             return
         if tag in UNSEEN:
-            self.skip = 1
+            self.skip = [tag]
             if tag not in INLINE:
                 self.border()
             return
@@ -135,6 +141,27 @@ class TreeBuilder(HTMLParser):
                 label = int(tag in ("article", "main") or label and tag not in ("nav", "aside", "footer", "form"))
             self.open.append((tag, self.add(element_features(tag, names), None, 0, label)))
 
+    def imply_unseen(self, tag: str) -> None:
+        """Close the unseen elements that the start of ``tag`` ends; their end tags may be left out."""
+        if tag == "body" or self.skip == ["head"] and tag not in IN_HEAD:
+            self.skip = []
+        elif self.skip[0] in ("option", "optgroup") and tag not in ("option", "optgroup"):  # of no list
+            self.skip = []
+        elif tag in ("option", "optgroup"):
+            while self.skip and self.skip[-1] in ("option", tag):
+                self.skip.pop()
+        elif tag in ("input", "textarea"):
+            self.end_unseen("select")
+        elif tag == "button":
+            self.end_unseen("button")
+
+    def end_unseen(self, tag: str) -> None:
+        """End the innermost open unseen ``tag`` with all that is open in it."""
+        for k in range(len(self.skip) - 1, -1, -1):
+            if self.skip[k] == tag:
+                del self.skip[k:]
+                break
+
     def imply(self, tag: str) -> None:
         """Close the elements that the start of ``tag`` ends."""
         for k in range(len(self.open) - 1, 0, -1):
@@ -146,8 +173,11 @@ class TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
-            self.skip -= tag in UNSEEN
-            return
+            if self.skip[0] in ("option", "optgroup") and tag not in UNSEEN:
+                self.skip = []
+            else:
+                self.end_unseen(tag)
+                return
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
             return
@@ -160,6 +190,8 @@ class TreeBuilder(HTMLParser):
             self.links = 0
 
     def handle_data(self, data: str) -> None:
+        if self.skip == ["head"] and data.strip():
+            self.skip = []
         if not self.skip:
             self.parts.append(data)
             if self.links:
