@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from quillon.llm.tokens import encode, encoder, rank_path
 CAPACITY = 1024
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLAN = "length long, rank_lo long, rank_hi long, base long, per_sequence long, first_offset long"
+PLAN = "length long, rank_bucket long, rank_lo long, rank_hi long, base long, per_sequence long, first_offset long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -89,7 +90,10 @@ def dominating_sets(counts: dict[int, int], capacity: int) -> list[tuple[int, tu
         return 0
 
     def copies(chosen: tuple[int, ...]) -> int:
-        return min(counts[s] // chosen.count(s) for s in chosen)
+        if len(chosen) < 3:
+            return min(counts[s] // chosen.count(s) for s in chosen)
+        # The test of a triple sees no difference between counts of four and more: as many copies as keep that.
+        return max(1, min((counts[s] - 4) // chosen.count(s) + 1 for s in chosen))
 
     def dominating(s: int) -> tuple[int, ...]:
         room, low = capacity - s, smallest(3, s)
@@ -110,8 +114,7 @@ def dominating_sets(counts: dict[int, int], capacity: int) -> list[tuple[int, tu
         changed = False
         for s in reversed(list(sizes)):
             while s in counts and (chosen := dominating(s)):
-                # a single copy for triples: their test depends on how many copies are left
-                take(copies(chosen) if len(chosen) < 3 else 1, chosen)
+                take(copies(chosen), chosen)
                 changed = True
     return fixed
 
@@ -156,8 +159,13 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int
 def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
     """Rank intervals: the pieces of ``length`` with ranks in [lo, hi) go to sequences from ``base`` on."""
     counts = {s: n for s, n in histogram.items() if n}
+    n_sizes = len(counts)
     bins = dominating_sets(counts, capacity)
+    # A set empties a size or brings one below four, or takes one of the last three of a size.
+    assert len(bins) <= 5 * n_sizes
     bins += best_fit(counts, capacity)
+    # A size splits one entry into three at most and opens two.
+    assert len(bins) <= 9 * n_sizes
     plan, base, used = [], 0, dict.fromkeys(histogram, 0)
     for n, sizes in bins:
         offset = 0
@@ -170,11 +178,24 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, ..
     return plan
 
 
+def by_rank_bucket(plan: list[tuple[int, ...]]) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
+    """The plan with each interval repeated per bucket of ranks that it touches, and (length, width) of the buckets.
+
+    A length has as many buckets as intervals, so that the plan at most doubles and a piece meets two intervals on average.
+    """
+    n, end = Counter(row[0] for row in plan), Counter()
+    for s, _, hi, *_ in plan:
+        end[s] = max(end[s], hi)
+    width = {s: -(-end[s] // n[s]) for s in n}
+    rows = [(s, k, lo, hi, *rest) for s, lo, hi, *rest in plan for k in range(lo // width[s], (hi - 1) // width[s] + 1)]
+    return rows, list(width.items())
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
     Pieces of one length are ranked in hashed buckets whose starts come from their counts, so that a length that holds
-    most pieces is spread over tasks. The plan has a few thousand rows at most, whatever the input, and is broadcast.
+    most pieces is spread over tasks. The plan has at most nine kinds of sequence per length, whatever the input, and is broadcast.
     """
     spark = pieces.sparkSession
     n_buckets = max(64, shuffle_partitions(spark))
@@ -183,17 +204,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    plan = spark.createDataFrame(packing_plan(histogram, capacity), PLAN)
+    rows, widths = by_rank_bucket(packing_plan(histogram, capacity))
+    plan = spark.createDataFrame(rows, PLAN)
+    starts = starts.join(F.broadcast(spark.createDataFrame(widths, "length long, _width long")), "length")
     place = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("_rn", F.row_number().over(place)).join(starts, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_rn") - 1)
+    ranked = ranked.withColumn("rank_bucket", F.floor(F.col("_rank") / F.col("_width")))
     rel = F.col("_rank") - F.col("rank_lo")
     return (
-        ranked.join(F.broadcast(plan), "length")
+        ranked.join(F.broadcast(plan), ["length", "rank_bucket"])
         .where("_rank >= rank_lo and _rank < rank_hi")
         .withColumn("sequence_id", F.col("base") + F.floor(rel / F.col("per_sequence")))
         .withColumn("offset", F.col("first_offset") + rel % F.col("per_sequence") * F.col("length"))
-        .drop("_bucket", "_rn", "_start", "_rank", "rank_lo", "rank_hi", "base", "per_sequence", "first_offset")
+        .drop("_bucket", "_rn", "_start", "_rank", "_width", "rank_bucket", "rank_lo", "rank_hi", "base", "per_sequence", "first_offset")
     )
 
 
