@@ -21,7 +21,6 @@ from quillon.llm.common import materialize
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
-MAX_RULES = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,8 +53,8 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES) -> DataFrame:
-    """Pruned rules (rule_id, items, verdict, confidence, support) from (tokens, verdict) rows; ``max_rules`` at most."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Pruned rules (rule_id, items, verdict, confidence, support) from (tokens, verdict) rows: all that pass support and confidence."""
     rows = labelled.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
     to = F.element_at("consequent", 1)
@@ -68,8 +67,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     within = (F.col("_t") == F.col("_u")) & (F.col("_verdict") == F.col("verdict")) & (F.col("_confidence") >= F.col("confidence"))
     shorter = (F.size("_items") < F.size("items")) & (F.size(F.array_except("_items", "items")) == 0)
     redundant = long.join(short, within & shorter).select("items", "verdict").distinct()
-    best = [F.desc("confidence"), F.desc("support"), F.size("items"), F.array_join("items", " "), F.desc("verdict")]
-    kept = rules.join(redundant, ["items", "verdict"], "left_anti").orderBy(*best).limit(max_rules)
+    kept = rules.join(redundant, ["items", "verdict"], "left_anti")
     return kept.withColumn("rule_id", F.xxhash64("items", "verdict"))
 
 
@@ -85,7 +83,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     index = mined.select("rule_id", "verdict", "confidence", "support", F.size("items").alias("n_items"), F.explode("items").alias("token"))
 
     open_urls = rows.where("by_list is null").select("host", "path", "tokens").dropDuplicates(["host", "path"])
-    hits = open_urls.select("host", "path", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    hits = open_urls.select("host", "path", F.explode("tokens").alias("token")).join(index, "token")
     fired = hits.groupBy("host", "path", "rule_id", "verdict", "confidence", "support", "n_items").count().where("count = n_items")
     rank = F.struct("confidence", "support", -F.col("n_items"), F.col("verdict") == "block", "rule_id")
     chosen = fired.groupBy("host", "path").agg(F.max_by("verdict", rank).alias("mined"))
