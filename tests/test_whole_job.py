@@ -1,7 +1,7 @@
 """Queries and operators give whole results where the given tables are too small to show a cut."""
 
 from pyspark.sql import functions as F
-from quillon.operators import indexing
+from quillon.operators import corpus, indexing
 from quillon.plans import QUERIES, Tables
 
 
@@ -26,3 +26,13 @@ def test_labels_resolve_against_every_chunk(spark, tmp_path):
     chunks = spark.createDataFrame([("a.md#x", ["x"])], "section_id string, anchor_path array<string>")
     labels = spark.createDataFrame([(1, "a.md#x"), (1, "a.md#gone"), (2, "a.md"), (2, "b.md")], "question_id long, section string")
     assert {r.section for r in indexing.unresolved_labels(labels, chunks).collect()} == {"a.md#gone", "b.md"}
+
+
+def test_too_long_sections_are_not_gathered_in_one_row(spark):
+    rows = spark.range(500).select(F.lit("s").alias("section_id"), (F.col("id") % 400).alias("ordinal"), F.col("id").alias("token_count"))
+    found = corpus.too_long(rows, 99)
+    expected = sorted({f"s@{k % 400}" for k in range(100, 500)})[:10]
+    assert [tuple(r) for r in found.collect()] == [(400, expected)]
+    assert [tuple(r) for r in corpus.too_long(rows, 1000).collect()] == [(0, [])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "TakeOrderedAndProject(limit=10" in plan
