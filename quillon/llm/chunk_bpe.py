@@ -2,14 +2,15 @@
 
 A rolling hash over the bytes of a text cuts it where its content says so, so passages that documents share give the
 same chunks whatever stands around them. A chunk is encoded once and its ids are looked up afterwards. What a cut
-disturbs is the pre-token on either side of it, so at every join the text from the last undisturbed boundary of the left
-chunk to the first one of the right chunk is encoded again; a chunk without such a boundary joins the repaired stretch.
-A boundary is undisturbed where a space follows a visible ASCII character: no pre-token holds such a pair inside, so
-encoding the text in two parts there gives exactly the ids of the whole.
+disturbs is the pre-token on either side of it, so every join is repaired: the text around it is encoded again, from some
+words within the left chunk to some within the right one, until the new ids agree exactly with those of both chunks on these words;
+while they do not, the stretch grows, at most to both chunks whole (and then the text is encoded whole). The words end where a space follows a visible ASCII character: no
+pre-token holds such a pair inside, so ids that agree there are those of the whole text. A chunk without two such
+places is part of the repaired stretch.
 
 Texts are first dealt out by the least hash of their lines, so that copies and near copies, and the chunks they share,
 meet in the same task; AQE splits a large group of copies (each task then encodes its chunks once). A text with the
-special token's string is encoded whole.
+special token's string or with a very long run of white space is encoded whole.
 
 Null texts count as empty: no ids, and the digests of the empty string. Repeated rows stay separate. Extra columns are
 ignored.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.tokens import encode, encoder, has_special, rank_path
+from quillon.llm.tokens import encode, encoder, is_plain, rank_path
 
 CHUNK_BITS = 10
 CACHE_BYTES = 32 << 20
@@ -49,9 +51,10 @@ class ChunkEncoder:
 
     def __init__(self, bpe: tiktoken.Encoding, bits: int = CHUNK_BITS, limit: int = CACHE_BYTES):
         self.bpe, self.bits, self.limit = bpe, bits, limit
+        self.sizes = [len(bpe.decode_single_token_bytes(i)) for i in range(bpe.n_vocab)]
         self.new: dict[bytes, list[int]] = {}
         self.old: dict[bytes, list[int]] = {}
-        self.held = self.encoded = self.reused = 0
+        self.held = self.encoded = self.reused = self.widened = 0
 
     def _core(self, chunk: bytes) -> list[int]:
         ids = self.new.get(chunk)
@@ -71,7 +74,7 @@ class ChunkEncoder:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        if has_special(text):
+        if not is_plain(text):
             return encode(self.bpe, text).tolist()
         raw = text.encode()
         data = np.frombuffer(raw, np.uint8)
@@ -79,21 +82,55 @@ class ChunkEncoder:
         if not len(cuts):
             return self.bpe.encode_ordinary(text)
         visible = (data > 0x20) & (data < 0x7F)
-        safe = np.flatnonzero(visible[:-1] & (data[1:] == 0x20)) + 1  # a pre-token starts here in any surroundings
+        words = np.flatnonzero(visible[:-1] & (data[1:] == 0x20)) + 1  # a pre-token starts here in any surroundings
         edges = np.concatenate([[0], cuts, [len(data)]])
-        # Undisturbed boundaries of a chunk lie strictly inside it: both of their bytes belong to the chunk.
-        first = np.searchsorted(safe, edges[:-1], "right")
-        last = np.searchsorted(safe, edges[1:], "left") - 1
+        # The words of a chunk lie strictly inside it: both bytes of their borders belong to the chunk.
+        first = np.searchsorted(words, edges[:-1], "right").tolist()
+        last = (np.searchsorted(words, edges[1:], "left") - 1).tolist()
+        words = words.tolist()
         ids: list[int] = []
-        done = 0
-        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        left = Stretch([0], [])
+        for a, b in zip(first, last, strict=True):
             if a < b:
-                p, q = int(safe[a]), int(safe[b])
-                if p > done:
-                    ids += self.bpe.encode_ordinary(raw[done:p].decode())  # the repaired join
-                ids += self._core(raw[p:q])
-                done = q
-        return ids + self.bpe.encode_ordinary(raw[done:].decode()) if done < len(raw) else ids
+                right = Stretch(words[a : b + 1], self._core(raw[words[a] : words[b]]))
+                between = self.joined(raw, left, right)
+                if between is None:
+                    return self.bpe.encode_ordinary(text)
+                ids += between
+                ids += right.ids
+                left = right
+        between = self.joined(raw, left, Stretch([len(raw)], []))
+        return self.bpe.encode_ordinary(text) if between is None else ids + between
+
+    def joined(self, raw: bytes, left: Stretch, right: Stretch) -> list[int] | None:
+        """Ids between two stretches, from texts that reach ever further into both until their ids agree with both."""
+        reach = 1
+        while True:
+            start, stop = left.words[max(-1 - reach, -len(left.words))], right.words[min(reach, len(right.words) - 1)]
+            ids = self.bpe.encode_ordinary(raw[start:stop].decode())
+            head, tail = self.covering(ids, left.words[-1] - start), self.covering(ids[::-1], stop - right.words[0])
+            if head is not None and tail is not None and ids[:head] == left.ids[len(left.ids) - head :] and ids[len(ids) - tail :] == right.ids[:tail]:
+                return ids[head : len(ids) - tail]
+            if reach >= len(left.words) and reach >= len(right.words):
+                return None
+            self.widened += 1
+            reach *= 2
+
+    def covering(self, ids: list[int], size: int) -> int | None:
+        """How many of the ids, from the first on, make up exactly ``size`` bytes."""
+        n = 0
+        while size > 0 and n < len(ids):
+            size -= self.sizes[ids[n]]
+            n += 1
+        return n if size == 0 else None
+
+
+@dataclass(frozen=True)
+class Stretch:
+    """A chunk from its first to its last word border: the borders' places in the text, and the ids between."""
+
+    words: list[int]
+    ids: list[int]
 
 
 def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 A segment holds the ids of consecutive documents. Ids are split into chunks of 8 bits: level 0 has the low chunk of
 every id; a bitmap beside it says which ids go on; level 1 has the next chunk of just those, and so on until no id goes
 on. A rank directory counts the set bits before each 512-bit block of a bitmap, so any single token is reached by one
-rank query per level, without decoding a block.
+rank query per level, without decoding a block, and any run of tokens by two.
 
 A segment is one row of a Parquet table, so the files live wherever Spark can write: (shard, segment, n_tokens,
 doc_ids, doc_starts, levels, bitmaps, ranks).
@@ -60,30 +60,43 @@ def pack_codes(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
             return levels, bitmaps, ranks
 
 
-def unpack_codes(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
-    """All ids of a segment."""
-    out = np.frombuffer(levels[0], np.uint8).astype(np.uint32)
-    at = np.arange(len(out))
-    for k in range(1, len(levels)):
-        more = np.unpackbits(np.frombuffer(bitmaps[k - 1], np.uint8), count=len(at), bitorder="little").astype(bool)
-        at = at[more]
-        out[at] |= np.frombuffer(levels[k], np.uint8).astype(np.uint32) << np.uint32(8 * k)
-    return out
-
-
-def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], at: int) -> int:
-    """The id at one place: a byte and a bit per level, the next level's place by rank."""
-    value = levels[0][at]
-    for k in range(1, len(levels)):
-        bits = bitmaps[k - 1]
-        if not bits[at >> 3] >> (at & 7) & 1:
-            break
+class Codes:
+    """Random access to the ids of a segment."""
+
+    def __init__(self, levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes]):
+        self.levels = [np.frombuffer(x, np.uint8) for x in levels]
+        self.bits = [np.frombuffer(x, np.uint8) for x in bitmaps]
+        self.bitmaps = bitmaps
+        self.ranks = [np.frombuffer(x, "<u4") for x in ranks]
+
+    def rank(self, k: int, at: int) -> int:
+        """Set bits of bitmap ``k`` before place ``at``: the directory's count, and the bits of one block."""
         block = at // BLOCK
-        rank = int(np.frombuffer(ranks[k - 1], "<u4", 1, 4 * block)[0])
-        span = int.from_bytes(bits[block * BLOCK // 8 : (at >> 3) + 1], "little")
-        at = rank + (span & ((1 << (at - block * BLOCK)) - 1)).bit_count()
-        value |= levels[k][at] << 8 * k
-    return value
+        span = int.from_bytes(self.bitmaps[k][block * BLOCK // 8 : (at + 7) >> 3], "little")
+        return int(self.ranks[k][block]) + (span & ((1 << (at - block * BLOCK)) - 1)).bit_count()
+
+    def token(self, at: int) -> int:
+        """The id at one place: a byte and a bit per level, the next level's place by rank."""
+        value = int(self.levels[0][at])
+        for k in range(1, len(self.levels)):
+            if not self.bits[k - 1][at >> 3] >> (at & 7) & 1:
+                break
+            at = self.rank(k - 1, at)
+            value |= int(self.levels[k][at]) << 8 * k
+        return value
+
+    def tokens(self, a: int, b: int) -> np.ndarray:
+        """The ids at places ``a`` to ``b``; a level's part begins and ends at the ranks of the places above, nothing else is read."""
+        out = self.levels[0][a:b].astype(np.uint32)
+        at = np.arange(len(out))
+        for k in range(1, len(self.levels)):
+            if a == b:
+                break
+            more = np.unpackbits(self.bits[k - 1][a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + len(at)]
+            at = at[more.astype(bool)]
+            a, b = self.rank(k - 1, a), self.rank(k - 1, b)
+            out[at] |= self.levels[k][a:b].astype(np.uint32) << np.uint32(8 * k)
+        return out
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, segment_tokens: int = SEGMENT_TOKENS) -> None:
@@ -125,15 +138,18 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, segmen
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Every document is addressed by its own places in the segment, through the rank directories.
+    """
 
     def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = unpack_codes(row["levels"], row["bitmaps"]).astype("<u4", copy=False)
+                codes = Codes(row["levels"], row["bitmaps"], row["ranks"])
                 starts = [*row["doc_starts"], row["n_tokens"]]
                 sizes = np.diff(starts)
-                sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+                sums = [zlib.crc32(codes.tokens(a, b).astype("<u4", copy=False)) for a, b in zip(starts, starts[1:], strict=False)]
                 k = len(sums)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]] * k, pa.int32()), pa.array([row["segment"]] * k, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["doc_starts"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())],

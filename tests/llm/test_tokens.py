@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from quillon.llm import chunk_bpe, packing, token_files, tokens
 from tokenizers import Tokenizer
 
@@ -35,6 +36,46 @@ def test_same_ids_as_library_for_every_code_point(library):
         assert tokens.encode(bpe, text or "").tolist() == ids_of(library, text)
 
 
+def test_long_runs_of_white_space(library):
+    bpe = tokens.encoder(tokens.rank_path())
+    n, stop = 2_000_000, tokens.SPECIAL
+    texts = [" " * n, "\t" * n, "\n" * n, "a b" + " \t\n" * (n // 3) + "x y", "one" + " " * n + "two", "one" + "\n" * n + "two's", "\r\n" * 20_000 + "7",
+             "a" + " " * 20_000 + stop + " " * 20_000 + "b" + stop, "x" + " " * 10_000 + "y" + "\n" * 9_999 + "z" + "\n" * 10_001 + "'s"]
+    texts += ["q" + "".join(map(chr, spaces)) * 6_000 + "w" for spaces in ([0x85, 0xA0], [0x1680, 0x2000, 0x200A], [0x2028, 0x2029, 0x202F, 0x205F, 0x3000], [0x1C, 0x20], [0x200B, 0x20])]
+    chunks = chunk_bpe.ChunkEncoder(bpe)
+    for text in texts:
+        expected = ids_of(library, text)
+        assert tokens.encode(bpe, text).tolist() == expected
+        assert chunks.encode(text) == expected
+
+
+def test_operators_take_long_runs_of_white_space(docs, library):
+    texts = ["some words " * 300 + " " * 1_500_000 + "end", "\n" * 1_500_000]
+    ids = {i: ids_of(library, t) for i, t in enumerate(texts)}
+    for r in chunk_bpe.encode_and_decode(docs(texts)).collect():
+        assert r.n_tokens == len(ids[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    for r in token_files.round_trip(docs(texts)).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*ids[r.doc_id], 0], "<u4").tobytes())
+    assert {r.doc_id: r.n for r in packing.pack_documents(docs(texts)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {i: len(x) + 1 for i, x in ids.items()}
+
+
+def test_joins_grow_until_ids_agree(library):
+    """A chunk whose remembered ids are another encoding of its last words: the join reaches past them."""
+    bpe = tokens.encoder(tokens.rank_path())
+    text = " ".join(f"river{k} stone lantern" for k in range(3000))
+    chunks = chunk_bpe.ChunkEncoder(bpe, 8)
+    expected = chunks.encode(text)
+    assert expected == ids_of(library, text) and chunks.widened == 0
+    raw = text.encode()
+    words = [i for i in range(1, 200) if raw[i : i + 1] == b" "]
+    left = chunk_bpe.Stretch(words[:8], bpe.encode_ordinary(raw[words[0] : words[7]].decode()))
+    right = chunk_bpe.Stretch(words[10:14], bpe.encode_ordinary(raw[words[10] : words[13]].decode()))
+    between = bpe.encode_ordinary(raw[words[7] : words[10]].decode())
+    assert chunks.joined(raw, left, right) == between
+    wrong = chunk_bpe.Stretch(left.words, [*left.ids[:-1], 0])
+    assert chunks.joined(raw, wrong, right) is None and chunks.widened > 0
+
+
 def test_chunked_encoding_is_exact_and_reuses(library):
     bpe = tokens.encoder(tokens.rank_path())
     rng = random.Random(5)
@@ -67,9 +108,12 @@ def test_addressable_codes():
     rng = np.random.default_rng(3)
     for ids in (rng.integers(0, 50257, 5000), rng.integers(0, 200, 700), np.array([2**24 + 5, 0, 255, 256, 65536]), np.array([7])):
         levels, bitmaps, ranks = token_files.pack_codes(ids)
-        assert token_files.unpack_codes(levels, bitmaps).tolist() == ids.tolist()
+        codes = token_files.Codes(levels, bitmaps, ranks)
+        assert codes.tokens(0, len(ids)).tolist() == ids.tolist()
         for at in range(0, len(ids), max(1, len(ids) // 300)):
-            assert token_files.token_at(levels, bitmaps, ranks, at) == ids[at]
+            assert codes.token(at) == ids[at]
+            end = int(rng.integers(at, len(ids) + 1))
+            assert codes.tokens(at, end).tolist() == ids[at:end].tolist()
 
 
 def test_token_files_round_trip(spark, docs, library, tmp_path):
