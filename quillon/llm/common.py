@@ -53,9 +53,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, the same for the same rows: a hash of ``key`` first thins the rows to about four times ``n``, so
-    that what the tasks hand to the final cut does not grow with their number."""
-    share = min(1.0, 4 * n / max(df.count(), 1))
+    """At most ``n`` rows with distinct keys, the same for the same rows: a hash of ``key`` first thins the keys to about four
+    times ``n``, so that what the tasks hand to the final cut does not grow with the rows, and repeated keys count once."""
+    n_keys = df.agg(F.approx_count_distinct(key)).first()[0]
+    share = min(1.0, 4 * n / max(n_keys, 1))
     cells = 1 << 30
-    thinned = df.where(F.pmod(F.xxhash64(key), F.lit(cells)) < int(share * cells))
+    thinned = df.where(F.pmod(F.xxhash64(key), F.lit(cells)) < int(share * cells)).dropDuplicates([key])
     return thinned.orderBy(F.xxhash64(key), key).limit(n)

@@ -5,9 +5,9 @@ not. Node potentials are log-linear in the tags and class words of the node and
 parents and children. Sum-product messages, first upward then downward, give each text block the marginal of being
 content; those of at least one half are the main text. The same messages give the gradients of training.
 
-The model is trained from labelled pages: a bounded sample (``max_train`` pages) of those that mark their
-article themselves, the same texts set in other layouts, and a few built-in texts in the same layouts. Its weights are a
-small constant that goes with the tasks.
+The model is trained from labelled pages: a bounded sample (``max_train`` pages of at most ``MAX_TRAIN_CHARS``) of those that mark their
+article themselves, the same texts set in other layouts, and a few built-in texts in the same layouts. The marks that label a page are
+not features of it. The weights are a small constant that goes with the tasks.
 
 Null and empty html give an empty text. Repeated rows stay. An empty table gives no rows. Extra columns are ignored.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import hashed_sample
 
 MAX_TRAIN = 200
+MAX_TRAIN_CHARS = 1 << 19
 # Element classes of HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 # Formulas are part of the text block around them.
@@ -139,7 +140,8 @@ class TreeBuilder(HTMLParser):
                 label = int(given["data-y"])
             elif self.by_tags:
                 label = int(tag in ("article", "main") or label and tag not in ("nav", "aside", "footer", "form"))
-            self.open.append((tag, self.add(element_features(tag, names), None, 0, label)))
+            kinds = element_features("" if self.by_tags and tag in ("article", "main") else tag, names)
+            self.open.append((tag, self.add(kinds, None, 0, label)))
 
     def imply_unseen(self, tag: str) -> None:
         """Close the unseen elements that the start of ``tag`` ends; their end tags may be left out."""
@@ -377,7 +379,7 @@ def layout(content: list[str], other: list[str], seed: int) -> str:
 
 def train(pages: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on pages that mark their article and on layouts of their texts."""
-    marked = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    marked = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= MAX_TRAIN_CHARS))
     sample = [r["html"] for r in hashed_sample(marked, "html", max_train).collect()]
     trees = [parse(layout(SAMPLE_CONTENT, SAMPLE_OTHER, -k)) for k in range(1, 250)]
     for k, html in enumerate(sample):

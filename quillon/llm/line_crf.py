@@ -4,9 +4,14 @@ Every line gets a few shape features (letters, capitals, digits, symbols, word l
 those of the lines before and after it. The chain labels lines good or bad; forward-backward marginals, weighted by
 line length, give the document's quality between 0 and 1.
 
-The model is fitted on the driver from at most ``max_train`` labelled documents (those with the least hash of doc_id);
-the lines of a document bear its label. Rows whose crc32(doc_id as text) mod 4 is 2 are held out. Only features of the
-text are inputs.
+Labels are known of documents only, so the labels of lines are latent: a document's label is taken as a reading of each of its lines'
+labels that errs with probability ``NOISE``. Training climbs the likelihood of these readings; its gradient is the difference of
+two forward-backward passes, one with the readings and one without. A good document may thus have bad lines and the other way round, and
+the chain learns how likely a change is.
+
+The model is fitted on the driver from at most ``max_train`` labelled documents (those with the least hash of doc_id) and at
+most ``MAX_LINES`` lines of each, one run of lines from a place that the text's checksum names; of rows with one doc_id, the one with the least text hash.
+Rows whose crc32(doc_id as text) mod 4 is 2 are held out. Only features of the text are inputs.
 
 Null and empty texts are one empty line. Repeated rows each get a score. Without labels, or with one label only, every
 score is the share of label 1 (0.5 without any). An empty table gives no rows. Extra columns are ignored (and kept by ``keep``).
@@ -14,6 +19,8 @@ score is the share of label 1 (0.5 without any). An empty table gives no rows. E
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,6 +32,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import hashed_sample
 
 MAX_TRAIN = 3000
+MAX_LINES = 500
+NOISE = 0.1
 STEPS = 120
 THRESHOLD = 0.7
 N_FEATURES = 15
@@ -156,27 +165,25 @@ def forward_backward(score: np.ndarray, n_lines: np.ndarray, move: np.ndarray) -
     return good, np.exp(pair).sum(axis=0)
 
 
-def fit(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = STEPS, ridge: float = 1e-3) -> Model:
-    """Maximum likelihood of the line labels by Adam; rarer labels weigh as much as the other."""
+def fit(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = STEPS, ridge: float = 1e-3, noise: float = NOISE) -> Model:
+    """Maximum likelihood of the documents' labels as noisy readings of latent line labels, by Adam."""
     share = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(3 * N_FEATURES + 1), np.zeros((2, 2)), share)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    model = Model(mean, scale, np.zeros(3 * N_FEATURES + 1), np.zeros((2, 2)))
-    z, y = model.inputs(x, n_lines), np.repeat(labels, n_lines).astype(float)
-    seen = np.zeros((2, 2))
-    for label in (0, 1):
-        seen[label, label] = (n_lines[labels == label] - 1).sum()
-    emit, move = model.emit.copy(), model.move.copy()
-    state = [np.zeros((2, emit.size + 4)), 0.05, len(y)]
+    z = Model(mean, scale, np.zeros(0), np.zeros((2, 2))).inputs(x, n_lines)
+    reading = math.log((1 - noise) / noise) * np.repeat(2.0 * labels - 1, n_lines)
+    w = np.zeros(3 * N_FEATURES + 5)
+    first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        good, pairs = forward_backward(z @ emit, n_lines, move)
-        g = np.concatenate([z.T @ (y - good), (seen - pairs).ravel()]) / state[2] - ridge * np.concatenate([emit, move.ravel()])
-        state[0][0] = 0.9 * state[0][0] + 0.1 * g
-        state[0][1] = 0.99 * state[0][1] + 0.01 * g * g
-        d = state[1] * state[0][0] / (1 - 0.9**step) / (np.sqrt(state[0][1] / (1 - 0.99**step)) + 1e-8)
-        emit, move = emit + d[: emit.size], move + d[emit.size :].reshape(2, 2)
-    return Model(mean, scale, emit, move)
+        emit, move = w[:-4], w[-4:].reshape(2, 2)
+        score = z @ emit
+        good, pairs = forward_backward(score, n_lines, move)
+        read, seen = forward_backward(score + reading, n_lines, move)
+        g = np.concatenate([z.T @ (read - good), (seen - pairs).ravel()]) / len(z) - ridge * w
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        w = w + 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return Model(mean, scale, w[:-4], w[-4:].reshape(2, 2))
 
 
 def score_texts(model: Model, texts: list[str]) -> np.ndarray:
@@ -202,19 +209,23 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = hashed_sample(rows, "doc_id", max_train)
     chosen = chosen.select(F.col("doc_id").alias("_labelled"), (F.col("quality") == 1).cast("int").alias("_y"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
+    texts = docs.select("text", F.col("doc_id").alias("_of")).join(F.broadcast(chosen), F.col("_of") == F.col("_labelled"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = texts.groupBy(F.col("_of").cast("long").alias("doc_id")).agg(F.min_by(text, F.xxhash64(text)).alias("text"), F.max("_y").alias("_y"))
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for run in groups([t.as_py() or "" for t in batch.column(1)]):
+            for run in groups([t.as_py() for t in batch.column(1)]):
                 x, _, n_lines = line_features(run)
-                at = np.cumsum(n_lines) - n_lines
-                found += [x[a : a + n].tobytes() for a, n in zip(at, n_lines, strict=True)]
+                ends = np.cumsum(n_lines).tolist()
+                for text, n, end in zip(run, n_lines.tolist(), ends, strict=True):
+                    at = end - n + (zlib.crc32(text.encode()) % (n - MAX_LINES + 1) if n > MAX_LINES else 0)
+                    found.append(x[at : min(at + MAX_LINES, end)].tobytes())
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "x"])
 
-    found = texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "_y").mapInArrow(features, "doc_id long, y int, x binary")
+    found = texts.mapInArrow(features, "doc_id long, y int, x binary")
     rows = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(xs) if xs else np.zeros((0, N_FEATURES))
