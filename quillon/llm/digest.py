@@ -5,12 +5,16 @@ A text is canonicalised (NFKC, full case folding, runs of white space to one spa
 aggregated before the shuffle, must be equal, or the name gets a SHA-256 of the canonical text behind it. Likeness is that of an
 exact digest: 1 for equal canonical texts, else 0.
 
-Null texts count as empty. Repeated rows stay; rows with one doc_id follow each other by text. Null doc_ids come last in
-descending order. An empty table gives no rows; a single row is its own next document. Extra columns are ignored.
+Null texts count as empty. Repeated rows stay; rows with one doc_id follow each other by text, those with an id that fills more than one
+range (see ``with_next``) by the hash of their text first. Null doc_ids come last in descending order. An empty table gives no rows; a single row is its own next document. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,33 +46,58 @@ def colliding_names(docs: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("name")
 
 
+def range_borders(docs: DataFrame, n_ranges: int) -> tuple[list[int], dict[int | None, int]]:
+    """Borders that cut doc_id into ranges of about equal numbers of rows, and the ids that fill several ranges, with how many."""
+    shares = [k / n_ranges for k in range(1, n_ranges)]
+    found = docs.agg(
+        F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(max(10_000, 20 * n_ranges))).alias("q"), F.count("*").alias("n"), F.count("doc_id").alias("known")
+    ).first()
+    times = Counter(found["q"] or [])
+    # Beyond 2**53 neighbouring ids share a double, on which ranges are found; ids there are never split.
+    heavy: dict[int | None, int] = {v: k for v, k in times.items() if k > 1 and abs(v) < 1 << 53}
+    if (parts := n_ranges * (found["n"] - found["known"]) // max(found["n"], 1)) > 1:
+        heavy[None] = parts
+    return sorted({*times, *(v + 1 for v in heavy if v is not None)}), heavy
+
+
+def with_ranges(docs: DataFrame, n_ranges: int) -> DataFrame:
+    """Add ``_range`` and the order within it, ``_down`` and ``_hash``; a next document is in the same range or the next lower one."""
+    borders, heavy = range_borders(docs, n_ranges)
+    cuts = sorted({float(b) for b in borders}) or [0.0]
+    bucketizer = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="_bucket")
+    rows = bucketizer.transform(docs.withColumn("_id", F.coalesce("doc_id", F.lit(0)).cast("double")))
+    number = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("_bucket")).cast("long")
+    hashed, inner = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for value, parts in heavy.items():
+        of = F.col("doc_id").eqNullSafe(F.lit(value))
+        hashed = F.when(of, F.xxhash64("text")).otherwise(hashed)
+        place = F.shiftright(F.xxhash64("text"), 40) + (1 << 23)  # 24 bits that grow with the hash
+        inner = F.when(of, parts - 1 - F.shiftright(place * parts, 24)).otherwise(inner)
+    step = max(heavy.values(), default=1)
+    return rows.select("*", (number * step + inner).alias("_range"), F.bitwise_not("doc_id").alias("_down"), hashed.alias("_hash")).drop("_id", "_bucket")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Add the text of the next document in descending doc_id, the first one's after the last.
 
-    Rows are dealt out by ranges of doc_id and read their neighbour in a window; the last row of a range takes the
-    head of the next range that has rows from a table of one row per range.
+    Rows are dealt out by ranges of doc_id that hold about as many rows each (by approximate quantiles, so gaps between ids do not
+    matter; an id that fills several ranges is split by the hash of its texts) and read their neighbour in a window; the last row of a
+    range takes the head of the next range that has rows from a table of one row per range.
     """
-    n_ranges = 4 * shuffle_partitions(docs.sparkSession)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = 1 if low is None else (high - low) // n_ranges + 1
-    ranges = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = docs.withColumn("_range", ranges)
-
-    heads = rows.groupBy("_range").agg(F.max("doc_id").alias("_head_id"))
+    rows = with_ranges(docs, 16 * shuffle_partitions(docs.sparkSession))
+    heads = rows.groupBy("_range").agg(F.min(F.struct("_down", "_hash")).alias("_head"))
     down = Window.orderBy(F.desc("_range"))
     before = F.coalesce(F.lag("_range").over(down), F.min("_range").over(Window.partitionBy()))
-    heads = heads.withColumn("_from", before)
-    first = rows.select("_range", "doc_id", "text").join(
-        F.broadcast(heads.withColumnRenamed("_range", "_head_range")),
-        (F.col("_range") == F.col("_head_range")) & F.col("doc_id").eqNullSafe(F.col("_head_id")),
-    )
+    heads = heads.withColumn("_from", before).withColumnRenamed("_range", "_head_range")
+    same = [F.col("_range") == F.col("_head_range"), F.col("_down").eqNullSafe(F.col("_head._down")), F.col("_hash") == F.col("_head._hash")]
+    first = rows.select("_range", "_down", "_hash", "text").join(F.broadcast(heads), same)
     heads = first.groupBy("_from").agg(F.min("text").alias("_head_text"))
 
-    order = Window.partitionBy("_range").orderBy(F.desc("doc_id"), F.col("text"))
+    order = Window.partitionBy("_range").orderBy("_down", "_hash", "text")
     rows = rows.withColumn("_inner", F.lead("text").over(order))
     key = F.when(F.col("_inner").isNull(), F.col("_range"))
     joined = rows.withColumn("_edge", key).join(heads, (F.col("_range") == F.col("_from")) & F.col("_edge").isNotNull(), "left")
-    return joined.withColumn("next_text", F.coalesce("_inner", "_head_text")).drop("_range", "_inner", "_edge", "_from", "_head_text")
+    return joined.withColumn("next_text", F.coalesce("_inner", "_head_text")).drop("_range", "_down", "_hash", "_inner", "_edge", "_from", "_head_text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Strong patterns stand alone. Weak ones (identifiers, short secrets, endpoints) are noise by themselves; they are reported only
 if a complementary part lies within ``SCOPE`` code points: a secret for an identifier or an endpoint, either of them for a
-secret. Parts are joined by document and overlapping scope bins, so a bin holds a bounded number of them.
+secret. Parts are joined by document and overlapping scope bins, so a bin holds a bounded number of them; rows with equal doc_id
+and text are one document here.
 
 Null texts count as empty. Rows with equal doc_id and text share one set of spans and each get it. An empty table gives
 no rows. Extra columns are ignored (and kept by ``mask``).
@@ -73,7 +74,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak spans of ``rows`` that have a complementary part in scope: (doc_id, text_hash, linked)."""
-    parts = rows.where(F.size("weak") > 0).select("doc_id", "text_hash", F.explode(F.concat("base", "weak")).alias("p"))
+    rows = rows.where(F.size("weak") > 0).groupBy("doc_id", "text_hash").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
+    parts = rows.select("doc_id", "text_hash", F.explode(F.concat("base", "weak")).alias("p"))
     secret = F.col("p.kind").isin(0, 2, 4)
     parts = parts.select(F.struct("doc_id", "text_hash").alias("of"), "p", secret.alias("secret"), (F.col("p.kind") == 5).alias("endpoint"))
     near = F.sequence(F.floor((F.greatest(F.col("p.start") - scope, F.lit(0))) / scope), F.floor((F.col("p.end") + scope) / scope))
@@ -108,25 +110,26 @@ def with_links(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def mask(docs: DataFrame, scope: int = SCOPE, by: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``by``; ``n_chars``, if there, follows the new text."""
-    spans = with_links(docs, scope).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash"), "_spans")
-    same = docs["doc_id"].cast("long").eqNullSafe(spans["_of"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans["_hash"])
+    spans = with_links(docs, scope).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name of docs clashes
+    text = F.col("row.text").cast("string")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept, F.lit(by))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
 
     def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate(F.array_sort("_spans"), start, step, end))
-    out = docs.join(spans, same, "left").withColumn("text", text)
+    masked = F.when(F.col("spans").isNull(), text).otherwise(F.aggregate(F.array_sort("spans"), start, step, end))
+    out = whole.join(spans, same, "left").select("row", F.col("spans").isNotNull().alias("hit"), masked.alias("masked"))
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(length))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("hit"), F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _matches_sql(kind: int, pattern: str, group: int = 0) -> str:
