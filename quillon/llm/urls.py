@@ -1,9 +1,14 @@
 """URL filters: listed rules first, association rules for the rest, with Spark functions only.
 
-Listed rules label the URLs they fit. FP-growth mines token combinations of the labelled URLs; rules above a support and a
-confidence, without those that a shorter rule makes redundant, judge the URLs that no listed rule fits: their
-tokens meet an inverted index from token to rules, and a rule fires when all its tokens are there. The rule with the greatest
-confidence decides (then support, then length, then its text; block before allow); without a rule the verdict is allow.
+Listed rules label the URLs they fit. FP-growth mines combinations of at most ``MAX_ITEMS`` tokens of the labelled URLs; rules
+above a support and a confidence, without those that a shorter rule makes redundant, judge the URLs that no listed rule
+fits: their tokens meet an inverted index from token to rules, and a rule fires when all its tokens are there. The rule with the
+greatest confidence decides (then support, then length; block before allow); without a rule the verdict is allow.
+
+What must not be combined is taken out before mining, so that sites with long templated paths do not multiply: a token whose URLs all
+have one verdict is a rule by itself that makes every longer one redundant, and tokens that stand in exactly the same labelled URLs are
+one item, of which any member counts. If a URL still has more than ``MAX_WIDTH`` items, these are dealt into blocks and FP-growth sees every
+triple of blocks apart, which holds every combination of three items.
 
 Null urls, and urls without "://", have an empty host and path and no tokens. Repeated rows stay. An empty table
 gives no rows. Extra columns are ignored.
@@ -11,16 +16,22 @@ gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, shuffle_partitions
 
 # Fixed values: (verdict, rule).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
+MAX_ITEMS = 3
+MAX_WIDTH = 12
+REPEAT = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,39 +64,106 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Pruned rules (rule_id, items, verdict, confidence, support) from (tokens, verdict) rows: all that pass support and confidence."""
-    rows = labelled.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    to = F.element_at("consequent", 1)
-    rules = model.associationRules.where(to.startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("=")))
-    rules = rules.select(F.array_sort("antecedent").alias("items"), F.substring(to, 2, 99).alias("verdict"), "confidence", "support")
-    rules = materialize(rules, "url-rules")
-    # A rule is redundant if a shorter one within it says the same with no less confidence; both are met by a shared token.
-    short = rules.select(F.explode("items").alias("_t"), *[F.col(c).alias(f"_{c}") for c in ("items", "verdict", "confidence")])
-    long = rules.withColumn("_u", F.explode("items"))
-    within = (F.col("_t") == F.col("_u")) & (F.col("_verdict") == F.col("verdict")) & (F.col("_confidence") >= F.col("confidence"))
-    shorter = (F.size("_items") < F.size("items")) & (F.size(F.array_except("_items", "items")) == 0)
-    redundant = long.join(short, within & shorter).select("items", "verdict").distinct()
-    kept = rules.join(redundant, ["items", "verdict"], "left_anti")
-    return kept.withColumn("rule_id", F.xxhash64("items", "verdict"))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+def frequent_tokens(patterns: DataFrame, least: int) -> DataFrame:
+    """(token, n, top, alike) of the tokens that ``least`` URLs of one verdict have: number of URLs, the verdict of most of them, and
+    what tokens that stand in the same URLs have in common (their number and 128 bits of the sums of the URLs' hashes)."""
+    hashes = [F.xxhash64("tokens", "verdict", F.lit(k)).cast("decimal(20,0)").alias(f"h{k}") for k in (1, 2)]
+    hits = patterns.select(F.explode("tokens").alias("token"), "verdict", "n", *hashes)
+    by = hits.groupBy("token", "verdict").agg(F.sum("n").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+    top = F.max(F.struct("n", "verdict")).alias("top")
+    by = by.groupBy("token").agg(F.sum("n").alias("n"), top, F.struct(F.sum("n"), F.sum("h1"), F.sum("h2")).alias("alike"))
+    return by.where(F.col("top.n") >= least)
+
+
+def transactions(reduced: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
+    """Rows for FP-growth, one per labelled URL (and triple of blocks): names of items, behind the number of the triple and the verdict."""
+    width = reduced.agg(F.max(F.size("items"))).first()[0] or 0
+    n_blocks = 1 if width <= max_width else max(3, -(-MAX_ITEMS * width // max_width))
+    triples = list(combinations(range(n_blocks), min(MAX_ITEMS, n_blocks)))
+    rows = reduced.select("n", "verdict", "items", F.posexplode(F.array(*[F.array(*map(F.lit, t)) for t in triples])).alias("k", "blocks"))
+    rows = rows.withColumn("items", F.filter("items", lambda x: F.array_contains("blocks", x["place"] % n_blocks))).where(F.size("items") > 0)
+    rows = rows.select("n", F.transform("items", lambda x: F.concat_ws("|", "k", "verdict", x["item"])).alias("items"))
+    # A pattern of n URLs is n rows, through two arrays of bounded or slowly growing size.
+    rows = rows.select("n", "items", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEAT))).alias("part"))
+    size = F.least(F.col("n") - F.col("part") * REPEAT, F.lit(REPEAT)).cast("int")
+    return rows.select("items", F.explode(F.array_repeat(F.lit(0), size)).alias("_")).drop("_")
+
+
+def fired(found: DataFrame, rules: DataFrame, of: list[str]) -> DataFrame:
+    """The rules (items, ...) whose items all are among the ``found`` items (*of, item) of a URL, by an inverted index from item to rules."""
+    rules = rules.withColumn("n_items", F.size("items"))
+    index = rules.select(*[c for c in rules.columns if c != "items"], F.explode("items").alias("item"))
+    own = [c for c in index.columns if c != "item"]
+    return found.join(index, "item").groupBy(*of, *own).count().where("count = n_items").drop("count")
+
+
+def combined_rules(patterns: DataFrame, members: DataFrame, least: int, total: int, min_confidence: float, max_width: int) -> DataFrame:
+    """(items, verdict, confidence, support) of rules over items, without redundant ones.
+
+    FP-growth finds the sets that enough URLs of one verdict hold; the URLs of all verdicts are counted for those that may pass.
+    """
+    of = F.struct(F.xxhash64("tokens"), F.xxhash64(F.lit(1), "tokens")).alias("of")
+    found = patterns.select(of, "verdict", "n", F.explode("tokens").alias("token")).join(members, "token")
+    reduced = found.groupBy("of", "verdict", "n").agg(F.collect_set(F.struct("item", "place")).alias("items"))
+    reduced = materialize(reduced, "url-items")
+    rows = materialize(transactions(reduced, max_width), "url-transactions")
+    n_rows = rows.count()
+    if not n_rows:
+        return rows.sparkSession.createDataFrame([], "items array<string>, verdict string, confidence double, support double")
+    spread = shuffle_partitions(rows.sparkSession)  # a few rows may still hold many combinations
+    sets = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n_rows), numPartitions=spread).fit(rows).freqItemsets
+    sets = sets.where(F.size("items") <= MAX_ITEMS).withColumn("head", F.regexp_extract(F.get("items", F.lit(0)), r"^[0-9]+\|[^|]*\|", 0))
+    names = F.array_sort(F.transform("items", lambda x: F.substring(x, F.length("head") + 1, F.length(x))))
+    sets = sets.select(names.alias("items"), F.element_at(F.split("head", r"\|"), 2).alias("verdict"), "freq").distinct()
+    known = F.sum("freq").over(Window.partitionBy("items"))
+    sets = sets.withColumn("known", known).where(F.col("freq") >= min_confidence * F.col("known"))
+    sets = materialize(sets.select("items", "verdict", "freq", F.xxhash64("items", "verdict").alias("rule_id")), "url-sets")
+
+    hits = fired(reduced.select("of", "verdict", "n", F.explode("items.item").alias("item")), sets.select("rule_id", "items"), ["of", "verdict", "n"])
+    rules = sets.join(hits.groupBy("rule_id").agg(F.sum("n").alias("n")), "rule_id")
+    rules = rules.select("items", "verdict", (F.col("freq") / F.col("n")).alias("confidence"), (F.col("freq") / F.lit(total)).alias("support"))
+    rules = materialize(rules.where(F.col("confidence") >= min_confidence), "url-rules")
+    # A rule is redundant if one over a part of its items says the same with no less confidence.
+    part = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 2), mask -> filter(items, (x, i) -> shiftright(mask, i) % 2 = 1))")
+    parts = rules.where(F.size("items") > 1).select(F.col("items").alias("whole"), "verdict", F.explode(part).alias("items"))
+    best = parts.join(rules, ["items", "verdict"]).groupBy(F.col("whole").alias("items"), "verdict").agg(F.max("confidence").alias("best"))
+    return rules.join(best, ["items", "verdict"], "left").where("best is null or best < confidence").drop("best")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_width: int = MAX_WIDTH) -> tuple[DataFrame, DataFrame]:
+    """From (tokens, verdict) rows: the rules (items, verdict, confidence, support, rule_id) and the tokens of each item (token, item).
+
+    All rules of at most ``MAX_ITEMS`` items that pass support and confidence and that no shorter rule makes redundant. Frequent tokens
+    are bounded by the support and the tokens of a URL.
+    """
+    patterns = materialize(labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")), "url-patterns")
+    total = patterns.agg(F.sum("n")).first()[0] or 0
+    least = max(1, math.ceil(min_support * total))
+    frequent = materialize(frequent_tokens(patterns, least), "url-tokens")
+    pure = F.col("top.n") == F.col("n")
+    alone = frequent.where(pure).select("token", F.col("token").alias("item"), "top.verdict", (F.col("n") / F.lit(total)).alias("support"))
+    classes = frequent.where(~pure).groupBy("alike").agg(F.min("token").alias("item"), F.max("n").alias("n"), F.collect_set("token").alias("members"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "item"))  # over the frequent tokens only
+    classes = classes.withColumn("place", place)
+    members = materialize(classes.select("item", "place", F.explode("members").alias("token")), "url-members")
+    rules = combined_rules(patterns, members, least, total, min_confidence, max_width)
+    rules = rules.unionByName(alone.select(F.array("item").alias("items"), "verdict", F.lit(1.0).alias("confidence"), "support"))
+    return rules.withColumn("rule_id", F.xxhash64("items", "verdict")), members.select("token", "item").unionByName(alone.select("token", "item"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict."""
     url = F.col("url").cast("string")
     host, path = parts(url)
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = materialize(rows.withColumn("by_list", listed(F.col("host"), F.col("path"), rules)), "urls")
     rows = rows.withColumn("tokens", tokens(F.col("host"), F.col("path")))
-    labelled = rows.where("by_list is not null").select("tokens", "by_list.verdict")
-    mined = materialize(mine(labelled), "mined-rules")
-    index = mined.select("rule_id", "verdict", "confidence", "support", F.size("items").alias("n_items"), F.explode("items").alias("token"))
-
+    mined, members = mine(rows.where("by_list is not null").select("tokens", "by_list.verdict"), min_support, min_confidence)
+    mined = materialize(mined, "mined-rules")
     open_urls = rows.where("by_list is null").select("host", "path", "tokens").dropDuplicates(["host", "path"])
-    hits = open_urls.select("host", "path", F.explode("tokens").alias("token")).join(index, "token")
-    fired = hits.groupBy("host", "path", "rule_id", "verdict", "confidence", "support", "n_items").count().where("count = n_items")
+    found = open_urls.select("host", "path", F.explode("tokens").alias("token")).join(members, "token").select("host", "path", "item").distinct()
+    hits = fired(found, mined, ["host", "path"])
     rank = F.struct("confidence", "support", -F.col("n_items"), F.col("verdict") == "block", "rule_id")
-    chosen = fired.groupBy("host", "path").agg(F.max_by("verdict", rank).alias("mined"))
+    chosen = hits.groupBy("host", "path").agg(F.max_by("verdict", rank).alias("mined"))
     verdict = F.coalesce("by_list.verdict", "mined", F.lit("allow"))
     return rows.join(chosen, ["host", "path"], "left").select("page_id", "host", "path", F.col("by_list.rule").alias("rule"), verdict.alias("verdict"))
