@@ -6,8 +6,8 @@ fits: their tokens meet an inverted index from token to rules, and a rule fires
 greatest confidence decides (then support, then length; block before allow); without a rule the verdict is allow.
 
 What must not be combined is taken out before mining, so that sites with long templated paths do not multiply: a token whose URLs all
-have one verdict is a rule by itself that makes every longer one redundant, and tokens that stand in exactly the same labelled URLs are
-one item, of which any member counts. If a URL still has more than ``MAX_WIDTH`` items, these are dealt into blocks and FP-growth sees every
+have one verdict is a rule by itself that makes every longer one redundant, tokens that stand in exactly the same labelled URLs are
+one item, of which any member counts, and items without a frequent pair are rules by themselves only. If a URL still has more than ``MAX_WIDTH`` items, these are dealt into blocks and FP-growth sees every
 triple of blocks apart, which holds every combination of three items.
 
 Null urls, and urls without "://", have an empty host and path and no tokens. Repeated rows stay. An empty table
@@ -97,8 +97,18 @@ def fired(found: DataFrame, rules: DataFrame, of: list[str]) -> DataFrame:
     return found.join(index, "item").groupBy(*of, *own).count().where("count = n_items").drop("count")
 
 
-def combined_rules(patterns: DataFrame, members: DataFrame, least: int, total: int, min_confidence: float, max_width: int) -> DataFrame:
-    """(items, verdict, confidence, support) of rules over items, without redundant ones.
+def with_partners(reduced: DataFrame, least: int) -> DataFrame:
+    """``reduced`` (of, verdict, n, items) without the items that stand in no pair of items that ``least`` URLs of one verdict have."""
+    pair = F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x["item"].alias("a"), y["item"].alias("b"))))
+    pairs = reduced.withColumn("items", F.array_sort("items")).select("verdict", "n", F.explode(F.flatten(pair)).alias("pair"))
+    pairs = pairs.groupBy("pair", "verdict").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    useful = pairs.select(F.explode(F.array("pair.a", "pair.b")).alias("item")).distinct()
+    single = reduced.select("of", "verdict", "n", F.explode("items").alias("x"), F.col("x.item").alias("item"))
+    return single.join(useful, "item").groupBy("of", "verdict", "n").agg(F.collect_list("x").alias("items")).where(F.size("items") > 1)
+
+
+def combinations_of_items(patterns: DataFrame, members: DataFrame, least: int, total: int, min_confidence: float, max_width: int) -> DataFrame | None:
+    """(items, verdict, confidence, support) of rules over two items or more.
 
     FP-growth finds the sets that enough URLs of one verdict hold; the URLs of all verdicts are counted for those that may pass.
     """
@@ -106,49 +116,54 @@ def combined_rules(patterns: DataFrame, members: DataFrame, least: int, total: i
     found = patterns.select(of, "verdict", "n", F.explode("tokens").alias("token")).join(members, "token")
     reduced = found.groupBy("of", "verdict", "n").agg(F.collect_set(F.struct("item", "place")).alias("items"))
     reduced = materialize(reduced, "url-items")
-    rows = materialize(transactions(reduced, max_width), "url-transactions")
+    rows = materialize(transactions(materialize(with_partners(reduced, least), "url-partners"), max_width), "url-transactions")
     n_rows = rows.count()
     if not n_rows:
-        return rows.sparkSession.createDataFrame([], "items array<string>, verdict string, confidence double, support double")
+        return None
     spread = shuffle_partitions(rows.sparkSession)  # a few rows may still hold many combinations
     sets = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n_rows), numPartitions=spread).fit(rows).freqItemsets
-    sets = sets.where(F.size("items") <= MAX_ITEMS).withColumn("head", F.regexp_extract(F.get("items", F.lit(0)), r"^[0-9]+\|[^|]*\|", 0))
+    sets = sets.where(F.size("items").between(2, MAX_ITEMS)).withColumn("head", F.regexp_extract(F.get("items", F.lit(0)), r"^[0-9]+\|[^|]*\|", 0))
     names = F.array_sort(F.transform("items", lambda x: F.substring(x, F.length("head") + 1, F.length(x))))
     sets = sets.select(names.alias("items"), F.element_at(F.split("head", r"\|"), 2).alias("verdict"), "freq").distinct()
     known = F.sum("freq").over(Window.partitionBy("items"))
     sets = sets.withColumn("known", known).where(F.col("freq") >= min_confidence * F.col("known"))
     sets = materialize(sets.select("items", "verdict", "freq", F.xxhash64("items", "verdict").alias("rule_id")), "url-sets")
-
     hits = fired(reduced.select("of", "verdict", "n", F.explode("items.item").alias("item")), sets.select("rule_id", "items"), ["of", "verdict", "n"])
     rules = sets.join(hits.groupBy("rule_id").agg(F.sum("n").alias("n")), "rule_id")
     rules = rules.select("items", "verdict", (F.col("freq") / F.col("n")).alias("confidence"), (F.col("freq") / F.lit(total)).alias("support"))
-    rules = materialize(rules.where(F.col("confidence") >= min_confidence), "url-rules")
-    # A rule is redundant if one over a part of its items says the same with no less confidence.
-    part = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 2), mask -> filter(items, (x, i) -> shiftright(mask, i) % 2 = 1))")
-    parts = rules.where(F.size("items") > 1).select(F.col("items").alias("whole"), "verdict", F.explode(part).alias("items"))
-    best = parts.join(rules, ["items", "verdict"]).groupBy(F.col("whole").alias("items"), "verdict").agg(F.max("confidence").alias("best"))
-    return rules.join(best, ["items", "verdict"], "left").where("best is null or best < confidence").drop("best")
+    return rules.where(F.col("confidence") >= min_confidence)
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_width: int = MAX_WIDTH) -> tuple[DataFrame, DataFrame]:
     """From (tokens, verdict) rows: the rules (items, verdict, confidence, support, rule_id) and the tokens of each item (token, item).
 
-    All rules of at most ``MAX_ITEMS`` items that pass support and confidence and that no shorter rule makes redundant. Frequent tokens
-    are bounded by the support and the tokens of a URL.
+    All rules of at most ``MAX_ITEMS`` items that pass support and confidence (over one half) and that no shorter rule makes redundant.
+    Frequent tokens, and pairs of them, are bounded by the support and the tokens of a URL.
     """
+    if min_confidence <= 0.5:
+        raise ValueError("min_confidence must be over 0.5: an item is a rule for the verdict of most of its URLs")
     patterns = materialize(labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")), "url-patterns")
     total = patterns.agg(F.sum("n")).first()[0] or 0
     least = max(1, math.ceil(min_support * total))
     frequent = materialize(frequent_tokens(patterns, least), "url-tokens")
     pure = F.col("top.n") == F.col("n")
-    alone = frequent.where(pure).select("token", F.col("token").alias("item"), "top.verdict", (F.col("n") / F.lit(total)).alias("support"))
-    classes = frequent.where(~pure).groupBy("alike").agg(F.min("token").alias("item"), F.max("n").alias("n"), F.collect_set("token").alias("members"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "item"))  # over the frequent tokens only
+    classes = frequent.groupBy(F.when(pure, F.col("token")).alias("alone"), "alike", "top").agg(F.min("token").alias("item"), F.max("n").alias("n"), F.collect_set("token").alias("members"))
+    place = F.row_number().over(Window.orderBy("n", "item"))  # over the frequent tokens only
     classes = classes.withColumn("place", place)
-    members = materialize(classes.select("item", "place", F.explode("members").alias("token")), "url-members")
-    rules = combined_rules(patterns, members, least, total, min_confidence, max_width)
-    rules = rules.unionByName(alone.select(F.array("item").alias("items"), "verdict", F.lit(1.0).alias("confidence"), "support"))
-    return rules.withColumn("rule_id", F.xxhash64("items", "verdict")), members.select("token", "item").unionByName(alone.select("token", "item"))
+    members = materialize(classes.select("item", "place", F.col("alone").isNotNull().alias("pure"), F.explode("members").alias("token")), "url-members")
+    confidence = F.col("top.n") / F.col("n")
+    rules = classes.select(F.array("item").alias("items"), "top.verdict", confidence.alias("confidence"), (F.col("top.n") / F.lit(total)).alias("support"))
+    rules = rules.where(F.col("confidence") >= min_confidence)
+    mixed = members.where("not pure").select("token", "item", "place")
+    several = combinations_of_items(patterns, mixed, least, total, min_confidence, max_width)
+    if several is not None:
+        rules = materialize(rules.unionByName(several), "url-rules")
+        # A rule is redundant if one over a part of its items says the same with no less confidence.
+        part = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 2), mask -> filter(items, (x, i) -> shiftright(mask, i) % 2 = 1))")
+        parts = rules.where(F.size("items") > 1).select(F.col("items").alias("whole"), "verdict", F.explode(part).alias("items"))
+        best = parts.join(rules, ["items", "verdict"]).groupBy(F.col("whole").alias("items"), "verdict").agg(F.max("confidence").alias("best"))
+        rules = rules.join(best, ["items", "verdict"], "left").where("best is null or best < confidence").drop("best")
+    return rules.withColumn("rule_id", F.xxhash64("items", "verdict")), members.select("token", "item")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
