@@ -115,6 +115,30 @@ def test_strip_urls_leaves_code_alone(spark):
     assert rows.answer_markdown == "See a [b] ok.\n```\nhttp://in.code\n```\n\n `http://z` `http://localhost:8000/docs`." and rows.removed == 3
 
 
+def test_strip_urls_of_single_lines(spark):
+    cases = {
+        "[c1](https://x.example) and ![c1, c2](u)": ("[c1] and [c1, c2]", 2),
+        "``a `http://in.code` b`` then http://out.example.": ("``a `http://in.code` b`` then.", 1),
+        "`open and www.x.example": ("`open and", 1),
+        "[![alt](i.png)](https://x.example) end": ("alt end", 2),
+        '[a](<u v> "t (x)") [b](u \'t\') [c](u (t))': ("a b c", 3),
+        "[http://shown.example](http://to.example), ok": (", ok", 1),
+        "[see `code`](https://x.example/(a)) z": ("[see `code`] z", 1),
+        "text](https://x.example": ("text]", 1),
+        "[a [b [c] d] e](u)": ("a [b [c] d] e", 1),
+        "> - [ref]: https://x.example 'title'": ("> -", 1),
+        "[c1]: the order of things.": ("[c1]: the order of things.", 0),
+        "HTTPS://X.example/a?b=(c), www.y.example!": ("(c),!", 2),
+        "<HTTP://localhost:80/x> <ftp://f.example> <a@b.example>.": ("`HTTP://localhost:80/x`.", 2),
+        "localhost:8000 stays, http://localhost.example goes": ("localhost:8000 stays, goes", 1),
+        "[mine](http://127.0.0.1/x) [http://127.0.0.1/x](u)": ("mine `http://127.0.0.1/x`", 2),
+        "plain [brackets] (and) `code`": ("plain [brackets] (and) `code`", 0),
+    }
+    given = spark.createDataFrame([(i, "answered", t, []) for i, t in enumerate(cases)], "request_id long, status string, answer_markdown string, claims array<struct<text:string,citation_ids:array<string>,self_confidence:double>>")
+    got = {r.request_id: (r.answer_markdown, r.removed) for r in answers.strip_urls(given).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_claims_without_citation_are_capped(spark):
     rows = {(r.request_id, r.claim_no): r for r in answers.score_claims(*_claims(spark)).collect()}
     assert rows[(1, 1)].confidence == pytest.approx(0.15) and rows[(1, 2)].confidence == 0.0
