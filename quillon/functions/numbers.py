@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICES = 64
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -49,14 +54,41 @@ def rrf_credit(rank: Column, rrf_k: int) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + rank), F.lit(0.0))
 
 
-def nearest_rank(df: DataFrame, value: str, percents: dict[str, int], by: list[str]) -> DataFrame:
-    """Per group the value at rank ceil(percent / 100 * n), the rank taken in whole numbers.
+def placed_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, _to, _n) of the distinct values of each group: how many rows have this value or a lower one, and how many there are.
 
-    Values are first counted, so a group with few distinct values sorts few rows.
+    Values are counted first, then cut into ``SLICES`` ranges per group at approximate quantiles; each range is summed up by itself and
+    starts from the exact counts of those below, so that a group with most of all rows is spread over tasks.
     """
+    def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        """An inner join in which null keys are equal."""
+        named = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+        return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])).drop(*[f"_of_{c}" for c in keys])
+
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*by).orderBy(value)
-    placed = counted.withColumn("_to", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    shares = [k / SLICES for k in range(1, SLICES)]
+    borders = counted.groupBy(*by).agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(20 * SLICES)).alias("_borders"), F.sum("_c").alias("_n"))
+    rows = beside(counted, borders, by).select(*by, value, "_c", "_n", F.size(F.filter("_borders", lambda b: b < F.col(value))).alias("_slice"))
+    below = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_slice").agg(F.sum("_c").alias("_c")).select(*by, "_slice", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy(*by, "_slice").orderBy(value)
+    rows = rows.withColumn("_inner", F.sum("_c").over(inner))
+    return beside(rows, starts, [*by, "_slice"]).select(*by, value, (F.col("_start") + F.col("_inner")).alias("_to"), "_n")
+
+
+def nearest_rank(df: DataFrame, value: str, percents: dict[str, int], by: list[str]) -> DataFrame:
+    """Per group the value at rank ceil(percent / 100 * n), the rank taken in whole numbers."""
     at = {name: F.expr(f"({p} * _n + 99) div 100") for name, p in percents.items()}
     found = [F.min(F.when(F.col("_to") >= rank, F.col(value))).alias(name) for name, rank in at.items()]
-    return placed.groupBy(*by).agg(*found, F.max("_n").alias("n"))
+    return placed_values(df, value, by).groupBy(*by).agg(*found, F.max("_n").alias("n"))
+
+
+def continuous_percentiles(df: DataFrame, value: str, percents: dict[str, float], by: list[str]) -> DataFrame:
+    """Per group the exact percentiles, interpolated between the two values around each place, and the number of values."""
+    n, found = F.max("_n"), []
+    for name, p in percents.items():
+        place = F.lit(p) * (F.col("_n") - 1)
+        low, high = (F.min(F.when(F.col("_to") > at, F.col(value))) for at in (F.floor(place), F.ceil(place)))
+        share = F.lit(p) * (n - 1) - F.floor(F.lit(p) * (n - 1))
+        found.append((low + (high - low) * share).alias(name))
+    return placed_values(df, value, by).groupBy(*by).agg(*found, n.alias("n"))

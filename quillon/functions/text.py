@@ -54,7 +54,7 @@ def pseudonym(text: Column, key: bytes) -> Column:
     return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(text, "utf-8")), 256))), 256)
 
 
-def seeded_rank(seed: int, purpose: str, key: Column) -> Column:
+def seeded_rank(seed: int, purpose: str | Column, key: Column) -> Column:
     """A hash order that anyone with the seed can repeat."""
     return F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.lit(purpose), key), 256)
 

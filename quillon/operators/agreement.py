@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import normalize_label, seeded_rank
 
-BLOCK = 500
 SCOPES = "(human, judge), (kind, human, judge), (source, human, judge), (kind, source, human, judge)"
 
 
@@ -86,18 +85,48 @@ def calibration(claims: DataFrame) -> DataFrame:
 
 
 def negative_controls(claims: DataFrame, sources: DataFrame, n: int, seed: int, max_overlap: float) -> DataFrame:
-    """Claims paired with sources of another question that share few words with them; each question gives one claim.
+    """``n`` claims paired with sources of another question (fewer if there are no more), no question used twice.
 
-    claims: question_id, sections, words, claim; sources: source_question, source_sections, source_words, source. Pairs
-    are drawn within hashed blocks of about ``BLOCK`` sources, so their number grows with the claims, not with the product.
+    claims: question_id, sections, words, claim; sources: source_question, source_sections, source_words, source. Claims are tried in
+    seeded order, each with the sources in an order of its own; the first source with other sections that shares at most
+    ``max_overlap`` of the claim's words is taken. Claims go in blocks of ``4 * n`` against all sources, as each claim needs no more than its
+    first ``4 * n`` fitting ones; should all of these belong to used questions, the claim is asked again without them.
     """
-    blocks = max(1, sources.count() // BLOCK)
-    give = claims.withColumn("_b", F.pmod(F.xxhash64("claim", "question_id"), F.lit(blocks)))
-    take = sources.withColumn("_b", F.pmod(F.xxhash64("source", "source_question"), F.lit(blocks)))
+    name = F.concat_ws("|", F.col("question_id"), F.col("claim"))
+    queue = claims.withColumn("donor", name).withColumn("_k", seeded_rank(seed, "control-claim", F.col("donor")))
     share = F.try_divide(F.size(F.array_intersect("words", "source_words")), F.size("words"))
     ok = (F.col("question_id") != F.col("source_question")) & ~F.arrays_overlap("sections", "source_sections")
-    pairs = give.join(take, "_b").where(ok).withColumn("overlap", share).where(F.col("overlap") <= max_overlap)
-    pairs = pairs.withColumn("_k", seeded_rank(seed, "control", F.concat_ws("|", "question_id", "claim", "source_question", "source")))
-    best = pairs.groupBy("question_id").agg(F.min_by(F.struct("claim", "source_question", "source", "overlap", "_k"), "_k").alias("p"))
-    once = best.select("question_id", "p.*").groupBy("source_question").agg(F.min_by(F.struct("question_id", "claim", "source", "overlap", "_k"), "_k").alias("p"))
-    return once.select("source_question", "p.*").orderBy("_k").limit(n).drop("_k")
+    depth, made, used, last = 4 * n, [], set(), None
+
+    def partners(donors: DataFrame, without: set) -> list:
+        """The first fitting sources of each donor, in order."""
+        pool = sources.where(~F.col("source_question").isin(list(without))) if without else sources
+        pairs = F.broadcast(donors).join(pool, ok).withColumn("overlap", share).where(F.col("overlap") <= max_overlap)
+        key = seeded_rank(seed, F.concat(F.lit("control-sources:"), "donor"), F.concat_ws("|", "source_question", "source"))
+        first = pairs.withColumn("_s", key).withColumn("_rn", F.row_number().over(Window.partitionBy("donor").orderBy("_s"))).where(F.col("_rn") <= depth)
+        return sorted(first.select("donor", "_rn", "source_question", "source", "overlap").collect(), key=lambda r: r["_rn"])
+
+    while len(made) < n:
+        rest = queue if last is None else queue.where(F.struct("_k", "donor") > F.struct(F.lit(last[0]), F.lit(last[1])))
+        block = rest.orderBy("_k", "donor").limit(4 * n).collect()
+        if not block:
+            break
+        last = (block[-1]["_k"], block[-1]["donor"])
+        donors = claims.sparkSession.createDataFrame(block, queue.schema)
+        found: dict[str, list] = {}
+        for r in partners(donors, used):
+            found.setdefault(r["donor"], []).append(r)
+        for d in block:
+            if len(made) == n:
+                break
+            if d["question_id"] in used:
+                continue
+            first = found.get(d["donor"], [])
+            free = [r for r in first if r["source_question"] not in used]
+            if not free and len(first) == depth:
+                free = partners(claims.sparkSession.createDataFrame([d], queue.schema), used)
+            if free:
+                made.append((free[0]["source_question"], d["question_id"], d["claim"], free[0]["source"], free[0]["overlap"]))
+                used |= {d["question_id"], free[0]["source_question"]}
+    kinds = [(c, df.schema[c].dataType.simpleString()) for df, c in ((sources, "source_question"), (claims, "question_id"), (claims, "claim"), (sources, "source"))]
+    return claims.sparkSession.createDataFrame(made, ", ".join(f"`{c}` {k}" for c, k in kinds) + ", overlap double")

@@ -5,9 +5,16 @@ Requests: request_id, created_at, key (pseudonym), outcome, latency_ms, ... Ever
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.numbers import continuous_percentiles
+
+LONGEST_WAIT = 3600
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 on the timestamp's own clock, whatever the session's zone."""
@@ -16,11 +23,13 @@ def micros(ts: Column) -> Column:
 
 def daily_stats(requests: DataFrame) -> DataFrame:
     """Per UTC day: counts by outcome, exact continuous percentiles of latency."""
-    day = F.date_trunc("day", "created_at").alias("day")
-    return requests.groupBy(day).agg(
+    rows = requests.withColumn("day", F.date_trunc("day", "created_at"))
+    counts = rows.groupBy("day").agg(
         F.count("*").alias("requests"), F.count_if(F.col("outcome") == "answered").alias("answered"), F.count_if(F.col("outcome") == "failed").alias("failed"),
-        F.count_if("cache_hit").alias("cache_hits"), F.percentile("latency_ms", 0.5).alias("p50"), F.percentile("latency_ms", 0.95).alias("p95"),
+        F.count_if("cache_hit").alias("cache_hits"),
     )
+    latency = continuous_percentiles(rows, "latency_ms", {"p50": 0.5, "p95": 0.95}, ["day"]).drop("n")
+    return counts.join(latency.withColumnRenamed("day", "_day"), F.col("day").eqNullSafe(F.col("_day")), "left").drop("_day")
 
 
 def public_requests(requests: DataFrame, asof: Column, days: int = 7) -> DataFrame:
@@ -31,7 +40,7 @@ def public_requests(requests: DataFrame, asof: Column, days: int = 7) -> DataFra
 def stage_latency(requests: DataFrame, stages: list[str]) -> DataFrame:
     """(stage, n, p50, p95); a stage that did not run is null and does not count."""
     long = requests.unpivot(["request_id"], stages, "stage", "ms").where("ms is not null")
-    return long.groupBy("stage").agg(F.count("*").alias("n"), F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.95).alias("p95"))
+    return continuous_percentiles(long, "ms", {"p50": 0.5, "p95": 0.95}, ["stage"])
 
 
 def summary(requests: DataFrame) -> DataFrame:
@@ -103,27 +112,49 @@ def rate_decisions(events: DataFrame, per_minute: int, per_day: int) -> DataFram
 
 
 def budget_decisions(calls: DataFrame, limit: int) -> DataFrame:
-    """calls (call_id, ts) with admitted: the first ``limit`` of each UTC day."""
-    day = Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "call_id")
-    return calls.withColumn("admitted", F.row_number().over(day) <= limit)
+    """calls (call_id, ts) with admitted: the first ``limit`` of each UTC day.
+
+    Calls are counted per minute; a call's place in its day is that in its minute behind the minutes before.
+    """
+    rows = calls.withColumn("_minute", F.date_trunc("minute", "ts"))
+    minutes = rows.groupBy("_minute").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(F.date_trunc("day", "_minute")).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.select(F.col("_minute").alias("_of"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_minute").orderBy("ts", "call_id"))
+    placed = rows.withColumn("_place", inner).join(minutes, F.col("_minute").eqNullSafe(F.col("_of")))
+    return placed.select(*calls.columns, (F.col("_before") + F.col("_place") <= limit).alias("admitted"))
+
+
+def opening_requests(requests: DataFrame, ttl_seconds: int) -> DataFrame:
+    """(key, request_id) of the storable requests that open an entry.
+
+    An ordered fold: sorted rows of a key stream past one running deadline, nothing of a key is gathered. A hot key is one
+    sequential pass, as each opening depends on the one before.
+    """
+    def openings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, until, begun = None, 0, False
+        for batch in batches:
+            keep = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                opens = not begun or k != key or t >= until
+                if opens:
+                    key, until, begun = k, t + ttl_seconds * 1_000_000, True
+                keep.append(opens)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], ["key", "request_id"])
+
+    rows = requests.where("storable").select("key", micros(F.col("ts")).alias("t"), F.col("request_id").cast("long").alias("request_id"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", "t", "request_id")
+    return ordered.mapInArrow(openings, f"key {requests.schema['key'].dataType.simpleString()}, request_id long")
 
 
 def cache_classify(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     """Per key the ordered requests as hit, miss or uncached.
 
     A storable miss opens an entry that lives ``ttl_seconds`` whatever hits it gets; a miss that may not be stored opens
-    none. An ordered fold per key keeps only the requests that open an entry; windows then place the others after them.
+    none. A fold finds the requests that open an entry; windows then place the others after them.
     """
-    row = F.struct(micros(F.col("ts")).alias("t"), F.col("request_id").alias("id"))
-    by = requests.where("storable").groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        opens = acc["until"].isNull() | (r["t"] >= acc["until"])
-        until = F.when(opens, r["t"] + ttl_seconds * 1_000_000).otherwise(acc["until"])
-        return F.struct(until.alias("until"), F.when(opens, F.concat(acc["out"], F.array(r["id"].cast("bigint")))).otherwise(acc["out"]).alias("out"))
-
-    opened = by.select("key", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("request_id"), F.lit(True).alias("_opens"))
+    opened = opening_requests(requests, ttl_seconds).withColumn("_opens", F.lit(True))
     rows = requests.select("key", "request_id", micros(F.col("ts")).alias("_t")).join(opened, ["key", "request_id"], "left")
     order = Window.partitionBy("key").orderBy("_t", "request_id")
     rows = rows.withColumn("_from", F.last(F.when(F.col("_opens"), F.col("_t")), ignorenulls=True).over(order))
@@ -133,29 +164,50 @@ def cache_classify(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     return rows.select("key", "request_id", "kind", F.sum((F.col("kind") == "hit").cast("int")).over(since).cast("int").alias("hits"))
 
 
+def with_context(rows: DataFrame, ts: str, span_s: int) -> DataFrame:
+    """``rows`` in buckets ``_b`` of ``span_s`` seconds, each row once as itself (``_own``) and once as context of the next bucket.
+
+    What lies at most ``span_s`` before a row is in its bucket, so a window per bucket replaces one per key of all times.
+    """
+    own = F.floor(micros(F.col(ts)) / (span_s * 1_000_000))
+    found = rows.withColumn("_own_b", own).withColumn("_b", F.explode(F.array(own, own + 1)))
+    return found.withColumn("_own", F.col("_b") == F.col("_own_b")).drop("_own_b")
+
+
 def failure_openings(attempts: DataFrame, failures: int = 3, within_s: int = 60, open_s: int = 30) -> DataFrame:
     """(provider, opened_at, reopen_at): where ``failures`` failures in a row fall within ``within_s`` seconds.
 
-    Runs of failures are islands between successes; the wait is the longer of the standard and the attempt's own.
+    Only attempts of the last ``within_s`` seconds count, so these are looked at in buckets of that span with the bucket before; the wait
+    is the longer of the standard and the attempt's own.
     """
-    order = Window.partitionBy("provider").orderBy("ts", "attempt_id")
-    ok = F.sum((F.col("outcome") == "ok").cast("int")).over(order)
-    runs = attempts.withColumn("_run", ok).where("outcome <> 'ok'")
-    inner = Window.partitionBy("provider", "_run").orderBy("ts", "attempt_id")
-    back = F.lag("ts", failures - 1).over(inner)
-    opened = runs.withColumn("_first", back).where(F.col("_first").isNotNull() & (micros(F.col("ts")) - micros(F.col("_first")) <= within_s * 1_000_000))
-    wait = F.greatest(F.lit(open_s), F.least(F.coalesce("retry_after_s", F.lit(0)), F.lit(3600)))
+    order = Window.partitionBy("provider", "_b").orderBy("ts", "attempt_id")
+    row = with_context(attempts, "ts", within_s)
+    back = F.lag("ts", failures - 1).over(order)
+    row = row.withColumn("_first", back).withColumn("_good", F.max((F.col("outcome") == "ok").cast("int")).over(order.rowsBetween(1 - failures, 0)))
+    near = F.col("_first").isNotNull() & (micros(F.col("ts")) - micros(F.col("_first")) <= within_s * 1_000_000)
+    opened = row.where(F.col("_own") & near & (F.col("_good") == 0))
+    wait = F.greatest(F.lit(open_s), F.least(F.coalesce("retry_after_s", F.lit(0)), F.lit(LONGEST_WAIT)))
     return opened.select("provider", F.col("ts").alias("opened_at"), (F.col("ts") + F.make_dt_interval(secs=wait)).alias("reopen_at"))
 
 
-def outage_intervals(attempts: DataFrame, **cfg: int) -> DataFrame:
-    """(provider, start, end): overlapping openings merged."""
-    found = failure_openings(attempts, **cfg)
-    order = Window.partitionBy("provider").orderBy("opened_at", "reopen_at")
+def outage_intervals(attempts: DataFrame, failures: int = 3, within_s: int = 60, open_s: int = 30) -> DataFrame:
+    """(provider, start, end): overlapping openings merged.
+
+    No opening lasts longer than a bucket, so whether one begins an interval shows in its bucket and the one before; the last
+    beginning before a bucket comes from a table of one row per bucket.
+    """
+    span = max(open_s, LONGEST_WAIT)
+    found = with_context(failure_openings(attempts, failures, within_s, open_s), "opened_at", span)
+    order = Window.partitionBy("provider", "_b").orderBy("opened_at", "reopen_at")
     so_far = F.max("reopen_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("opened_at") > so_far).cast("int"), F.lit(1))
-    grouped = found.withColumn("_new", new).withColumn("_g", F.sum("_new").over(order))
-    return grouped.groupBy("provider", "_g").agg(F.min("opened_at").alias("start"), F.max("reopen_at").alias("end")).drop("_g")
+    begins = F.coalesce(F.col("opened_at") > so_far, F.lit(True))
+    found = found.withColumn("_start", F.when(begins, F.col("opened_at"))).where("_own")
+    buckets = found.groupBy(F.col("provider").alias("_p"), F.col("_b").alias("_pb")).agg(F.max("_start").alias("_s"))
+    earlier = Window.partitionBy("_p").orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("_carry", F.max("_s").over(earlier))
+    found = found.withColumn("_in", F.last("_start", ignorenulls=True).over(order))
+    found = found.join(buckets, F.col("provider").eqNullSafe(F.col("_p")) & (F.col("_b") == F.col("_pb")))
+    return found.groupBy("provider", F.coalesce("_in", "_carry").alias("start")).agg(F.max("reopen_at").alias("end"))
 
 
 def retention(requests: DataFrame, asof: Column, text_days: int = 29, row_days: int = 180) -> DataFrame:
@@ -182,4 +234,8 @@ def next_midnight(ts: Column, zone: str) -> Column:
 
 
 def latency_samples(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("step", "phase").agg(F.count("*").alias("n"), F.min("ms").alias("min_ms"), F.percentile("ms", 0.5).alias("median_ms"), F.max("ms").alias("max_ms"))
+    """(step, phase, n, min_ms, median_ms, max_ms); rows without a latency count in n only."""
+    ends = rows.groupBy("step", "phase").agg(F.count("*").alias("n"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"))
+    middle = continuous_percentiles(rows, "ms", {"median_ms": 0.5}, ["step", "phase"]).select(F.col("step").alias("_s"), F.col("phase").alias("_p"), "median_ms")
+    same = F.col("step").eqNullSafe(F.col("_s")) & F.col("phase").eqNullSafe(F.col("_p"))
+    return ends.join(middle, same, "left").select("step", "phase", "n", "min_ms", "median_ms", "max_ms")

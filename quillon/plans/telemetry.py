@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.numbers import nearest_rank
+from quillon.functions.numbers import continuous_percentiles, nearest_rank
 from quillon.functions.text import normalize_question, pseudonym, question_hash, seeded_rank, snippet
 from quillon.operators import indexing
 from quillon.operators import telemetry as m
@@ -75,7 +75,8 @@ def nearest(t: Tables) -> DataFrame:
 
 @query("E8_percentile_cont", "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.99), 6) as p99 from events group by event_type")
 def percentile_cont(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.99), 6).alias("p99"))
+    found = continuous_percentiles(t.events, "value", {"p50": 0.5, "p99": 0.99}, ["event_type"])
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
 @query("E33_latency_samples", "select event_type as step, case when user_id % 2 = 0 then 'warm' else 'cold' end as phase, count(*) as n, min(value) as min_ms, round(quantile_cont(value, 0.5), 6) as median_ms, max(value) as max_ms from events group by 1, 2")

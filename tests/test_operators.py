@@ -3,8 +3,10 @@
 import hashlib
 import hmac
 import json
+import random
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +245,65 @@ def test_plans(spark, sf_dir):
     for name in ("L1_dense_search", "L2_lexical_search", "L3_hybrid_search", "E24_agreement_scopes", "J1_rate_decisions", "J4_cache_classify", "L9_claim_confidence"):
         assert "Python" not in plan(name) and "Arrow" not in plan(name)
     assert "ReadSchema: struct<event_type:string,value:double>" in plan("E8_percentile_cont")
+
+
+def test_negative_controls_against_plain(spark):
+    """The greedy choice, over every pair; words and sections that clash, several claims and sources of a question."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(12)]
+    claims = [(q, [f"s{q % 5}"], sorted(rng.sample(words, 4)), f"claim {q} {k}") for q in range(30) for k in range(q % 3 + 1)]
+    sources = [(q, [f"s{(q + k) % 5}"], sorted(rng.sample(words, 6)), f"source {q} {k}") for q in range(30) for k in range(2)]
+    given = spark.createDataFrame(claims, "question_id long, sections array<string>, words array<string>, claim string")
+    pool = spark.createDataFrame(sources, "source_question long, source_sections array<string>, source_words array<string>, source string")
+
+    def sha(*parts):
+        return hashlib.sha256("\x1f".join(map(str, parts)).encode()).hexdigest()
+
+    order = {r.donor: r.k for r in given.select(F.concat_ws("|", "question_id", "claim").alias("donor")).withColumn("k", text.seeded_rank(5, "control-claim", F.col("donor"))).collect()}
+    for n in (3, 40):
+        made, used = [], set()
+        for q, sec, ws, claim in sorted(claims, key=lambda c: order[f"{c[0]}|{c[3]}"]):
+            if len(made) == n or q in used:
+                continue
+            fit = [(sha(5, f"control-sources:{q}|{claim}", f"{b}|{x}"), b, x) for b, bs, bw, x in sources if b != q and b not in used and not set(sec) & set(bs) and len(set(ws) & set(bw)) / len(ws) <= 0.5]
+            if fit:
+                made.append((min(fit)[1], q, claim, min(fit)[2]))
+                used |= {q, min(fit)[1]}
+        got = agreement.negative_controls(given, pool, n, 5, 0.5).collect()
+        assert [tuple(r)[:4] for r in got] == made and len(made) == min(n, len(made)) > 2
+
+
+def test_percentiles_of_hot_groups_against_numpy(spark):
+    rng = random.Random(3)
+    rows = [("hot", rng.choice([rng.random(), 0.5])) for _ in range(4000)] + [("one", 7.0), (None, 1.0), (None, 2.0), ("none", None)]
+    got = {r["g"]: r for r in numbers.continuous_percentiles(spark.createDataFrame(rows, "g string, v double"), "v", {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}, ["g"]).collect()}
+    for g in ("hot", "one", None):
+        values = [v for k, v in rows if k == g]
+        assert [got[g][k] for k in "abcd"] == pytest.approx([np.quantile(values, p) for p in (0.5, 0.95, 0.0, 1.0)]) and got[g]["n"] == len(values)
+    assert "none" not in got
+
+
+def test_outages_against_plain(spark):
+    rng = random.Random(4)
+    t, rows = 0, []
+    for k in range(3000):
+        t += rng.choice([1, 5, 19, 20, 31, 61, 900, 4000] if k % 7 == 0 else [1, 5, 19, 20])
+        rows.append((k, rng.choice("ab"), t, rng.choice(["ok", "timeout", "error"]), rng.choice([None, 10, 100, 5000])))
+    given = spark.createDataFrame(rows, "attempt_id long, provider string, s long, outcome string, retry_after_s int").withColumn("ts", F.timestamp_seconds("s"))
+    expected = []
+    for p in "ab":
+        mine = [r for r in rows if r[1] == p]
+        openings = []
+        for k in range(2, len(mine)):
+            last = mine[k - 2 : k + 1]
+            if all(r[3] != "ok" for r in last) and last[2][2] - last[0][2] <= 60:
+                openings.append((last[2][2], last[2][2] + max(30, min(last[2][4] or 0, 3600))))
+        merged = []
+        for a, b in openings:
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        expected += [(p, a, b) for a, b in merged]
+    got = telemetry.outage_intervals(given).select("provider", F.unix_seconds("start"), F.unix_seconds("end")).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(expected) > 20
