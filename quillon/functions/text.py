@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The analyzer's stop words and suffix rules (pattern, replacement), applied in order.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "with"]
 SUFFIXES = [("([a-z]{2})ies$", "$1y"), ("([a-z]{3})(?:ing|ed|es|s)$", "$1"), ("(b)b$|(d)d$|(g)g$|(m)m$|(n)n$|(p)p$|(r)r$|(t)t$", "$1$2$3$4$5$6$7$8")]
+LAST_LETTERS = list("sgdbmnprt")  # no rule takes a word with another last letter
 ABBREVIATIONS = "e\\.g\\.|i\\.e\\.|vs\\.|cf\\."
 
 
@@ -17,9 +18,10 @@ def analyze(text: Column) -> Column:
     kept = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
     def stem(word: Column) -> Column:
+        stemmed = word
         for pattern, replacement in SUFFIXES:
-            word = F.regexp_replace(word, pattern, replacement)
-        return word
+            stemmed = F.regexp_replace(stemmed, pattern, replacement)
+        return F.when(F.right(word, F.lit(1)).isin(*LAST_LETTERS), stemmed).otherwise(word)
 
     return F.transform(kept, stem)
 

@@ -36,6 +36,11 @@ def active_chunks(versions: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(F.broadcast(active), "index_version_id")
 
 
+def of_version(chunks: DataFrame, version_id: int) -> DataFrame:
+    """The chunks of exactly one version; a column of partitions prunes the scan."""
+    return chunks.where(F.col("index_version_id") == version_id)
+
+
 def dense_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Exact top ``k`` by cosine distance, ties by chunk_id: question_id, chunk_id, distance, dense_rank.
 
@@ -98,6 +103,29 @@ def rerank(candidates: DataFrame, scores: DataFrame, top_n: int, rank: str = "fu
     return top(joined, top_n, "final_rank", F.desc_nulls_last("rerank_score"), rank)
 
 
+#: The rank column of each mode's result.
+RANKS = {"dense": "dense_rank", "fts": "fts_rank", "hybrid": "fused_rank", "hybrid_rerank": "final_rank"}
+
+
+def search(mode: str, questions: DataFrame, chunks: DataFrame, index: DataFrame, k: int = 20, k_fused: int = 40, score: Callable[[DataFrame], DataFrame] | None = None, top_n: int = 10) -> DataFrame:
+    """The ranked candidates of a retrieval mode. ``score`` gives (question_id, chunk_id, rerank_score) of the fused candidates; scores
+    that are no permutation of them, or out of range, leave the question's order alone."""
+    if mode not in RANKS:
+        raise ValueError(f"unknown retrieval mode {mode!r}: one of {', '.join(RANKS)}")
+    if mode == "dense":
+        return dense_search(questions, chunks, k)
+    if mode == "fts":
+        return lexical_search(questions, index, k)
+    found = hybrid_search(questions, chunks, index, k, k, k_fused)
+    if mode == "hybrid":
+        return found
+    if score is None:
+        raise ValueError("hybrid_rerank needs scores")
+    given = score(found)
+    bad = rerank_problems(found, given).where("rule <> 'missing'").select("question_id").distinct()
+    return rerank(found, given.join(bad, "question_id", "left_anti"), top_n)
+
+
 def rerank_problems(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     """(question_id, rule, n): scores out of [0, 1], missing, repeated or unknown."""
     bad = scores.where(~F.col("rerank_score").between(0, 1) | F.isnan("rerank_score") | F.col("rerank_score").isNull())

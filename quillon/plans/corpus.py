@@ -12,7 +12,7 @@ from quillon.functions.numbers import nearest_rank
 from quillon.functions.text import escape_attribute, escape_content, normalize_label, sentences, slug, token_count
 from quillon.operators import corpus as c
 from quillon.operators import indexing
-from quillon.plans.registry import Tables, query
+from quillon.plans.registry import Tables, query, r6
 
 BASE = "https://docs.example"
 CODE = "```py\n# not a heading\n```\n\n"
@@ -128,9 +128,12 @@ def content_hash(t: Tables) -> DataFrame:
     return c.with_content_hash(rows).select("doc_id", "content_hash")
 
 
-@query("C20_hash_embedding")
+@query("C20_hash_embedding", """with h as (select item_id, k, sha256('query' || chr(31) || text || chr(31) || k) as h from benchmark, (select unnest(range(3)) as k)),
+ x as (select item_id, k * 8 + i as place, ('0x' || substr(h, i * 8 + 1, 8))::bigint / 2147483648.0::double - 1 as v from h, (select unnest(range(8)) as i))
+ select item_id, place, round(v / sqrt(sum(v * v) over (partition by item_id)), 6) as value from x""")
 def hash_embedding(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id", indexing.hash_embedding(F.col("text"), "query", 24).alias("embedding"))
+    rows = t.benchmark.select("item_id", F.posexplode(indexing.hash_embedding(F.col("text"), "query", 24)).alias("place", "value"))
+    return rows.select("item_id", F.col("place").cast("long").alias("place"), r6("value"))
 
 
 def located(t: Tables) -> DataFrame:

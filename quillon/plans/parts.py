@@ -25,9 +25,9 @@ def rank_query(name: str, rank: str, sql: str) -> None:
         if rank == "dense_rank":
             rows = r.dense_search(rq.asked_vectors(t), rq.vectors(t), rq.K)
         elif rank == "fts_rank":
-            rows = r.lexical_search(rq.asked_texts(t), r.postings(rq.text_chunks(t)), rq.K)
+            rows = r.lexical_search(rq.asked_texts(t), rq.index_of(t), rq.K)
         else:
-            rows = r.hybrid_search(rq.asked_both(t), rq.vectors(t), r.postings(rq.text_chunks(t)), rq.K, rq.K, 40)
+            rows = r.hybrid_search(rq.asked_both(t), rq.vectors(t), rq.index_of(t), rq.K, rq.K, 40)
         return rows.groupBy("question_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "chunk_id"))), lambda x: x["chunk_id"]), ",").alias("chunks"))
 
 
@@ -42,7 +42,7 @@ rank_query("F3_fused_ranks", "fused_rank", listed(rq.HYBRID, "fused", "fused_ran
 
 @query("F4_rerank_order", f"with {rq.RERANKED} select question_id, chunk_id, final_rank, not degraded as reordered from final")
 def rerank_order(t: Tables) -> DataFrame:
-    found = r.hybrid_search(rq.asked_both(t), rq.vectors(t), r.postings(rq.text_chunks(t)), rq.K, rq.K, 40)
+    found = r.hybrid_search(rq.asked_both(t), rq.vectors(t), rq.index_of(t), rq.K, rq.K, 40)
     return r.rerank(found, rq.scores(found), 1000).select("question_id", "chunk_id", F.col("final_rank").cast("long").alias("final_rank"), F.col("rerank_error").isNull().alias("reordered"))
 
 
@@ -63,20 +63,20 @@ def cosine(t: Tables) -> DataFrame:
 @query("D2_terms_postings", f"with {rq.LEXICAL} select question_id, count(*) as n_postings, sum(hits_a)::bigint as hits_a, sum(hits_b)::bigint as hits_b from asked join postings using (term) group by question_id")
 def terms_postings(t: Tables) -> DataFrame:
     terms = rq.asked_texts(t).select("question_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
-    return terms.join(r.postings(rq.text_chunks(t)), "term").groupBy("question_id").agg(F.count("*").alias("n_postings"), F.sum("hits_a").alias("hits_a"), F.sum("hits_b").alias("hits_b"))
+    return terms.join(rq.index_of(t), "term").groupBy("question_id").agg(F.count("*").alias("n_postings"), F.sum("hits_a").alias("hits_a"), F.sum("hits_b").alias("hits_b"))
 
 
 @query("D3_list_outer_join", f"with {rq.HYBRID} select question_id, count_if(dense_rank is not null and fts_rank is not null) as in_both, count_if(fts_rank is null) as dense_only, count_if(dense_rank is null) as lexical_only from merged group by question_id")
 def outer_join(t: Tables) -> DataFrame:
     q = rq.asked_both(t)
-    rows = r.dense_search(q, rq.vectors(t), rq.K).join(r.lexical_search(q, r.postings(rq.text_chunks(t)), rq.K), ["question_id", "chunk_id"], "full")
+    rows = r.dense_search(q, rq.vectors(t), rq.K).join(r.lexical_search(q, rq.index_of(t), rq.K), ["question_id", "chunk_id"], "full")
     d, f = F.col("dense_rank"), F.col("fts_rank")
     return rows.groupBy("question_id").agg(F.count_if(d.isNotNull() & f.isNotNull()).alias("in_both"), F.count_if(f.isNull()).alias("dense_only"), F.count_if(d.isNull()).alias("lexical_only"))
 
 
 @query("D4_chunk_fields", f"with {rq.LEXICAL} select question_id, chunk_id, source, sha256(text) as text_hash from fts_top join documents on chunk_id = doc_id")
 def chunk_fields(t: Tables) -> DataFrame:
-    found = r.lexical_search(rq.asked_texts(t), r.postings(rq.text_chunks(t)), rq.K).select("question_id", "chunk_id")
+    found = r.lexical_search(rq.asked_texts(t), rq.index_of(t), rq.K).select("question_id", "chunk_id")
     fields = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", F.sha2("text", 256).alias("text_hash"))
     return found.join(fields, "chunk_id").select("question_id", "chunk_id", "source", "text_hash")
 
@@ -279,7 +279,7 @@ def top_k(t: Tables) -> DataFrame:
 
 @query("G2_cut_before_fusion", f"with {rq.HYBRID} select question_id, max(dense_rank) as deepest_dense, max(fts_rank) as deepest_fts, count(*) as n from fused group by question_id")
 def cuts(t: Tables) -> DataFrame:
-    rows = r.hybrid_search(rq.asked_both(t), rq.vectors(t), r.postings(rq.text_chunks(t)), rq.K, rq.K, 40)
+    rows = r.hybrid_search(rq.asked_both(t), rq.vectors(t), rq.index_of(t), rq.K, rq.K, 40)
     return rows.groupBy("question_id").agg(F.max("dense_rank").cast("long").alias("deepest_dense"), F.max("fts_rank").cast("long").alias("deepest_fts"), F.count("*").alias("n"))
 
 
@@ -316,7 +316,7 @@ def credit(t: Tables) -> DataFrame:
 @query("I6_lexical_score", f"with {rq.POSTINGS} select term, round(sum(hits_a * 1.0::double + hits_b * 0.4::double), 6) as score from postings group by term")
 def lexical_score(t: Tables) -> DataFrame:
     hit = F.col("hits_a") * r.WEIGHT_HEADING + F.col("hits_b") * r.WEIGHT_BODY
-    return r.postings(rq.text_chunks(t)).groupBy("term").agg(F.round(F.sum(hit), 6).alias("score"))
+    return rq.index_of(t).groupBy("term").agg(F.round(F.sum(hit), 6).alias("score"))
 
 
 @query("I7_signal_scales", "select event_id, round(greatest(0, least(1, 1 - value / 200)), 6) as closeness, round((greatest(50, 1 + event_id % 90) - event_id % 90) / greatest(50, 1 + event_id % 90)::double, 6) as strength, round(least(1, value / 100), 6) as share from events")
@@ -406,7 +406,7 @@ def rerank_cached(t: Tables) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "rerank_score": 0.25})
 
-    found = r.lexical_search(rq.asked_texts(t), r.postings(rq.text_chunks(t)), rq.K).select("question_id", "chunk_id")
+    found = r.lexical_search(rq.asked_texts(t), rq.index_of(t), rq.K).select("question_id", "chunk_id")
     pairs = found.withColumn("question", F.col("question_id").cast("string")).withColumn("content", F.col("chunk_id").cast("string"))
     key = F.sha2(F.to_json(F.array(F.lit("m"), "question", "content")), 256)
     cache = pairs.where("chunk_id % 2 = 0").select(key.alias("key"), F.lit(0.75).alias("rerank_score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +58,21 @@ def read_generation_results(spark: SparkSession, path: str) -> DataFrame:
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A label sheet in CSV with commas, semicolons or tabs, quoted newlines allowed, a byte-order mark dropped.
 
-    The separator is the one that the first line has most of; only that line comes to the driver.
+    The separator is the one that the header has most of outside quotes; only its line comes to the driver.
     """
     first = (spark.read.text(path).first() or [""])[0]
-    sep = max(",;\t", key=first.count)
+    bare = re.sub('"[^"]*"', "", first)
+    sep = max(",;\t", key=bare.count)
     rows = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("escape", '"').csv(path)
     rows = rows.toDF(*[c.lstrip("﻿").strip().strip('"') for c in rows.columns])
     return rows.where(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in rows.columns]).isNotNull())
 
 
+def write_sheet(rows: DataFrame, path: str) -> None:
+    """A label sheet as one CSV folder with a header per file: commas, quotes doubled, empty cells for null."""
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", None).option("emptyValue", "").csv(path)
+
+
 def write_run(run: DataFrame, path: str) -> None:
     run.write.mode("overwrite").partitionBy("config").parquet(path)
 
