@@ -5,9 +5,6 @@ Requests: request_id, created_at, key (pseudonym), outcome, latency_ms, ... Ever
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,24 +125,23 @@ def budget_decisions(calls: DataFrame, limit: int) -> DataFrame:
 def opening_requests(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     """(key, request_id) of the storable requests that open an entry.
 
-    An ordered fold: sorted rows of a key stream past one running deadline, nothing of a key is gathered. A hot key is one
-    sequential pass, as each opening depends on the one before.
+    Nothing lives beyond ``ttl_seconds`` without a storable request, so such a gap always ends in an opening: an ordered fold
+    gathers the requests of a key between two gaps only. A key that never pauses is still one group.
     """
-    def openings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, until, begun = None, 0, False
-        for batch in batches:
-            keep = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                opens = not begun or k != key or t >= until
-                if opens:
-                    key, until, begun = k, t + ttl_seconds * 1_000_000, True
-                keep.append(opens)
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], ["key", "request_id"])
-
-    rows = requests.where("storable").select("key", micros(F.col("ts")).alias("t"), F.col("request_id").cast("long").alias("request_id"))
-    ordered = rows.repartition("key").sortWithinPartitions("key", "t", "request_id")
-    return ordered.mapInArrow(openings, f"key {requests.schema['key'].dataType.simpleString()}, request_id long")
+    ttl = ttl_seconds * 1_000_000
+    rows = requests.where("storable").select("key", F.struct(micros(F.col("ts")).alias("t"), F.col("request_id").alias("id")).alias("r"))
+    order = Window.partitionBy("key").orderBy("r")
+    begins = F.coalesce(F.col("r.t") - F.lag("r.t").over(order) >= ttl, F.lit(True))
+    rows = rows.withColumn("_begins", begins.cast("int")).withColumn("_stretch", F.sum("_begins").over(order))
+    by = rows.groupBy("key", "_stretch").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        opens = acc["until"].isNull() | (r["t"] >= acc["until"])
+        until = F.when(opens, r["t"] + ttl).otherwise(acc["until"])
+        return F.struct(until.alias("until"), F.when(opens, F.concat(acc["out"], F.array(r["id"].cast("bigint")))).otherwise(acc["out"]).alias("out"))
+
+    return by.select("key", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("request_id"))
 
 
 def cache_classify(requests: DataFrame, ttl_seconds: int) -> DataFrame:

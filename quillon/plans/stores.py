@@ -101,7 +101,8 @@ def shaped(t: Tables, head: str) -> DataFrame:
     """The first chunk of a page that begins with ``head`` and goes on with a document's words."""
     words = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
     pages = t.documents.select(F.concat(F.lit("p"), "doc_id", F.lit(".md")).alias("source_path"), F.concat(F.lit(head + "Words: "), words).alias("text"))
-    return stored(c.pack_sections(c.sections(c.blocks(c.page_lines(pages)))), "shaped").where("ordinal = 0")
+    # A limit that no page reaches: long sections are another query's.
+    return stored(c.pack_sections(c.sections(c.blocks(c.page_lines(pages))), 10**9), "shaped").where("ordinal = 0")
 
 
 THIN, SMALL = "# T\n\n## A\n\n### B\n\n", "# T\n\n## A\n\none small\n\n## B\n\ntwo small\n\n## C\n\n"

@@ -307,3 +307,21 @@ def test_outages_against_plain(spark):
         expected += [(p, a, b) for a, b in merged]
     got = telemetry.outage_intervals(given).select("provider", F.unix_seconds("start"), F.unix_seconds("end")).collect()
     assert sorted(map(tuple, got)) == sorted(expected) and len(expected) > 20
+
+
+def test_cache_openings_against_plain(spark):
+    """Keys with and without pauses, ties, and gaps of exactly the time to live."""
+    rng = random.Random(9)
+    rows, t = [], {"a": 0, "b": 0, "c": 0}
+    for k in range(900):
+        key = rng.choice("abc")
+        t[key] += rng.choice([0, 1, 5, 10] if key == "a" else [1, 10, 30, 100])
+        rows.append((key, k, t[key], rng.random() < 0.8))
+    given = spark.createDataFrame(rows, "key string, request_id long, s long, storable boolean").withColumn("ts", F.timestamp_seconds("s"))
+    expected = {}
+    for key, k, s, storable in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        last = expected.setdefault(key, [])
+        if storable and (not last or s >= last[-1][1] + 30):
+            last.append((k, s))
+    got = telemetry.opening_requests(given, 30).collect()
+    assert sorted((r.key, r.request_id) for r in got) == sorted((key, k) for key, found in expected.items() for k, _ in found)
