@@ -5,7 +5,7 @@ All but the last keep the columns of ``documents``.
 
 1. Quality classifier: documents predicted bad go.
 2. Quality rules: documents whose counts or score fail go; the statistics are those of the documents still there.
-3. SimHash near-duplicates: the document with the smallest doc_id of each component stays.
+3. SimHash near-duplicates: of documents linked by a similarity of 0.8 or more (five-word shingles), the smallest doc_id stays.
 4. Secret scans: every reported span becomes ``[SECRET]``; n_chars follows.
 5. Best-fit packing: one row per piece, with its sequence and place.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import line_crf, packing, quality_rules, secrets, simhash
+from quillon.llm import line_crf, packing, quality_rules, secrets, similar, simhash
 from quillon.llm.common import materialize, read_table
 
 
@@ -27,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, similar.similar_groups(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

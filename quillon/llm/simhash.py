@@ -35,18 +35,27 @@ BUCKET = 4096
 BROADCAST_ROWS = 10_000
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
-    """The fingerprint of a whole text: a bit is set if it is in over half of the shingles' XXH64."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included; fewer words make one shingle, none make no shingle."""
     words = text.encode().lower().split()  # both take ASCII only: A-Z, and 0x20 and 0x09 to 0x0D
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
     starts = [0, *(spaces + 1).tolist()]
     ends = [*spaces.tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
     ends = ends[width - 1 :] or ends[-1:]
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64)
+
+
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    """The fingerprint of a whole text: a bit is set if it is in over half of the shingles' XXH64."""
+    return majority_bits(shingle_hashes(text, width))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64 bits that are each set if they are in over half of ``hashes``."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -180,19 +189,23 @@ def near_links(vertices: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     return rows.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(links, "u long, v long")
 
 
+def _named(vertices: DataFrame, links: DataFrame, vertex: str) -> DataFrame:
+    """(vertex, component_id): the smallest first_id of each vertex's component."""
+    roots = components(links).select(F.col("node").alias(vertex), "root")
+    of = vertices.join(roots, vertex, "left").select(vertex, "first_id", F.coalesce("root", vertex).alias("root"))
+    least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return of.join(least, "root").select(vertex, "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): fingerprint in hex and the smallest doc_id reachable by links."""
     marks = materialize(fingerprints(docs), "fingerprints")
     vertices = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "vertices")
-    roots = components(near_links(vertices, radius)).select(F.col("node").alias("fp"), "root")
-    of = vertices.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
+    named = _named(vertices, near_links(vertices, radius), "fp")
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component; all columns stay."""
-    found = near_duplicates(docs, radius)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component in ``groups`` (doc_id, component_id), with all columns."""
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")

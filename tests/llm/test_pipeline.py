@@ -10,7 +10,7 @@ from quillon.llm import line_crf
 from quillon.llm.common import read_table
 from test_native import plain_spans
 from test_quality_rules import plain
-from test_simhash import plain_components, plain_fingerprint
+from test_similar import plain_groups
 from tokenizers import Tokenizer
 
 
@@ -23,7 +23,7 @@ def test_run_against_plain_stages(spark, sf_dir):
     docs = {d: t for d, t in docs.items() if line_crf.score_texts(model, [t or ""])[0] >= 0.7}
     kept = {r[0] for r in plain(sorted(docs.items()), good) if r[-2]}
     docs = {d: t for d, t in docs.items() if d in kept}
-    root = plain_components([(d, plain_fingerprint(t)) for d, t in docs.items()])
+    root = plain_groups(docs)
     docs = {d: t for d, t in docs.items() if root[d] == d}
     for d, t in docs.items():
         at, out = 0, ""

@@ -52,7 +52,7 @@ def test_query_against_all_pairs(docs):
     assert {r.doc_id: r.fingerprint for r in rows} == {d: f"{f:016x}" for d, f in marks}
     assert {r.doc_id: r.component_id for r in rows} == expected
     assert len(set(expected.values())) < len(texts) - 10
-    kept = simhash.one_of_each(docs(texts))
+    kept = simhash.one_of_each(docs(texts), simhash.near_duplicates(docs(texts)))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
