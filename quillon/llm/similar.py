@@ -12,9 +12,11 @@ of 64 bits differ in 10 bits on average, too many for exact bit blocks. So:
 4. What is within the radius is linked only if the sets (32 bits a shingle) have the similarity.
 5. First, the vertex with the most company in its buckets asks in each bucket. Then, in each bucket that still holds several
    components, all vertices outside the largest one ask. So a large group of near copies costs about a link a member, and
-   still every pair of different components that share a bucket is compared. Copies are never expanded into pairs.
+   still every pair of different components that share a bucket is compared. In this second round the sets travel with the rows and only links
+that connect something new leave a task. Copies are never expanded into pairs.
 
-A bucket larger than ``BUCKET`` is dealt out: those who ask go to every part, the others to one. Work is quadratic only in
+A bucket larger than ``BUCKET`` is dealt out: in the first round the one who asks goes to every part, in the second those who ask and those who
+answer are dealt into parts by the size of their sets, and every two parts meet. Work is quadratic only in
 bucket members that are similar enough to meet and yet stay unlinked to the bucket's largest component.
 
 Null texts count as empty; all texts without words are one group; texts of fewer than five words are linked if their words are
@@ -43,6 +45,7 @@ BANDS = 24
 ROWS = 5
 RADIUS = 26
 SEEDS = 5
+SHINGLES = 1000
 PART = 1 << 18
 
 
@@ -168,6 +171,82 @@ def near_pairs(rows: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> D
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(pairs, "u long, v long").distinct()
 
 
+def linked_within(codes: np.ndarray, starts: np.ndarray, labels: np.ndarray, i: np.ndarray, j: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Of the candidate rows (i, j), ``i`` ascending, enough similar ones to connect all labels that the similar ones connect.
+
+    Row k's set is ``codes[starts[k]:starts[k + 1]]``; the codes are small whole numbers.
+    """
+    sizes, labels = np.diff(starts), labels.copy()
+    marked = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    us, vs = [], []
+    firsts = np.flatnonzero(np.diff(i, prepend=-1))
+    for at, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(i)], strict=True):
+        row, to = i[at], j[at:end]
+        to = to[labels[to] != labels[row]]
+        if not len(to):
+            continue
+        own = codes[starts[row] : starts[row + 1]]
+        marked[own] = True
+        low, high = to.min(), to.max() + 1  # sets are not empty: empty ones have no bucket
+        shared = np.add.reduceat(marked[codes[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)[to - low]
+        marked[own] = False
+        to = to[shared * (least.numerator + least.denominator) >= (sizes[row] + sizes[to]) * least.numerator]
+        for label, k in zip(*np.unique(labels[to], return_index=True), strict=True):
+            us.append(row)
+            vs.append(to[k])
+            labels[labels == label] = labels[row]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def spanning_links(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Links (u, v) that connect all labels that similar rows of a bucket connect, of ``rows`` (key, vertex, fp, label, asks, size, n_asks).
+
+    The sets travel with the rows and are compared in the task, so what leaves it is less than a row per row, whatever the pairs. ``size`` and
+    ``n_asks`` are weights of a bucket's rows and of those that ask; both kinds are dealt out in parts, and every two parts meet.
+    """
+    least = Fraction(str(similarity))
+    na, nb = (F.ceil(F.col(c) / bucket).cast("int") for c in ("n_asks", "size"))
+    own_a, own_b = (F.pmod(F.xxhash64("vertex", F.lit(k)), n).cast("int") for k, n in enumerate((na, nb)))
+    ask = F.transform(F.sequence(F.lit(0), nb - 1), lambda b: F.struct(own_a.alias("a"), b.alias("b"), F.lit(True).alias("asks")))
+    answer = F.transform(F.sequence(F.lit(0), na - 1), lambda a: F.struct(a.alias("a"), own_b.alias("b"), F.lit(False).alias("asks")))
+    places = F.when(F.col("asks"), F.concat(ask, answer)).otherwise(answer)
+    dealt = rows.select("key", "vertex", "fp", "label", F.explode(places).alias("p"))
+    dealt = dealt.select(F.xxhash64("key", "p.a", "p.b").alias("unit"), "vertex", "fp", "label", "p.asks")
+    dealt = dealt.join(sets, "vertex").select("unit", "vertex", "fp", "label", "asks", "shingles")
+
+    def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def within(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            unit, vertex, fp, label, asks = (table.column(k).to_numpy() for k in range(5))
+            lists = table.column(5).combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            of = np.searchsorted(unit, unit)  # a label of one unit is none of another
+            names = np.unique(np.stack([of, label]), axis=1, return_inverse=True)[1].reshape(-1)
+            for i, j in near_answers(unit, fp.view(np.uint64), asks, ~asks, radius):
+                u, v = linked_within(codes, starts, names, i, j, least)
+                us.append(np.maximum(vertex[u], vertex[v]))
+                vs.append(np.minimum(vertex[u], vertex[v]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            unit = held.column(0).to_numpy()
+            last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+            if last:  # the last unit may go on in the next batch
+                yield within(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield within(held)
+
+    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(links, "u long, v long").distinct()
+
+
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Those of ``pairs`` (u, v) whose ``sets`` (vertex, shingles) have a Jaccard similarity of at least ``similarity``."""
     least = Fraction(str(similarity))
@@ -186,9 +265,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     The buckets are meant for a similarity of 0.8 or more; the smaller, the more links they miss.
     """
     marks = materialize(marks_of(docs, width), "similar-marks")
-    vertices = marks.groupBy("vertex").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    vertices = marks.groupBy("vertex").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), (1 + F.first(F.size("shingles")) / SHINGLES).alias("weight"))
     vertices = materialize(vertices, "similar-vertices")
-    rows = vertices.select("vertex", "fp", F.explode("keys").alias("key"))
+    rows = vertices.select("vertex", "fp", "weight", F.explode("keys").alias("key"))
     met = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = materialize(rows.join(met, "key"), "similar-buckets")
     sets = marks.select("vertex", "shingles").join(rows.select("vertex"), "vertex", "left_semi")
@@ -200,10 +279,10 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     links = materialize(similar_links(near_pairs(first, bucket=bucket), sets, similarity), "similar-links")
 
     roots = components(links).select(F.col("node").alias("vertex"), "root")
-    rows = materialize(rows.join(roots, "vertex", "left").select("key", "vertex", "fp", "size", F.coalesce("root", "vertex").alias("label")), "similar-labels")
-    held = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    held = held.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-    rest = rows.join(held, "key").select("key", "vertex", "fp", "size", "label", (F.col("label") != F.col("top.label")).alias("asks"))
-    more = materialize(similar_links(near_pairs(rest, bucket=bucket), sets, similarity), "similar-links")
+    rows = materialize(rows.join(roots, "vertex", "left").select("key", "vertex", "fp", "weight", F.coalesce("root", "vertex").alias("label")), "similar-labels")
+    held = rows.groupBy("key", "label").agg(F.sum("weight").alias("n"))
+    held = held.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    rest = rows.join(held, "key").select("key", "vertex", "fp", "size", "label", (F.col("label") != F.col("top.label")).alias("asks"), (F.col("size") - F.col("top.n")).alias("n_asks"))
+    more = materialize(spanning_links(rest, sets, similarity, bucket=bucket), "similar-links")
     named = _named(vertices.select("vertex", "first_id"), links.union(more), "vertex")
     return marks.select("doc_id", "vertex").join(named, "vertex").select("doc_id", "component_id")
