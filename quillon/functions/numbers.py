@@ -54,17 +54,35 @@ def rrf_credit(rank: Column, rrf_k: int) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + rank), F.lit(0.0))
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal."""
+    named = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])).drop(*[f"_of_{c}" for c in keys])
+
+
+def row_places(df: DataFrame, by: list[str], order: str, *ties: str, name: str = "place") -> DataFrame:
+    """``df`` with ``row_number() over (partition by by order by order, ties)`` as the long column ``name``.
+
+    Each group is cut into ``SLICES`` ranges of ``order``, a number, at approximate quantiles; rows are numbered within their range behind the
+    count of the ranges below, so that a group with most of all rows is spread over tasks. Nulls come first.
+    """
+    shares = [k / SLICES for k in range(1, SLICES)]
+    borders = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), F.lit(20 * SLICES)).alias("_borders"))
+    slice_of = F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col(order))), F.lit(0))
+    rows = beside(df, borders, by).withColumn("_slice", slice_of).drop("_borders")
+    below = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_c")).select(*by, "_slice", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_start"))
+    inner = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(order, *ties))
+    placed = beside(rows.withColumn("_inner", inner), starts, [*by, "_slice"])
+    return placed.withColumn(name, F.col("_start") + F.col("_inner")).drop("_slice", "_inner", "_start")
+
+
 def placed_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, value, _to, _n) of the distinct values of each group: how many rows have this value or a lower one, and how many there are.
 
     Values are counted first, then cut into ``SLICES`` ranges per group at approximate quantiles; each range is summed up by itself and
     starts from the exact counts of those below, so that a group with most of all rows is spread over tasks.
     """
-    def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        """An inner join in which null keys are equal."""
-        named = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
-        return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])).drop(*[f"_of_{c}" for c in keys])
-
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     shares = [k / SLICES for k in range(1, SLICES)]
     borders = counted.groupBy(*by).agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(20 * SLICES)).alias("_borders"), F.sum("_c").alias("_n"))

@@ -7,6 +7,7 @@ within each task before the shuffle. Wide chunk fields are joined at the end.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,23 +42,26 @@ def of_version(chunks: DataFrame, version_id: int) -> DataFrame:
     return chunks.where(F.col("index_version_id") == version_id)
 
 
-def dense_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Exact top ``k`` by cosine distance, ties by chunk_id: question_id, chunk_id, distance, dense_rank.
+def distance_blocks(questions: DataFrame, chunks: DataFrame) -> Iterator[DataFrame]:
+    """All pairs as question_id, chunk_id, distance, a frame for each block of at most about ``MAX_BROADCAST_QUESTIONS`` stated questions.
 
-    The stated questions meet all chunks in blocks: each block of at most about ``MAX_BROADCAST_QUESTIONS`` questions is
-    broadcast and the chunks stream past it once; a task keeps ``k`` rows per question.
+    A block is broadcast and the chunks stream past it once.
     """
-    check_k(k)
     asked = questions.select("question_id", F.col("embedding").alias("_q"))
     n_blocks = -(-max(asked.count(), 1) // MAX_BROADCAST_QUESTIONS)
-    found = None
     for block in range(n_blocks):
         part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == block)
         pairs = chunks.select("chunk_id", "embedding").join(F.broadcast(part), F.lit(True), "inner")
-        rows = pairs.select("question_id", "chunk_id", cosine_distance(F.col("embedding"), F.col("_q")).alias("distance"))
-        rows = top(rows, k, "dense_rank", "distance", "chunk_id")
-        found = rows if found is None else found.unionByName(rows)
-    return found
+        yield pairs.select("question_id", "chunk_id", cosine_distance(F.col("embedding"), F.col("_q")).alias("distance"))
+
+
+def dense_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Exact top ``k`` by cosine distance, ties by chunk_id: question_id, chunk_id, distance, dense_rank.
+
+    The questions meet all chunks in blocks; a task keeps ``k`` rows per question.
+    """
+    check_k(k)
+    return reduce(DataFrame.unionByName, [top(rows, k, "dense_rank", "distance", "chunk_id") for rows in distance_blocks(questions, chunks)])
 
 
 def postings(chunks: DataFrame) -> DataFrame:

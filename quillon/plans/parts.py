@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.numbers import cosine_distance, rank_strength, ratio, rrf_credit, unit
+from quillon.functions.numbers import beside, cosine_distance, rank_strength, ratio, row_places, rrf_credit, unit
 from quillon.functions.text import analyze, content_words, overlap, pseudo_score
 from quillon.operators import agreement, answers, gates, indexing
 from quillon.operators import metrics as mt
@@ -48,9 +50,8 @@ def rerank_order(t: Tables) -> DataFrame:
 
 @query("D1_question_chunk_distance", f"with {rq.DENSE} select question_id, count(*) as n, round(avg(distance), 6) as mean_distance from dense group by question_id")
 def distances(t: Tables) -> DataFrame:
-    asked = rq.asked_vectors(t).withColumnRenamed("embedding", "q")
-    pairs = rq.vectors(t).join(F.broadcast(asked), F.lit(True)).select("question_id", cosine_distance(F.col("embedding"), F.col("q")).alias("d"))
-    return pairs.groupBy("question_id").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_distance"))
+    means = [F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance")]
+    return reduce(DataFrame.unionByName, [rows.groupBy("question_id").agg(*means) for rows in r.distance_blocks(rq.asked_vectors(t), rq.vectors(t))])
 
 
 @query("I4_cosine_distance", "select a.vec_id, round(greatest(1 - list_inner_product(a.embedding::double[], b.embedding::double[]), 0), 6) as distance from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -285,10 +286,10 @@ def cuts(t: Tables) -> DataFrame:
 
 @query("G4_capped_offenders", "select source, string_agg(doc_id::varchar, ',' order by doc_id) filter (rn <= 5) as first, count(*) as n from (select *, row_number() over (partition by source order by doc_id) as rn from documents) group by source")
 def capped(t: Tables) -> DataFrame:
-    order = Window.partitionBy("source").orderBy("doc_id")
-    rows = t.documents.select("source", "doc_id", F.row_number().over(order).alias("rn"))
-    first = F.array_sort(F.collect_list(F.when(F.col("rn") <= 5, F.col("doc_id"))))
-    return rows.groupBy("source").agg(F.array_join(first, ",").alias("first"), F.count("*").alias("n"))
+    rows = t.documents.select("source", "doc_id")
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 5")
+    first = first.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("first"))
+    return beside(rows.groupBy("source").agg(F.count("*").alias("n")), first, ["source"]).select("source", "first", "n")
 
 
 @query("H1_union_of_configs", "select distinct source as config from documents union select p_brand from part")
@@ -380,7 +381,7 @@ def section_carry(t: Tables) -> DataFrame:
 
 @query("F8_ordinals", "select doc_id, row_number() over (partition by source order by doc_id) - 1 as ordinal from documents")
 def ordinals(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("ordinal"))
+    return row_places(t.documents.select("doc_id", "source"), ["source"], "doc_id").select("doc_id", (F.col("place") - 1).alias("ordinal"))
 
 
 @query("J8_active_version_join", "select event_id, 7 as index_version_id from events")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.numbers import l2_normalize, norm
+from quillon.functions.numbers import l2_normalize, norm, row_places
 from quillon.functions.text import STOP_WORDS, analyze, pseudo_score
 from quillon.operators import indexing, metrics
 from quillon.operators import retrieval as r
 from quillon.plans.registry import Tables, query, r6
-from quillon.sources.store import built_once
+from quillon.sources.store import built_once, stored
 
 K = 20
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -264,10 +264,9 @@ def paired_diff(t: Tables) -> DataFrame:
    where a.config = 'coarse' and b.config = 'dense' and metric = 'ndcg_at_5')
  select question_id, round(delta, 6) as delta, row_number() over (order by round(delta, 9), question_id) as place from pairs""")
 def report_order(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = metrics.question_deltas(per_question(t), "coarse", "dense").where("metric = 'ndcg_at_5'")
-    return rows.select("question_id", r6("delta"), F.row_number().over(Window.orderBy(F.round("delta", 9), "question_id")).cast("long").alias("place"))
+    rows = stored(rows.select("question_id", "metric", "delta", F.round("delta", 9).alias("by")), "report-order")
+    return row_places(rows, ["metric"], "by", "question_id").select("question_id", r6("delta"), "place")
 
 
 @query("H2_same_candidates", f"""with {EVAL}, a as (select question_id, page || '#' || anchor as section_id from retrieved where config = 'coarse'),

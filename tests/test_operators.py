@@ -9,6 +9,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from quillon.functions import numbers, text
 from quillon.operators import agreement, answers, gates, indexing, retrieval, telemetry
@@ -325,3 +326,17 @@ def test_cache_openings_against_plain(spark):
             last.append((k, s))
     got = telemetry.opening_requests(given, 30).collect()
     assert sorted((r.key, r.request_id) for r in got) == sorted((key, k) for key, found in expected.items() for k, _ in found)
+
+
+def test_row_places_of_a_hot_group_with_ties_and_nulls(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, "cold").alias("g"),
+        F.when(F.col("id") % 7 > 0, F.col("id") * 7919 % 211).alias("v"),
+        "id",
+    )
+    expected = rows.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).cast("long"))
+    found = numbers.row_places(rows, ["g"], "v", "id")
+    assert found.columns == expected.columns and found.exceptAll(expected).count() == 0 and found.count() == 3000
+    assert numbers.row_places(rows.limit(0), ["g"], "v").count() == 0
+    empty = numbers.row_places(rows.where("v is null"), ["g"], "v", "id")
+    assert sorted(r.place for r in empty.collect() if r.g == "cold") == list(range(1, 1 + rows.where("v is null and g = 'cold'").count()))
