@@ -11,6 +11,7 @@ from quillon.llm.common import read_table
 from quillon.llm.digest import fingerprints
 from quillon.llm.html_text import extract
 from quillon.llm.line_crf import classify
+from quillon.llm.minhash import near_duplicates as minhash_duplicates
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality_rules import judge as judge_quality
 from quillon.llm.secrets import scan
@@ -60,6 +61,10 @@ def op10_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op11_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_best_fit_packing,
     op2_chunk_reuse_bpe,
@@ -71,6 +76,7 @@ QUERIES = (
     op8_line_crf_quality,
     op9_addressable_token_files,
     op10_url_association_rules,
+    op11_minhash_odd_sketches,
 )
 
 

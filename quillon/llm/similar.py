@@ -1,7 +1,7 @@
-"""SimHash near-duplicates by a similarity of shingle sets, for texts whose fingerprints are too far apart to be their own index.
+"""Near-duplicates by a similarity of shingle sets, for texts whose fingerprints are too far apart to be their own index.
 
-Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. At 0.8 two fingerprints
-of 64 bits differ in 10 bits on average, too many for exact bit blocks. So:
+Two texts are linked if the Jaccard similarity of their sets of shingles (``similar_groups``: of five words, by SimHash) is 0.8 or more.
+At 0.8 two fingerprints of 64 bits differ in 10 bits on average, too many for exact bit blocks. So:
 
 1. Texts with equal shingle sets are one vertex (64-bit digest of the set). Its fingerprint is the majority of the set's hashes.
 2. Buckets: a vertex stands in ``BANDS`` of them, each named by the least values of ``ROWS`` seeded hashes over its set. A
@@ -9,15 +9,16 @@ of 64 bits differ in 10 bits on average, too many for exact bit blocks. So:
 3. Within a bucket some vertices ask and all answer. Fingerprints are bit planes along the sorted rows; every question runs
    over words of 64 rows with carry-save counters and leaves a word once all its rows are beyond ``RADIUS`` bits, which a
    pair of similarity 0.8 exceeds with a probability below 0.00001.
-4. What is within the radius is linked only if the sets (32 bits a shingle) have the similarity.
+4. What is within the radius is held against the odd sketches (``odd_sketch``), which most pairs of texts that share a template, but are below the
+   similarity, exceed; what is left is linked only if the sets (32 bits a shingle) have the similarity.
 5. First, the vertex with the most company in its buckets asks in each bucket. Then, in each bucket that still holds several
    components, all vertices outside the largest one ask. So a large group of near copies costs about a link a member, and
-   still every pair of different components that share a bucket is compared. In this second round the sets travel with the rows and only links
-that connect something new leave a task. Copies are never expanded into pairs.
+      still every pair of different components that share a bucket is compared. In this second round the sets travel with the rows and only links
+   that connect something new leave a task. Copies are never expanded into pairs.
 
 A bucket larger than ``BUCKET`` is dealt out: in the first round the one who asks goes to every part, in the second those who ask and those who
-answer are dealt into parts by the size of their sets, and every two parts meet. Work is quadratic only in
-bucket members that are similar enough to meet and yet stay unlinked to the bucket's largest component.
+answer are dealt into parts by the size of their sets, and every two parts meet. Pairs are as the square only of
+bucket members that are similar enough to meet and yet stay unlinked to the bucket's largest component, and cost some machine words each.
 
 Null texts count as empty; all texts without words are one group; texts of fewer than five words are linked if their words are
 equal. Rows with one doc_id and different texts are different vertices, and the doc_id stays if it is the smallest of any of their groups. A null
@@ -26,7 +27,7 @@ doc_id stays only if its component has no other. An empty table gives no rows. E
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize
 from quillon.llm.components import components
+from quillon.llm.odd_sketch import BITS, close, odd_sketch
 from quillon.llm.simhash import BUCKET, _named, majority_bits, shingle_hashes
 
 WIDTH = 5
@@ -46,7 +48,10 @@ ROWS = 5
 RADIUS = 26
 SEEDS = 5
 SHINGLES = 1000
-PART = 1 << 18
+PART = 1 << 13
+
+#: Rows (i, j) of equal unit that may be similar, of arrays sorted by unit and size: unit, fp, sketch (None: not to be looked at), size, asks, answers, similarity.
+Near = Callable[[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, np.ndarray, float], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def seeded(n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +60,7 @@ def seeded(n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, np.uint64)
 
 
-def band_keys(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> list[int]:
+def band_keys(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray, rows: int = ROWS) -> list[int]:
     """The bucket names of a set of shingle hashes, none for an empty set."""
     if not len(hashes):
         return []
@@ -64,15 +69,14 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> l
         part = hashes[at : at + 2048, None] * factors + offsets
         part ^= part >> np.uint64(31)
         least = np.minimum(least, part.min(axis=0))
-    rows = least.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(rows)]
+    return [xxhash.xxh64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(least.reshape(-1, rows))]
 
 
-def marks_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, vertex, fp, shingles, keys) per row of ``docs``."""
+def marks_of(docs: DataFrame, width: int = WIDTH, bands: int = BANDS) -> DataFrame:
+    """(doc_id, vertex, fp, sketch, n, shingles, keys) per row of ``docs``; n is the size of the set."""
 
     def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, offsets = seeded()
+        factors, offsets = seeded(bands * ROWS)
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py() or "", width)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -80,14 +84,16 @@ def marks_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     batch.column(0),
                     pa.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in sets], pa.int64()),
                     pa.array(np.array([majority_bits(h) for h in sets], np.uint64).view(np.int64)),
+                    pa.array([odd_sketch(h).tobytes() for h in sets], pa.binary()),
+                    pa.array([len(h) for h in sets], pa.int64()),
                     pa.array([np.unique(h.astype(np.uint32)).view(np.int32) for h in sets], pa.list_(pa.int32())),
                     pa.array([band_keys(h, factors, offsets) for h in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "vertex", "fp", "shingles", "keys"],
+                ["doc_id", "vertex", "fp", "sketch", "n", "shingles", "keys"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(marks, "doc_id long, vertex long, fp long, shingles array<int>, keys array<long>")
+    return rows.mapInArrow(marks, "doc_id long, vertex long, fp long, sketch binary, n long, shingles array<int>, keys array<long>")
 
 
 def near_answers(units: np.ndarray, fps: np.ndarray, asks: np.ndarray, answers: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -140,44 +146,63 @@ def near_answers(units: np.ndarray, fps: np.ndarray, asks: np.ndarray, answers:
             yield i[close], j[close]
 
 
-def near_pairs(rows: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Distinct pairs (u, v) of vertices with different labels that meet in ``rows`` (key, vertex, fp, label, asks, size)."""
+def on_planes(units: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, sizes: np.ndarray, asks: np.ndarray, answers: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The comparison of SimHash: fingerprints on bit planes, then odd sketches."""
+    for i, j in near_answers(units, fps, asks, answers):
+        fits = slice(None) if sketches is None else close(sketches, sizes, i, j, similarity)
+        yield i[fits], j[fits]
+
+
+def whole_units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of ``batches``, sorted by their first column, in tables that hold all rows of each of their units."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(unit, unit[-1]))
+        if held and (cut or held[-1].column(0)[-1].as_py() != unit[0]):  # what is held ends here, or within this batch
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks()
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def sketch_words(column: pa.ChunkedArray) -> np.ndarray:
+    """The sketches of a column, one row of machine words each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def near_pairs(rows: DataFrame, near: Near = on_planes, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """Distinct pairs (u, v) of vertices with different labels that meet in ``rows`` (key, vertex, fp, n, label, asks, size)."""
     parts = F.ceil(F.col("size") / bucket).cast("int")
     own = F.pmod(F.xxhash64("vertex"), parts).cast("int")
     to = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))).alias("part")
     rows = rows.select("*", own.alias("own"), to)
     unit = F.when(F.col("size") > bucket, F.xxhash64("key", "part")).otherwise(F.col("key"))
-    rows = rows.select(unit.alias("unit"), "vertex", "fp", "label", "asks", (F.col("own") == F.col("part")).alias("answers"))
+    rows = rows.select(unit.alias("unit"), "vertex", "fp", "n", "label", "asks", (F.col("own") == F.col("part")).alias("answers"))
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)]
-
-        def answer(unit, vertex, fp, label, asks, answers):
-            for i, j in near_answers(unit, fp, asks, answers, radius):
+        for table in whole_units(batches):
+            unit, vertex, fp, n, label, asks, answers = (c.to_numpy() for c in table.columns)
+            for i, j in near(unit, fp.view(np.uint64), None, n, asks, answers, similarity):
                 i, j = i[other := label[i] != label[j]], j[other]
                 ends = [pa.array(np.maximum(vertex[i], vertex[j])), pa.array(np.minimum(vertex[i], vertex[j]))]
                 yield pa.RecordBatch.from_arrays(ends, ["u", "v"])
 
-        for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            new[2] = new[2].view(np.uint64)
-            held = [np.concatenate(both) for both in zip(held, new, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if last:  # the last unit may go on in the next batch
-                yield from answer(*(h[:last] for h in held))
-                held = [h[last:] for h in held]
-        yield from answer(*held)
-
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(pairs, "u long, v long").distinct()
+    return rows.repartition("unit").sortWithinPartitions("unit", "n").mapInArrow(pairs, "u long, v long").distinct()
 
 
-def linked_within(codes: np.ndarray, starts: np.ndarray, labels: np.ndarray, i: np.ndarray, j: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+def linked_within(codes: np.ndarray, starts: np.ndarray, labels: np.ndarray, marked: np.ndarray, i: np.ndarray, j: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Of the candidate rows (i, j), ``i`` ascending, enough similar ones to connect all labels that the similar ones connect.
 
-    Row k's set is ``codes[starts[k]:starts[k + 1]]``; the codes are small whole numbers.
+    Row k's set is ``codes[starts[k]:starts[k + 1]]``; the codes are small whole numbers, and ``marked`` has a false place for each. ``labels`` become
+    those of the connected rows.
     """
-    sizes, labels = np.diff(starts), labels.copy()
-    marked = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    sizes = np.diff(starts)
     us, vs = [], []
     firsts = np.flatnonzero(np.diff(i, prepend=-1))
     for at, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(i)], strict=True):
@@ -187,8 +212,10 @@ def linked_within(codes: np.ndarray, starts: np.ndarray, labels: np.ndarray, i:
             continue
         own = codes[starts[row] : starts[row + 1]]
         marked[own] = True
-        low, high = to.min(), to.max() + 1  # sets are not empty: empty ones have no bucket
-        shared = np.add.reduceat(marked[codes[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)[to - low]
+        ends = np.cumsum(sizes[to])  # sets are not empty: empty ones have no bucket
+        begins = ends - sizes[to]
+        members = np.repeat(starts[to] - begins, sizes[to]) + np.arange(ends[-1])
+        shared = np.add.reduceat(marked[codes[members]], begins, dtype=np.int64)
         marked[own] = False
         to = to[shared * (least.numerator + least.denominator) >= (sizes[row] + sizes[to]) * least.numerator]
         for label, k in zip(*np.unique(labels[to], return_index=True), strict=True):
@@ -198,10 +225,10 @@ def linked_within(codes: np.ndarray, starts: np.ndarray, labels: np.ndarray, i:
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def spanning_links(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def spanning_links(rows: DataFrame, sets: DataFrame, near: Near = on_planes, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) that connect all labels that similar rows of a bucket connect, of ``rows`` (key, vertex, fp, label, asks, size, n_asks).
 
-    The sets travel with the rows and are compared in the task, so what leaves it is less than a row per row, whatever the pairs. ``size`` and
+    The sketches and sets travel with the rows and are compared in the task, so what leaves it is less than a row per row, whatever the pairs. ``size`` and
     ``n_asks`` are weights of a bucket's rows and of those that ask; both kinds are dealt out in parts, and every two parts meet.
     """
     least = Fraction(str(similarity))
@@ -212,39 +239,41 @@ def spanning_links(rows: DataFrame, sets: DataFrame, similarity: float = SIMILAR
     places = F.when(F.col("asks"), F.concat(ask, answer)).otherwise(answer)
     dealt = rows.select("key", "vertex", "fp", "label", F.explode(places).alias("p"))
     dealt = dealt.select(F.xxhash64("key", "p.a", "p.b").alias("unit"), "vertex", "fp", "label", "p.asks")
-    dealt = dealt.join(sets, "vertex").select("unit", "vertex", "fp", "label", "asks", "shingles")
+    dealt = dealt.join(sets, "vertex").select("unit", "vertex", "fp", "n", "label", "asks", "sketch", "shingles")
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def within(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            unit, vertex, fp, label, asks = (table.column(k).to_numpy() for k in range(5))
-            lists = table.column(5).combine_chunks()
+        for table in whole_units(batches):
+            unit, vertex, fp, n, label, asks = (c.to_numpy() for c in table.columns[:6])
+            lists = table.column(7).combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
             starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            marked = np.zeros(int(codes.max(initial=0)) + 1, bool)
             of = np.searchsorted(unit, unit)  # a label of one unit is none of another
             names = np.unique(np.stack([of, label]), axis=1, return_inverse=True)[1].reshape(-1)
-            for i, j in near_answers(unit, fp.view(np.uint64), asks, ~asks, radius):
-                u, v = linked_within(codes, starts, names, i, j, least)
-                us.append(np.maximum(vertex[u], vertex[v]))
-                vs.append(np.minimum(vertex[u], vertex[v]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            for i, j in near(unit, fp.view(np.uint64), sketch_words(table.column(6)), n, asks, ~asks, similarity):
+                u, v = linked_within(codes, starts, names, marked, i, j, least)
+                if len(u):
+                    ends = [pa.array(np.maximum(vertex[u], vertex[v])), pa.array(np.minimum(vertex[u], vertex[v]))]
+                    yield pa.RecordBatch.from_arrays(ends, ["u", "v"])
+
+    return dealt.repartition("unit").sortWithinPartitions("unit", "n").mapInArrow(links, "u long, v long").distinct()
 
+
+def close_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sketches and sizes in ``sets`` (vertex, n, sketch) allow the similarity."""
+
+    def allowed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            unit = held.column(0).to_numpy()
-            last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
-            if last:  # the last unit may go on in the next batch
-                yield within(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield within(held)
+            n = batch.num_rows
+            sizes = np.concatenate([batch.column(k).to_numpy() for k in (2, 4)])
+            sketches = np.concatenate([sketch_words(batch.column(k)) for k in (3, 5)])
+            fits = close(sketches, sizes, np.arange(n), np.arange(n) + n, similarity)
+            yield batch.select(["u", "v"]).filter(pa.array(fits))
 
-    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(links, "u long, v long").distinct()
+    of = [sets.select(F.col("vertex").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in "uv"]
+    both = pairs.join(of[1], "v").join(of[0], "u").select("u", "v", "u_n", "u_sketch", "v_n", "v_sketch")
+    return both.mapInArrow(allowed, "u long, v long")
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -265,24 +294,33 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     The buckets are meant for a similarity of 0.8 or more; the smaller, the more links they miss.
     """
     marks = materialize(marks_of(docs, width), "similar-marks")
-    vertices = marks.groupBy("vertex").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), (1 + F.first(F.size("shingles")) / SHINGLES).alias("weight"))
+    return named_groups(marks, on_planes, similarity, bucket).select("doc_id", "component_id")
+
+
+def named_groups(marks: DataFrame, near: Near, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, n, component_id) per row of ``marks``, which must be a written table (see ``marks_of``)."""
+    first = [F.first(c).alias(c) for c in ("fp", "n", "keys")]
+    vertices = marks.groupBy("vertex").agg(F.min("doc_id").alias("first_id"), *first)
     vertices = materialize(vertices, "similar-vertices")
-    rows = vertices.select("vertex", "fp", "weight", F.explode("keys").alias("key"))
+    rows = vertices.select("vertex", "fp", "n", F.explode("keys").alias("key"))
     met = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = materialize(rows.join(met, "key"), "similar-buckets")
-    sets = marks.select("vertex", "shingles").join(rows.select("vertex"), "vertex", "left_semi")
-    sets = materialize(sets.groupBy("vertex").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    sets = marks.select("vertex", "n", "sketch", "shingles").join(rows.select("vertex"), "vertex", "left_semi")
+    sets = sets.groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "shingles")])
+    sets = materialize(sets, "similar-sets")
 
     company = rows.groupBy("vertex").agg(F.sum("size").alias("company"))
     lead = rows.join(company, "vertex").groupBy("key").agg(F.max(F.struct("company", "vertex")).alias("lead"))
-    first = rows.join(lead, "key").select("key", "vertex", "fp", "size", F.col("vertex").alias("label"), (F.col("vertex") == F.col("lead.vertex")).alias("asks"))
-    links = materialize(similar_links(near_pairs(first, bucket=bucket), sets, similarity), "similar-links")
+    asked = rows.join(lead, "key").select("key", "vertex", "fp", "n", "size", F.col("vertex").alias("label"), (F.col("vertex") == F.col("lead.vertex")).alias("asks"))
+    pairs = materialize(close_pairs(near_pairs(asked, near, similarity, bucket), sets, similarity), "similar-pairs")
+    links = materialize(similar_links(pairs, sets, similarity), "similar-links")
 
     roots = components(links).select(F.col("node").alias("vertex"), "root")
-    rows = materialize(rows.join(roots, "vertex", "left").select("key", "vertex", "fp", "weight", F.coalesce("root", "vertex").alias("label")), "similar-labels")
-    held = rows.groupBy("key", "label").agg(F.sum("weight").alias("n"))
-    held = held.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-    rest = rows.join(held, "key").select("key", "vertex", "fp", "size", "label", (F.col("label") != F.col("top.label")).alias("asks"), (F.col("size") - F.col("top.n")).alias("n_asks"))
-    more = materialize(spanning_links(rest, sets, similarity, bucket=bucket), "similar-links")
+    weight = (1 + F.col("n") / SHINGLES).alias("weight")
+    rows = materialize(rows.join(roots, "vertex", "left").select("key", "vertex", "fp", weight, F.coalesce("root", "vertex").alias("label")), "similar-labels")
+    held = rows.groupBy("key", "label").agg(F.sum("weight").alias("weight"))
+    held = held.groupBy("key").agg(F.count("*").alias("labels"), F.sum("weight").alias("size"), F.max(F.struct("weight", "label")).alias("top")).where("labels > 1")
+    rest = rows.join(held, "key").select("key", "vertex", "fp", "size", "label", (F.col("label") != F.col("top.label")).alias("asks"), (F.col("size") - F.col("top.weight")).alias("n_asks"))
+    more = materialize(spanning_links(rest, sets, near, similarity, bucket), "similar-links")
     named = _named(vertices.select("vertex", "first_id"), links.union(more), "vertex")
-    return marks.select("doc_id", "vertex").join(named, "vertex").select("doc_id", "component_id")
+    return marks.select("doc_id", "n", "vertex").join(named, "vertex").select("doc_id", "n", "component_id")

@@ -12,9 +12,9 @@ def plain_set(text, width=5):
     return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) or (frozenset([tuple(words)]) if words else frozenset())
 
 
-def plain_groups(docs):
+def plain_groups(docs, width=5):
     """doc_id -> smallest doc_id reachable over all pairs of similarity 0.8 or more."""
-    sets = {d: plain_set(t) for d, t in docs.items()}
+    sets = {d: plain_set(t, width) for d, t in docs.items()}
     root = {d: d for d in docs}
 
     def find(x):
