@@ -19,6 +19,7 @@ from quillon.llm.secrets import sql as secrets_sql
 from quillon.llm.simhash import near_duplicates
 from quillon.llm.token_files import round_trip
 from quillon.llm.urls import judge as judge_urls
+from quillon.llm.vector_codes import compress
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op11_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_best_fit_packing,
     op2_chunk_reuse_bpe,
@@ -77,6 +82,7 @@ QUERIES = (
     op9_addressable_token_files,
     op10_url_association_rules,
     op11_minhash_odd_sketches,
+    op12_dual_tree_codes,
 )
 
 
