@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.chunk_bpe import encode_and_decode
 from quillon.llm.common import read_table
+from quillon.llm.conversations import repair
 from quillon.llm.digest import fingerprints
 from quillon.llm.html_text import extract
 from quillon.llm.line_crf import classify
@@ -70,6 +71,10 @@ def op12_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = (
     op1_best_fit_packing,
     op2_chunk_reuse_bpe,
@@ -83,6 +88,7 @@ QUERIES = (
     op10_url_association_rules,
     op11_minhash_odd_sketches,
     op12_dual_tree_codes,
+    op13_auction_repair,
 )
 
 
