@@ -4,9 +4,9 @@ The ids are those of the ``tokenizers`` library for the JSON file of the same vo
 ``tiktoken`` from the rank file, which is several times faster. A test compares both libraries over every
 Unicode code point and over texts that hold the special token's string.
 
-The pattern that cuts pre-tokens looks ahead in white space, and the engine below gives up on runs of about a million
-characters. Such a run is one pre-token but for its last character, which may belong to what follows (the whole run, at the end of a
-text); runs of ``LONG_RUN`` characters or more are therefore cut out first and merged without the pattern.
+The pattern that cuts pre-tokens looks ahead in white space, for a time that grows with the square of a run, and the engine below gives up
+on runs of about a million characters. Such a run is one pre-token but for its last character, which may belong to what follows (the whole
+run, at the end of a text); runs of ``LONG_RUN`` characters or more are therefore cut out first and merged without the pattern.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import tiktoken
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
-LONG_RUN = 10_000
+LONG_RUN = 40
 # The characters that the pattern takes for white space.
 LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +50,19 @@ def test_long_runs_of_white_space(library):
         assert chunks.encode(text) == expected
 
 
+@pytest.mark.parametrize("n", [2, 3, 39, 40, 41, 64, 100, 1000, 9999])
+def test_time_of_white_space_does_not_grow_with_its_runs(library, n):
+    bpe = tokens.encoder(tokens.rank_path())
+    chunks = chunk_bpe.ChunkEncoder(bpe)
+    for c in " \n\t\u3000":
+        text = (c * n + "x") * (400_000 // (n + 1))
+        expected = ids_of(library, text)
+        began = time.perf_counter()
+        assert tokens.encode(bpe, text).tolist() == expected
+        assert chunks.encode(text) == expected
+        assert time.perf_counter() - began < 4
+
+
 def test_operators_take_long_runs_of_white_space(docs, library):
     texts = ["some words " * 300 + " " * 1_500_000 + "end", "\n" * 1_500_000]
     ids = {i: ids_of(library, t) for i, t in enumerate(texts)}
