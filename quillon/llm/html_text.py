@@ -37,12 +37,20 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 INLINE |= set("math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded mphantom menclose merror semantics annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("script style noscript template head title iframe object svg canvas audio video select textarea button option optgroup datalist annotation annotation-xml".split())
+# Of these, tags within do not end them from outside: their content is text, or a document of its own.
+CLOSED_WORLDS = set("script style title iframe textarea template".split())
+# No article stands within these; where one begins, the end tag was forgotten.
+WIDGETS = set("object svg canvas audio video select button option optgroup datalist".split())
+# Elements of a drawing that hold HTML, and the HTML elements that end a drawing they stand in otherwise.
+HTML_WITHIN = {"foreignobject", "desc", "title"}
+ENDS_DRAWING = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes script style template".split())
 CLOSED_BY = {  # an element ends where one of these begins
     "p": set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd td th tr".split()),
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
     "head": {"body"}, "option": {"option"},
 }
+CELLS = {"td", "th", "tr", "tbody", "tfoot", "thead"}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 # Tag families and class words that the features tell apart.
 TAGS = ["article main", "nav menu", "header hgroup", "footer", "aside", "form fieldset", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table tr td th", "section", "div", "figure figcaption", "dialog details", "address"]
@@ -86,7 +94,7 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tree = Tree()
         self.open: list[tuple[str, int]] = [("", 0)]  # tag, node
-        self.skip: list[str] = []  # the unseen elements that are open
+        self.skip: list[str] = []  # the unseen element that is open, and what is open in it
         self.links = 0
         self.parts: list[str] = []
         self.link_chars = 0
@@ -116,7 +124,8 @@ class TreeBuilder(HTMLParser):
         if self.skip:
             self.imply_unseen(tag)
         if self.skip:
-            if tag in UNSEEN:
+            drawn = "svg" in self.skip and not self.within_drawing()
+            if tag in UNSEEN or drawn and tag in HTML_WITHIN or not drawn and tag not in VOID and tag not in INLINE:
                 self.skip.append(tag)
             return
         if tag in UNSEEN:
@@ -145,7 +154,14 @@ class TreeBuilder(HTMLParser):
 
     def imply_unseen(self, tag: str) -> None:
         """Close the unseen elements that the start of ``tag`` ends; their end tags may be left out."""
-        if tag == "body" or self.skip == ["head"] and tag not in IN_HEAD:
+        unseen = UNSEEN.intersection(self.skip)
+        open_world = unseen.isdisjoint(CLOSED_WORLDS)
+        if open_world and (tag in ("article", "main") and unseen <= WIDGETS or (tag in CELLS or unseen <= {"canvas", "audio", "video", "noscript"}) and self.ended_by(tag)):
+            self.skip = []
+            self.border()
+        elif open_world and tag in ENDS_DRAWING and "svg" in self.skip and not self.within_drawing():
+            self.end_unseen("svg")
+        elif tag == "body" or self.skip == ["head"] and tag not in IN_HEAD:
             self.skip = []
         elif self.skip[0] in ("option", "optgroup") and tag not in ("option", "optgroup"):  # of no list
             self.skip = []
@@ -157,6 +173,11 @@ class TreeBuilder(HTMLParser):
         elif tag == "button":
             self.end_unseen("button")
 
+    def within_drawing(self) -> bool:
+        """Whether an element that holds HTML is open in the innermost drawing."""
+        at = len(self.skip) - 1 - self.skip[::-1].index("svg")
+        return not HTML_WITHIN.isdisjoint(self.skip[at:])
+
     def end_unseen(self, tag: str) -> None:
         """End the innermost open unseen ``tag`` with all that is open in it."""
         for k in range(len(self.skip) - 1, -1, -1):
@@ -164,6 +185,11 @@ class TreeBuilder(HTMLParser):
                 del self.skip[k:]
                 break
 
+    def ended_by(self, tag: str) -> bool:
+        """Whether the start of ``tag`` ends an open element around the unseen ones."""
+        others = [other for other, _ in self.open[1:]]
+        return next((tag in CLOSED_BY.get(other, ()) for other in reversed(others) if other in CLOSED_BY or other in SCOPE.get(tag, ())), False)
+
     def imply(self, tag: str) -> None:
         """Close the elements that the start of ``tag`` ends."""
         for k in range(len(self.open) - 1, 0, -1):
@@ -177,9 +203,11 @@ class TreeBuilder(HTMLParser):
         if self.skip:
             if self.skip[0] in ("option", "optgroup") and tag not in UNSEEN:
                 self.skip = []
-            else:
+            elif tag in self.skip or not CLOSED_WORLDS.isdisjoint(self.skip) or tag in INLINE or all(tag != other for other, _ in self.open):
                 self.end_unseen(tag)
                 return
+            else:  # an element around the unseen one ends, and the unseen one with it
+                self.skip = []
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
             return

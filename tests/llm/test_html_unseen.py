@@ -35,6 +35,49 @@ def test_text_after_unseen_elements_stays(unseen):
     assert blocks("<div>" + unseen + "</div>" + AFTER)[-1] == "The text after it."
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<nav><button>Menu</nav>",
+        "<div><button>Menu</div>",
+        "<div><canvas></div>",
+        "<div><svg><path></div>",
+        "<div><video src=x></div>",
+        "<ul><li><button>A<li><button>B</ul>",
+        "<table><tr><td><button>B</table>",
+        "<div><button><div>Menu</div></div>",
+        "<div><object><p>A</div>",
+        "<section><select><option>A</section>",
+        "<div><svg><g><path d=1></g></div>",
+        "<div><audio><source src=a></div>",
+        "<div><noscript><img src=a></div>",
+        "<div><datalist><option>A</div>",
+        "<div><svg><foreignObject><div>A</div></foreignObject></svg></div>",
+        "<header><nav><ul><li><button>B<ul><li>C</ul></nav></header>",
+    ],
+)
+def test_unseen_elements_end_with_what_they_stand_in(before):
+    for after in (AFTER, "<article>" + AFTER + "</article>"):
+        assert blocks(before + after) == ["The text after it."]
+        assert blocks("<main>" + before.upper() + after + "</main>") == ["The text after it."]
+
+
+@pytest.mark.parametrize("open_one", ["<button>Menu", "<svg><path>", "<canvas>", "<select><option>A", "<div><button><div>A</div>", "<video>", "<object>A"])
+def test_an_article_ends_an_open_widget(open_one):
+    assert blocks(open_one + "<article>" + AFTER + "</article>") == ["The text after it."]
+
+
+@pytest.mark.parametrize("html", ["<table><tr><td><button>B<td>Text</table>", "<p><video src=x><p>Text", "<svg><path><p>Text", "<svg><g><table><tr><td>Text</table>", "<div><svg><desc><p>no</p></desc></svg>Text</div>"])
+def test_starts_of_elements_end_unseen_ones(html):
+    assert blocks(html) == ["Text"]
+
+
+@pytest.mark.parametrize("html", ["<div><iframe></div>no", "<div><textarea></div>no", "<div><script></div>no", "<div><style></div>no", "<div><template><p>no</div>no"])
+def test_raw_text_goes_on_to_its_own_end_tag(html):
+    assert blocks(html) == []
+    assert blocks("<div><button>a<div>b</div>c</button>Text</div>") == ["Text"]
+
+
 def test_text_ends_an_open_head():
     assert blocks("<head><title>T</title>\n Plain words.<p>More.") == ["Plain words.", "More."]
 
