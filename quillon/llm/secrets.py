@@ -11,10 +11,12 @@ no rows. Extra columns are ignored (and kept by ``mask``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import let, materialize
 
 SCOPE = 200
 # The base patterns, and the weak ones of this method.
@@ -25,27 +27,37 @@ IDENTIFIER = r"""(?i:client_?id|access_?key_?id|user_?name|login|account)["']?\x
 ENDPOINT = r"""(?:https?|ftps?|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]{4,}"""
 KINDS = ["assign", "access", "hex", "identifier", "short_secret", "endpoint"]
 MIN_ASSIGN, MIN_SHORT = 12, 6
+BLOCK, GROUP = 4096, 64
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
-def found(text: Column, pattern: str, keep: Column | None = None) -> Column:
+def scanned(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join``, an associative function, makes of each value and all before it: steps of doubled length, so no array is copied per value."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        shift = F.pow(F.lit(2), k).cast("int")
+        moved = F.concat(F.array_repeat(F.lit(None).cast("int"), shift), F.slice(acc, 1, F.greatest(F.size(acc) - shift, F.lit(0))))
+        return F.when(F.size(acc) > shift, F.zip_with(acc, moved, lambda a, b: F.when(b.isNull(), a).otherwise(join(b, a)))).otherwise(acc)
+
+    return F.aggregate(steps, values.cast("array<int>"), step)
+
+
+def found(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """(start, end, ok) of all leftmost matches, in code points.
 
-    The text between matches and the matches themselves alternate, so their lengths add up to the places.
+    The text between matches and the matches themselves alternate, so their lengths add up to the places. ``keep`` says of the matches which are ok.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    ok = F.transform(hits, lambda _: F.lit(True)) if keep is None else keep
-    parts = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), ok.alias("ok"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        a = acc["at"] + part["gap"]
-        b = a + F.coalesce(part["hit"], F.lit(0))
-        span = F.array(F.struct(a.alias("start"), b.alias("end"), part["ok"].alias("ok")))
-        return F.struct(b.alias("at"), F.when(part["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out"))
+    def spans(hits: Column) -> Column:
+        hit = F.transform(hits, F.length)
+        gap = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), F.length)
+        ok = F.transform(hits, lambda _: F.lit(True)) if keep is None else keep(hits)
+        parts = F.arrays_zip(scanned(F.zip_with(gap, hit, lambda g, h: g + h), lambda a, b: a + b).alias("end"), hit.alias("hit"), ok.alias("ok"))
+        return F.transform(parts, lambda p: F.struct((p["end"] - p["hit"]).alias("start"), p["end"].alias("end"), p["ok"].alias("ok")))
 
-    spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,ok:boolean>>"))
+    none = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(none)
 
 
 def as_spans(spans: Column, kind: int, ok: bool = True) -> Column:
@@ -64,7 +76,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     value = F.regexp_extract_all(text, F.lit(KEY), F.lit(2))
-    rows = rows.withColumn("assign", found(text, KEY, F.transform(value, lambda v: F.length(v) >= MIN_ASSIGN)))
+    rows = rows.withColumn("assign", found(text, KEY, lambda _: F.transform(value, lambda v: F.length(v) >= MIN_ASSIGN)))
     rows = rows.withColumn("short", F.transform(value, lambda v: F.length(v) >= MIN_SHORT))
     short = F.zip_with("assign", "short", lambda s, long: F.struct(s["start"].alias("start"), s["end"].alias("end"), (~s["ok"] & long).alias("ok")))
     base = F.concat(as_spans(F.col("assign"), 0), as_spans(found(text, ACCESS), 1), as_spans(found(text, HEX), 2))
@@ -114,17 +126,7 @@ def mask(docs: DataFrame, scope: int = SCOPE, by: str = "[SECRET]") -> DataFrame
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name of docs clashes
     text = F.col("row.text").cast("string")
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept, F.lit(by))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
-
-    def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-
-    masked = F.when(F.col("spans").isNull(), text).otherwise(F.aggregate(F.array_sort("spans"), start, step, end))
+    masked = F.when(F.col("spans").isNull(), text).otherwise(without(text, F.col("spans"), by))
     out = whole.join(spans, same, "left").select("row", F.col("spans").isNotNull().alias("hit"), masked.alias("masked"))
     new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
@@ -132,6 +134,38 @@ def mask(docs: DataFrame, scope: int = SCOPE, by: str = "[SECRET]") -> DataFrame
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def without(text: Column, spans: Column, by: str) -> Column:
+    """``text`` with every span replaced by ``by``; of overlapping spans only the first is.
+
+    The text is cut into blocks once, and each group of spans takes its pieces from the blocks around it, so time grows with the text and the spans.
+    """
+
+    def part(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+        return F.substring(near, start - first * BLOCK + 1, end - start)
+
+    def joined(both: Column) -> Column:
+        blocks, ordered = both["blocks"], both["spans"]
+        after = F.concat(F.array(F.lit(0)), scanned(ordered["end"], F.greatest))  # where the text goes on behind each span and all before it
+        cuts = F.arrays_zip(F.slice(after, 1, F.size(ordered)).alias("at"), ordered["start"].alias("start"))
+
+        def of_group(cuts: Column, k: Column) -> Column:
+            own = F.slice(cuts, k * GROUP + 1, GROUP)
+            base = own[0]["at"]
+            segment = part(blocks, base, F.greatest(base, F.array_max(own["start"])))
+            pieces = lambda near: F.transform(own, lambda c: F.when(c["start"] >= c["at"], F.concat(F.substring(near, c["at"] - base + 1, c["start"] - c["at"]), F.lit(by))).otherwise(F.lit("")))
+            return let(segment, lambda near: F.array_join(pieces(near), ""))
+
+        groups = F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / GROUP).cast("int"))
+        pieces = let(cuts, lambda c: F.array_join(F.transform(groups, lambda k: of_group(c, k)), ""))
+        last = F.array_max(ordered["end"])
+        return F.concat(pieces, part(blocks, last, F.greatest(last, F.length(text))))
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    return let(F.struct(blocks.alias("blocks"), F.array_sort(spans).alias("spans")), joined)
+
+
 def _matches_sql(kind: int, pattern: str, group: int = 0) -> str:
     """Rows (rid, kind, start, end, value) of all matches; places add up as in ``found``."""
     quoted = pattern.replace("'", "''")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import duckdb
@@ -188,3 +189,34 @@ def test_urls_against_plain(pages):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict if rule else r.verdict in ("allow", "block")
     assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_many_secrets_in_one_text(docs):
+    """64,000 matches over 3 MB: scan and mask take time in proportion."""
+    rng = random.Random(8)
+    words = [rng.choice(["%016x" % rng.getrandbits(64), "token=" + "k" * 14, "AKIA" + "Z" * 16, "é🎉" * rng.randrange(1, 9)]) for _ in range(85_000)]
+    text = " ".join(words)
+    expected = [w for w in words if not w.startswith("é")]
+    began = time.perf_counter()
+    row = secrets.scan(docs([text])).collect()[0]
+    assert row.n_assign + row.n_access + row.n_hex == len(expected) > 60_000
+    masked = secrets.mask(docs([text])).collect()[0]
+    assert masked.text == re.sub(r"token=k{14}|AKIAZ{16}|[0-9a-f]{16,}", "[SECRET]", text) and masked.n_chars == len(masked.text)
+    assert time.perf_counter() - began < 20
+
+
+def test_overlapping_and_touching_spans_are_cut_out(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(40):
+        text = "".join(rng.choice("ab🎉é \n") for _ in range(rng.randrange(0, 20_000)))
+        spans = [(s := rng.randrange(len(text)), rng.randrange(6), min(len(text), s + rng.randrange(1, 60))) for _ in range(rng.choice([1, 3, 64, 65, 300]))] if text else []
+        rows.append((k, text, spans))
+    frame = spark.createDataFrame(rows, f"id int, text string, spans array<{secrets.SPAN}>").where("size(spans) > 0")
+    for r in frame.select("id", secrets.without(F.col("text"), F.col("spans"), "#").alias("out")).collect():
+        at, out = 0, ""
+        for start, _, end in sorted(rows[r.id][2]):
+            if start >= at:
+                out += rows[r.id][1][at:start] + "#"
+            at = max(at, end)
+        assert r.out == out + rows[r.id][1][at:]
