@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "with"]
 SUFFIXES = [("([a-z]{2})ies$", "$1y"), ("([a-z]{3})(?:ing|ed|es|s)$", "$1"), ("(b)b$|(d)d$|(g)g$|(m)m$|(n)n$|(p)p$|(r)r$|(t)t$", "$1$2$3$4$5$6$7$8")]
 LAST_LETTERS = list("sgdbmnprt")  # no rule takes a word with another last letter
+SPACES = " \t\n\x0b\f\r"
 ABBREVIATIONS = "e\\.g\\.|i\\.e\\.|vs\\.|cf\\."
 
 
@@ -99,7 +100,16 @@ def sentences(text: Column) -> Column:
 
 
 def escape_content(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)<(?=\s*/?\s*source)", "&lt;")
+    """Angle brackets that open or close an element of the name ``source``, in any case and spacing, become entities."""
+
+    def after(piece: Column) -> Column:
+        lead = F.ltrim(F.left(piece, F.lit(64)), F.lit(SPACES))
+        lead = F.ltrim(F.when(lead.startswith("/"), F.substring(lead, 2, 64)).otherwise(lead), F.lit(SPACES))
+        return F.concat(F.when(F.lower(lead).startswith("source"), "&lt;").otherwise("<"), piece)
+
+    pieces = F.split(text, "<", -1)
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), after)
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
 
 
 def escape_attribute(text: Column) -> Column:

@@ -11,7 +11,7 @@ from quillon.plans.registry import Tables, query, r6
 
 def given(t: Tables) -> DataFrame:
     turn = F.col("turn").cast("int")
-    text = F.concat("text", F.lit(" [c"), turn % 4 + 1, F.lit("] and [c1, c9]. See [link](https://a.example/x) or www.b.example/y, `https://code` [c3](https://c.example/z) ``a ` https://in.code``"))
+    text = F.concat("text", F.lit(" [c"), turn % 4 + 1, F.lit("] and [c1, c9]. See [link](https://a.example/x) or www.b.example/y, `https://code` [c3](https://c.example/z) ``a ` https://in.code``\n> [c2]: https://d.example/c2 'two'\n[c3]: the third"))
     claims = F.array(
         F.struct(F.lit("one").alias("text"), F.array(F.lit("c1"), F.concat(F.lit("c"), turn % 3 + 1)).alias("citation_ids"), F.lit(0.9).alias("self_confidence")),
         F.struct(F.lit("two").alias("text"), F.array(F.lit("c8")).alias("citation_ids"), F.lit(0.5).alias("self_confidence")),
@@ -56,7 +56,7 @@ def citation_summary(t: Tables) -> DataFrame:
     return rows.withColumn("dropped_claims", F.col("dropped_claims").cast("long"))
 
 
-@query("I10_strip_urls", """select conv_id * 100 + turn as request_id, text || ' [c' || (turn % 4 + 1) || '] and [c1, c9]. See link or, `https://code` [c3] ``a ` https://in.code``' as answer_markdown, 3 as removed from conversations where role = 'assistant'""")
+@query("I10_strip_urls", """select conv_id * 100 + turn as request_id, text || ' [c' || (turn % 4 + 1) || '] and [c1, c9]. See link or, `https://code` [c3] ``a ` https://in.code``' || chr(10) || '>' || chr(10) || '[c3]: the third' as answer_markdown, 4 as removed from conversations where role = 'assistant'""")
 def strip_urls(t: Tables) -> DataFrame:
     return a.strip_urls(given(t))
 

@@ -216,8 +216,9 @@ def first_appearance(t: Tables) -> DataFrame:
 
 
 @query("I9_marker_rewrite", f"""with {aq.GIVEN}, f as (select request_id, label, min(place) as place from valid where ok and not refusal group by all), n as (select request_id, label, row_number() over (partition by request_id order by place) as n from f)
- select g.request_id, text || ' ' || case when not refusal and turn % 4 < 3 then '[' || (select n from n where n.request_id = g.request_id and n.label = 'c' || (turn % 4 + 1)) || ']' else '' end || ' and . See [link](https://a.example/x) or www.b.example/y, `https://code` '
- || case when refusal then '' else '[' || (select n from n where n.request_id = g.request_id and n.label = 'c3') || ']' end || '(https://c.example/z) ``a ` https://in.code``' as answer_markdown from given g""")
+ select g.request_id, text || ' ' || case when not refusal and turn % 4 < 3 then '[' || (select n from n where n.request_id = g.request_id and n.label = 'c' || (turn % 4 + 1)) || ']' else '' end || ' and . See link or, `https://code` '
+ || case when refusal then '' else '[' || (select n from n where n.request_id = g.request_id and n.label = 'c3') || ']' end || ' ``a ` https://in.code``' || chr(10) || '>' || chr(10)
+ || case when refusal then '' else '[' || (select n from n where n.request_id = g.request_id and n.label = 'c3') || ']' end || ': the third' as answer_markdown from given g""")
 def marker_rewrite(t: Tables) -> DataFrame:
     return answers.rewrite_markers(aq.given(t), aq.lists(t)[0])
 

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from quillon.functions import numbers, text
+from quillon.functions import links, numbers, text
 from quillon.operators import agreement, answers, gates, indexing, retrieval, telemetry
 from quillon.plans import QUERIES, Tables
 from quillon.sources import readers
@@ -136,12 +136,38 @@ def test_strip_urls_of_single_lines(spark):
         "localhost:8000 stays, http://localhost.example goes": ("localhost:8000 stays, goes", 1),
         "[mine](http://127.0.0.1/x) [http://127.0.0.1/x](u)": ("mine `http://127.0.0.1/x`", 2),
         "plain [brackets] (and) `code`": ("plain [brackets] (and) `code`", 0),
+        "[c1]: https://x.example": ("", 1),
+        "1. > [c2]: <https://x.example/a b> \"open title": ("1. >", 1),
+        "-[a]: b": ("-[a]: b", 0),
+        "[a\\]b]: u": ("", 1),
+        "https://www.x.example/y and http:// alone": (" and http:// alone", 1),
+        "www.a.examplewww.b.example. End": (". End", 2),
+        "a<b and 3 < 4 > 1 <br> <x:y> <urn:a:b>": ("a<b and 3 < 4 > 1 <br> <x:y>", 1),
+        "(see http://x.example/a?b#c).": ("(see).", 1),
+        "[a](b c) [d](e \"f g\")": ("[a] d", 2),
+        "user@127.0.0.1 http://me@127.0.0.1:80/x!": ("user@127.0.0.1 `http://me@127.0.0.1:80/x`!", 0),
     }
     given = spark.createDataFrame([(i, "answered", t, []) for i, t in enumerate(cases)], "request_id long, status string, answer_markdown string, claims array<struct<text:string,citation_ids:array<string>,self_confidence:double>>")
     got = {r.request_id: (r.answer_markdown, r.removed) for r in answers.strip_urls(given).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+def test_markers(spark):
+    cases = {"[c1] [c2, c3][c4;c5] [ c1] [c] [c1x] [[c7]] [c8": [["c1"], ["c2", "c3"], ["c4", "c5"], ["c7"]], "": [], "c1]": [], "[c1\u00b2]": []}
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    rows = {r.i: r for r in frame.select("i", links.markers(F.col("t")).alias("m"), links.with_markers(F.col("t"), lambda m: F.array_join(m, "+")).alias("w")).collect()}
+    assert [rows[i].m for i in range(len(cases))] == list(cases.values())
+    assert rows[0].w == "c1 c2+c3c4+c5 [ c1] [c] [c1x] [c7] [c8"
+
+
+def test_definitions_do_not_cite(spark):
+    claims = "request_id long, status string, answer_markdown string, claims array<struct<text:string,citation_ids:array<string>,self_confidence:double>>"
+    given = spark.createDataFrame([(1, "answered", "One [c2].\n[c1]: https://a.example \"t\"\n> [c3]: <b>\n[see [c4]](https://x.example)\n```\n[c5]\n```", [])], claims)
+    assert sorted(r.label for r in answers.label_uses(given).collect()) == ["c2", "c4"]
+    labels = spark.createDataFrame([(1, f"c{k}", k) for k in range(1, 6)], "request_id long, label string, chunk_id long").selectExpr("*", "'u' as url", "'t' as title", "'b' as breadcrumb_text", "'x' as content")
+    assert answers.rewrite_markers(given, labels).first().answer_markdown == "One [1].\n\n>\nsee [2]\n```\n[c5]\n```"
+
+
 def test_claims_without_citation_are_capped(spark):
     rows = {(r.request_id, r.claim_no): r for r in answers.score_claims(*_claims(spark)).collect()}
     assert rows[(1, 1)].confidence == pytest.approx(0.15) and rows[(1, 2)].confidence == 0.0
