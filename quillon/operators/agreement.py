@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import normalize_label, seeded_rank
 
+MAX_DONORS = 4096
 SCOPES = "(human, judge), (kind, human, judge), (source, human, judge), (kind, source, human, judge)"
 
 
@@ -84,48 +85,73 @@ def calibration(claims: DataFrame) -> DataFrame:
     return claims.where(c.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg(F.col("supported").cast("double")).alias("supported_rate"))
 
 
+def too_alike(donors: DataFrame, sources: DataFrame, max_overlap: float) -> DataFrame:
+    """(donor, source_name): donors (donor, words) that share more than ``max_overlap`` of their words with a source (source_name, source_words).
+
+    A pair that shares more than m of a donor's k words shares one of its k - m rarest: only these are joined to the sources' words,
+    and only the pairs that meet there are counted in full.
+    """
+    size = F.size("words")
+    spread = sources.select("source_name", F.explode("source_words").alias("word"))
+    rarity = spread.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = donors.select("donor", (size - F.floor(size * max_overlap + 1e-9)).alias("prefix"), F.explode("words").alias("word")).join(rarity, "word", "left")
+    place = F.row_number().over(Window.partitionBy("donor").orderBy(F.coalesce("n", F.lit(0)), "word"))
+    rare = ranked.withColumn("place", place).where("place <= prefix").select("donor", "word")
+    met = rare.join(spread, "word").select("donor", "source_name").distinct()
+    both = met.join(donors.select("donor", "words"), "donor").join(sources.select("source_name", "source_words"), "source_name")
+    return both.where(F.size(F.array_intersect("words", "source_words")) / size > max_overlap).select("donor", "source_name")
+
+
+def fitting_sources(donors: list[Row], queue: DataFrame, sources: DataFrame, seed: int, max_overlap: float, depth: int) -> DataFrame:
+    """(donor, place, source_question, source, overlap): for each of a stated set of donors the first ``depth`` questions with a fitting source, in
+    the donor's own seeded order; of each question the first source.
+
+    What does not fit is found by joins on words and on sections and taken away; the order itself needs a hash of every donor and source.
+    """
+    spark = queue.sparkSession
+    given = spark.createDataFrame(donors, queue.schema)
+    named = sources.withColumn("source_name", F.concat_ws("|", "source_question", "source")).dropDuplicates(["source_name"])
+    shared = given.select("donor", F.explode("sections").alias("section")).join(named.select("source_name", F.explode("source_sections").alias("section")), "section").select("donor", "source_name")
+    unfit = too_alike(given, named, max_overlap).unionByName(shared).distinct()
+    every = F.array(*[F.struct(F.lit(d["donor"]).alias("donor"), F.lit(d["question_id"]).cast(queue.schema["question_id"].dataType).alias("question_id")) for d in donors])
+    pairs = named.select("source_question", "source_name", F.explode(every).alias("d")).where("d.question_id <> source_question").select("d.donor", "source_question", "source_name")
+    key = seeded_rank(seed, F.concat(F.lit("control-sources:"), "donor"), F.col("source_name"))
+    first = pairs.join(unfit, ["donor", "source_name"], "left_anti").groupBy("donor", "source_question").agg(F.min(F.struct(key.alias("k"), "source_name")).alias("first"))
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("donor").orderBy("first"))).where(F.col("place") <= depth)
+    ranked = ranked.select("donor", "place", "source_question", F.col("first.source_name").alias("source_name"))
+    texts = ranked.join(named.select("source_name", "source", "source_words"), "source_name").join(given.select("donor", "words"), "donor")
+    overlap = F.coalesce(F.try_divide(F.size(F.array_intersect("words", "source_words")), F.size("words")), F.lit(0.0))
+    return texts.select("donor", "place", "source_question", "source", overlap.alias("overlap"))
+
+
+def control_donors(claims: DataFrame, seed: int) -> DataFrame:
+    """Claims with their name and seeded place, which is the order in which they are tried."""
+    named = claims.withColumn("donor", F.concat_ws("|", "question_id", "claim")).dropDuplicates(["donor"])
+    return named.withColumn("_k", seeded_rank(seed, "control-claim", F.col("donor")))
+
+
 def negative_controls(claims: DataFrame, sources: DataFrame, n: int, seed: int, max_overlap: float) -> DataFrame:
     """``n`` claims paired with sources of another question (fewer if there are no more), no question used twice.
 
     claims: question_id, sections, words, claim; sources: source_question, source_sections, source_words, source. Claims are tried in
     seeded order, each with the sources in an order of its own; the first source with other sections that shares at most
-    ``max_overlap`` of the claim's words is taken. Claims go in blocks of ``4 * n`` against all sources, as each claim needs no more than its
-    first ``4 * n`` fitting ones; should all of these belong to used questions, the claim is asked again without them.
+    ``max_overlap`` of the claim's words is taken (a claim without words shares none). The first ``8 * n`` claims are looked at together; at most
+    ``2 * n`` questions are used up, so one more fitting question for each claim decides. Only if they do not suffice, the next claims
+    follow, eight times as many each time but at most ``MAX_DONORS``.
     """
-    name = F.concat_ws("|", F.col("question_id"), F.col("claim"))
-    queue = claims.withColumn("donor", name).withColumn("_k", seeded_rank(seed, "control-claim", F.col("donor")))
-    share = F.try_divide(F.size(F.array_intersect("words", "source_words")), F.size("words"))
-    ok = (F.col("question_id") != F.col("source_question")) & ~F.arrays_overlap("sections", "source_sections")
-    depth, made, used, last = 4 * n, [], set(), None
-
-    def partners(donors: DataFrame, without: set) -> list:
-        """The first fitting sources of each donor, in order."""
-        pool = sources.where(~F.col("source_question").isin(list(without))) if without else sources
-        pairs = F.broadcast(donors).join(pool, ok).withColumn("overlap", share).where(F.col("overlap") <= max_overlap)
-        key = seeded_rank(seed, F.concat(F.lit("control-sources:"), "donor"), F.concat_ws("|", "source_question", "source"))
-        first = pairs.withColumn("_s", key).withColumn("_rn", F.row_number().over(Window.partitionBy("donor").orderBy("_s"))).where(F.col("_rn") <= depth)
-        return sorted(first.select("donor", "_rn", "source_question", "source", "overlap").collect(), key=lambda r: r["_rn"])
-
+    queue, made, used, last, block = control_donors(claims, seed), [], set(), None, 8 * n
     while len(made) < n:
         rest = queue if last is None else queue.where(F.struct("_k", "donor") > F.struct(F.lit(last[0]), F.lit(last[1])))
-        block = rest.orderBy("_k", "donor").limit(4 * n).collect()
-        if not block:
+        donors = rest.orderBy("_k", "donor").limit(min(block, MAX_DONORS)).collect()
+        if not donors:
             break
-        last = (block[-1]["_k"], block[-1]["donor"])
-        donors = claims.sparkSession.createDataFrame(block, queue.schema)
+        last, block = (donors[-1]["_k"], donors[-1]["donor"]), 8 * block
         found: dict[str, list] = {}
-        for r in partners(donors, used):
+        for r in fitting_sources(donors, queue, sources, seed, max_overlap, 2 * n + 1).orderBy("donor", "place").collect():
             found.setdefault(r["donor"], []).append(r)
-        for d in block:
-            if len(made) == n:
-                break
-            if d["question_id"] in used:
-                continue
-            first = found.get(d["donor"], [])
-            free = [r for r in first if r["source_question"] not in used]
-            if not free and len(first) == depth:
-                free = partners(claims.sparkSession.createDataFrame([d], queue.schema), used)
-            if free:
+        for d in donors:
+            free = [r for r in found.get(d["donor"], []) if r["source_question"] not in used]
+            if len(made) < n and d["question_id"] not in used and free:
                 made.append((free[0]["source_question"], d["question_id"], d["claim"], free[0]["source"], free[0]["overlap"]))
                 used |= {d["question_id"], free[0]["source_question"]}
     kinds = [(c, df.schema[c].dataType.simpleString()) for df, c in ((sources, "source_question"), (claims, "question_id"), (claims, "claim"), (sources, "source"))]

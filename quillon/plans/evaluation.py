@@ -222,15 +222,6 @@ def judge_sample(t: Tables) -> DataFrame:
     return chosen.select(F.concat_ws("|", "config", "question_id", "item").alias("k"), "item_id")
 
 
-@query("L17_negative_controls")
-def negative_controls(t: Tables) -> DataFrame:
-    q = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("claim"), F.max_by("text", "turn").alias("source"))
-    words = q.select("conv_id", "claim", "source", content_words(F.col("claim")).alias("words"), content_words(F.col("source")).alias("source_words"), F.array((F.col("conv_id") % 7).cast("string")).alias("sections"))
-    claims = words.select(F.col("conv_id").alias("question_id"), "sections", "words", "claim")
-    sources = words.select(F.col("conv_id").alias("source_question"), F.col("sections").alias("source_sections"), "source_words", "source")
-    return agreement.negative_controls(claims, sources, 20, 1, 0.3).select("source_question", "question_id", r6("overlap"))
-
-
 @query("E30_calibration", "select case when o_totalprice / 500000 < 0.5 then 'low' when o_totalprice / 500000 <= 0.8 then 'mid' else 'high' end as bucket, count(*) as n, round(avg((o_orderstatus = 'F')::int), 6) as supported_rate from orders group by 1")
 def calibration(t: Tables) -> DataFrame:
     rows = t.orders.select((F.col("o_totalprice") / 500000).alias("confidence"), (F.col("o_orderstatus") == "F").alias("supported"))
@@ -240,6 +231,41 @@ def calibration(t: Tables) -> DataFrame:
 WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]{{3,}}'), lambda w: w not in ({})))"
 
 
+def control_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(claims, sources): a conversation's first and last text; its section is one of seven."""
+    q = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("claim"), F.max_by("text", "turn").alias("source"))
+    words = q.select("conv_id", "claim", "source", content_words(F.col("claim")).alias("words"), content_words(F.col("source")).alias("source_words"), F.array((F.col("conv_id") % 7).cast("string")).alias("sections"))
+    claims = words.select(F.col("conv_id").alias("question_id"), "sections", "words", "claim")
+    return claims, words.select(F.col("conv_id").alias("source_question"), F.col("sections").alias("source_sections"), "source_words", "source")
+
+
+CONTROLS = f"""q as (select conv_id, arg_min(text, turn) as claim, arg_max(text, turn) as source from conversations group by conv_id),
+ w as (select conv_id, claim, source, {WORDS.format('claim', rq.STOPS)} as x, {WORDS.format('source', rq.STOPS)} as y from q),
+ donors as (select conv_id, x, conv_id || '|' || claim as donor, row_number() over (order by sha256('1' || chr(31) || 'control-claim' || chr(31) || conv_id || '|' || claim)) as rn from w),
+ fits as (select rn, d.conv_id as q, s.conv_id as b, coalesce(len(list_intersect(d.x, s.y)) / nullif(len(d.x), 0)::double, 0) as overlap, sha256('1' || chr(31) || 'control-sources:' || donor || chr(31) || s.conv_id || '|' || s.source) as h
+   from donors d join w s on s.conv_id <> d.conv_id and s.conv_id % 7 <> d.conv_id % 7),
+ lists as (select rn, list({{'b': b, 'overlap': overlap}} order by h) as ps from fits where overlap <= 0.3 group by rn)"""
+
+
+@query("D14_control_pairs", f"""with {CONTROLS}, x as (select rn, q, b, overlap, row_number() over (partition by rn order by h) as place from fits where overlap <= 0.3)
+ select q as question_id, place, b as source_question, round(overlap, 6) as overlap from x where rn <= 30 and place <= 5""")
+def control_pairs(t: Tables) -> DataFrame:
+    claims, sources = control_tables(t)
+    queue = agreement.control_donors(claims, 1)
+    donors = queue.orderBy("_k", "donor").limit(30).collect()
+    pairs = agreement.fitting_sources(donors, queue, sources, 1, 0.3, 5)
+    return pairs.select(F.split_part("donor", F.lit("|"), F.lit(1)).cast("long").alias("question_id"), F.col("place").cast("long").alias("place"), "source_question", r6("overlap"))
+
+
+@query("L17_negative_controls", f"""with recursive {CONTROLS}, steps as (select 0::bigint as rn, []::bigint[] as used, null::bigint as question_id, null::bigint as source_question, null::double as overlap union all
+   select rn, case when made then list_concat(used, [q, pick.b]) else used end, case when made then q end, case when made then pick.b end, case when made then pick.overlap end
+   from (select d.rn, s.used, d.conv_id as q, list_filter(l.ps, lambda p: not list_contains(s.used, p.b))[1] as pick, pick is not null and not list_contains(s.used, d.conv_id) and len(s.used) < 40 as made
+     from steps s join donors d on d.rn = s.rn + 1 left join lists l on l.rn = d.rn))
+ select source_question, question_id, round(overlap, 6) as overlap from steps where question_id is not null""")
+def negative_controls(t: Tables) -> DataFrame:
+    return agreement.negative_controls(*control_tables(t), 20, 1, 0.3).select("source_question", "question_id", r6("overlap"))
+
+
 @query("I14_content_overlap", f"""with q as (select conv_id, arg_min(text, turn) as a, arg_max(text, turn) as b from conversations group by conv_id),
  w as (select conv_id, {WORDS.format('a', rq.STOPS)} as x, {WORDS.format('b', rq.STOPS)} as y from q)
  select conv_id, len(x) as n_words, round(len(list_intersect(x, y)) / nullif(len(x), 0)::double, 6) as overlap from w""")

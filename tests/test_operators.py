@@ -278,7 +278,7 @@ def test_negative_controls_against_plain(spark):
     """The greedy choice, over every pair; words and sections that clash, several claims and sources of a question."""
     rng = random.Random(2)
     words = [f"w{k}" for k in range(12)]
-    claims = [(q, [f"s{q % 5}"], sorted(rng.sample(words, 4)), f"claim {q} {k}") for q in range(30) for k in range(q % 3 + 1)]
+    claims = [(q, [f"s{q % 5}"], sorted(rng.sample(words, 4)), f"claim {q} {k}") for q in range(30) for k in range(q % 3 + 1)] + [(31, ["s9"], [], "no words")]
     sources = [(q, [f"s{(q + k) % 5}"], sorted(rng.sample(words, 6)), f"source {q} {k}") for q in range(30) for k in range(2)]
     given = spark.createDataFrame(claims, "question_id long, sections array<string>, words array<string>, claim string")
     pool = spark.createDataFrame(sources, "source_question long, source_sections array<string>, source_words array<string>, source string")
@@ -292,12 +292,18 @@ def test_negative_controls_against_plain(spark):
         for q, sec, ws, claim in sorted(claims, key=lambda c: order[f"{c[0]}|{c[3]}"]):
             if len(made) == n or q in used:
                 continue
-            fit = [(sha(5, f"control-sources:{q}|{claim}", f"{b}|{x}"), b, x) for b, bs, bw, x in sources if b != q and b not in used and not set(sec) & set(bs) and len(set(ws) & set(bw)) / len(ws) <= 0.5]
+            fit = [(sha(5, f"control-sources:{q}|{claim}", f"{b}|{x}"), b, x) for b, bs, bw, x in sources if b != q and b not in used and not set(sec) & set(bs) and len(set(ws) & set(bw)) <= 0.5 * len(ws)]
             if fit:
                 made.append((min(fit)[1], q, claim, min(fit)[2]))
                 used |= {q, min(fit)[1]}
         got = agreement.negative_controls(given, pool, n, 5, 0.5).collect()
         assert [tuple(r)[:4] for r in got] == made and len(made) == min(n, len(made)) > 2
+    donors = agreement.control_donors(given, 5).limit(5)
+    plan = agreement.fitting_sources(donors.collect(), donors, pool, 5, 0.5, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    alike = agreement.too_alike(agreement.control_donors(given, 5), pool.withColumn("source_name", F.concat_ws("|", "source_question", "source")), 0.5)
+    expected = {(f"{q}|{c}", f"{b}|{x}") for q, _, ws, c in claims for b, _, bw, x in sources if len(set(ws) & set(bw)) > 0.5 * len(ws)}
+    assert {tuple(r) for r in alike.collect()} == expected and expected
 
 
 def test_percentiles_of_hot_groups_against_numpy(spark):
