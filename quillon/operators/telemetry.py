@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.numbers import continuous_percentiles
+from quillon.sources.store import stored
 
 LONGEST_WAIT = 3600
 
@@ -96,12 +97,15 @@ def rate_decisions(events: DataFrame, per_minute: int, per_day: int) -> DataFram
 
     A request that its minute rejects does not touch the day's counter; a null key is always admitted.
     """
-    minute = Window.partitionBy("key", F.date_trunc("minute", "ts")).orderBy("ts", "event_id")
-    first = events.where("key is not null").withColumn("_m", F.row_number().over(minute))
+    rows = events.where("key is not null").withColumn("_minute", F.date_trunc("minute", "ts"))
+    first = rows.withColumn("_m", F.row_number().over(Window.partitionBy("key", "_minute").orderBy("ts", "event_id")))
+    # What a minute admits is counted per minute, so the day's window runs over minutes, not over requests.
+    minutes = rows.groupBy(F.col("key").alias("_k"), F.col("_minute").alias("_of")).agg(F.least(F.count("*"), F.lit(per_minute)).alias("_c"))
+    before = Window.partitionBy("_k", F.date_trunc("day", "_of")).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.select("_k", "_of", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    second = first.join(minutes, (F.col("key") == F.col("_k")) & F.col("_minute").eqNullSafe(F.col("_of")))
     in_minute = F.col("_m") <= per_minute
-    day = Window.partitionBy("key", F.date_trunc("day", "ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    second = first.withColumn("_d", F.sum(in_minute.cast("int")).over(day))
-    by = F.when(~in_minute, "minute").when(F.col("_d") > per_day, "day")
+    by = F.when(~in_minute, "minute").when(F.col("_before") + F.col("_m") > per_day, "day")
     wait = F.when(by == "minute", window_end_wait(F.col("ts"), "minute")).when(by == "day", window_end_wait(F.col("ts"), "day")).otherwise(0)
     done = second.select(*events.columns, by.isNull().alias("allowed"), by.alias("rejected_by"), wait.alias("retry_after_s"))
     free = events.where("key is null").select("*", F.lit(True).alias("allowed"), F.lit(None).cast("string").alias("rejected_by"), F.lit(0).alias("retry_after_s"))
@@ -123,41 +127,67 @@ def budget_decisions(calls: DataFrame, limit: int) -> DataFrame:
 
 
 def opening_requests(requests: DataFrame, ttl_seconds: int) -> DataFrame:
-    """(key, request_id) of the storable requests that open an entry.
+    """(key, request_id, at) of the storable requests that open an entry; at is struct(t, id), t in microseconds.
 
-    Nothing lives beyond ``ttl_seconds`` without a storable request, so such a gap always ends in an opening: an ordered fold
-    gathers the requests of a key between two gaps only. A key that never pauses is still one group.
+    A request opens an entry if none lives. So the opening after one at t is the first storable request at t + ttl or later: its
+    successor. Time is cut into slices of a ttl: a successor is in the next slice, or the first of the one after; beyond that, the request follows
+    a pause of a ttl, and such requests (and the first) open in any case. All requests reachable from these along successors open; pointers of doubled
+    length reach them in as many rounds as the longest chain has binary digits. No request is gathered by key: a slice of a key is the unit.
     """
     ttl = ttl_seconds * 1_000_000
-    rows = requests.where("storable").select("key", F.struct(micros(F.col("ts")).alias("t"), F.col("request_id").alias("id")).alias("r"))
-    order = Window.partitionBy("key").orderBy("r")
-    begins = F.coalesce(F.col("r.t") - F.lag("r.t").over(order) >= ttl, F.lit(True))
-    rows = rows.withColumn("_begins", begins.cast("int")).withColumn("_stretch", F.sum("_begins").over(order))
-    by = rows.groupBy("key", "_stretch").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        opens = acc["until"].isNull() | (r["t"] >= acc["until"])
-        until = F.when(opens, r["t"] + ttl).otherwise(acc["until"])
-        return F.struct(until.alias("until"), F.when(opens, F.concat(acc["out"], F.array(r["id"].cast("bigint")))).otherwise(acc["out"]).alias("out"))
-
-    return by.select("key", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("request_id"))
+    at = F.struct(micros(F.col("ts")).alias("t"), F.col("request_id").alias("id"))
+    rows = requests.where(F.col("storable") & F.col("key").isNotNull()).select("key", at.alias("at"))
+    rows = stored(rows.withColumn("slice", F.floor(F.col("at.t") / ttl)), "storable-requests")
+    ends = rows.groupBy("key", "slice").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    earlier = rows.join(ends.select("key", (F.col("slice") + 1).alias("slice"), F.col("last").alias("slice_before")), ["key", "slice"], "left")
+    order = Window.partitionBy("key", "slice").orderBy("at")
+    before = F.coalesce(F.lag("at").over(order), "slice_before")
+    roots = earlier.withColumn("before", before).where(F.col("before").isNull() | (F.col("at.t") - F.col("before.t") >= ttl)).select("key", "at")
+
+    # The first request of the next slice at t + ttl or later: the nearest one behind it among requests and wanted times.
+    nothing = F.lit(None).cast(rows.schema["at"].dataType)
+    wanted = rows.select("key", (F.col("slice") + 1).alias("slice"), (F.col("at.t") + ttl).alias("t"), F.lit(0).alias("side"), F.col("at.id").alias("id"), nothing.alias("found"), F.col("at").alias("of"))
+    there = rows.select("key", "slice", F.col("at.t").alias("t"), F.lit(1).alias("side"), F.col("at.id").alias("id"), F.col("at").alias("found"), nothing.alias("of"))
+    back = Window.partitionBy("key", "slice").orderBy(F.desc("t"), F.desc("side"), F.desc("id"))
+    near = wanted.unionByName(there).withColumn("next", F.last("found", ignorenulls=True).over(back)).where("of is not null")
+    far = near.join(ends.select("key", (F.col("slice") - 1).alias("slice"), F.col("first").alias("slice_after")), ["key", "slice"], "left")
+    jumps = far.select("key", F.col("of").alias("at"), F.coalesce("next", "slice_after").alias("to")).where("to is not null")
+
+    opened, jumps = stored(roots, "openings"), stored(jumps, "successors")
+    while True:
+        reached = opened.join(jumps, ["key", "at"]).select("key", F.col("to").alias("at"))
+        new = stored(reached.join(opened, ["key", "at"], "left_anti").distinct(), "openings")
+        if new.isEmpty():
+            return opened.select("key", F.col("at.id").alias("request_id"), "at")
+        opened = stored(opened.unionByName(new), "openings")
+        onward = jumps.select("key", F.col("at").alias("to"), F.col("to").alias("beyond"))
+        jumps = stored(jumps.join(onward, ["key", "to"]).select("key", "at", F.col("beyond").alias("to")), "successors")
 
 
 def cache_classify(requests: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Per key the ordered requests as hit, miss or uncached.
+    """Per key the ordered requests as hit, miss or uncached, with the hits of their entry so far.
 
-    A storable miss opens an entry that lives ``ttl_seconds`` whatever hits it gets; a miss that may not be stored opens
-    none. A fold finds the requests that open an entry; windows then place the others after them.
+    A storable miss opens an entry that lives ``ttl_seconds`` whatever hits it gets; a miss that may not be stored opens none, and shows the hits
+    of the entry before it. A slice of a ttl holds at most one opening, so a request's entry is that of its slice or the last one before; only
+    slices are put in order by key.
     """
-    opened = opening_requests(requests, ttl_seconds).withColumn("_opens", F.lit(True))
-    rows = requests.select("key", "request_id", micros(F.col("ts")).alias("_t")).join(opened, ["key", "request_id"], "left")
-    order = Window.partitionBy("key").orderBy("_t", "request_id")
-    rows = rows.withColumn("_from", F.last(F.when(F.col("_opens"), F.col("_t")), ignorenulls=True).over(order))
-    live = F.coalesce(F.col("_t") < F.col("_from") + ttl_seconds * 1_000_000, F.lit(False))
-    rows = rows.withColumn("kind", F.when(F.col("_opens"), "miss").when(live, "hit").otherwise("uncached"))
-    since = Window.partitionBy("key", "_from").orderBy("_t", "request_id")
-    return rows.select("key", "request_id", "kind", F.sum((F.col("kind") == "hit").cast("int")).over(since).cast("int").alias("hits"))
+    ttl = ttl_seconds * 1_000_000
+    at = F.struct(micros(F.col("ts")).alias("t"), F.col("request_id").alias("id"))
+    rows = requests.select("key", "request_id", at.alias("at")).withColumn("slice", F.floor(F.col("at.t") / ttl))
+    opened = opening_requests(requests, ttl_seconds).select("key", F.floor(F.col("at.t") / ttl).alias("slice"), F.col("at").alias("own"))
+    slices = rows.where("key is not null").select("key", "slice").distinct().join(opened, ["key", "slice"], "left")
+    earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("before", F.last("own", ignorenulls=True).over(earlier))
+    placed = rows.join(slices, ["key", "slice"], "left")
+    entry = F.when(F.col("own") <= F.col("at"), F.col("own")).otherwise(F.col("before"))
+    placed = placed.withColumn("entry", entry).withColumn("live", F.coalesce(F.col("at.t") < F.col("entry.t") + ttl, F.lit(False)))
+    placed = stored(placed.select("key", "request_id", "at", "entry", "live"), "placed-requests")
+    counted = placed.where("live").withColumn("hits", F.row_number().over(Window.partitionBy("key", "entry").orderBy("at")) - 1)
+    of_entry = placed.where("live").groupBy("key", "entry").agg((F.count("*") - 1).alias("hits"))
+    late = placed.where("not live").join(of_entry, ["key", "entry"], "left")
+    kind = F.when(F.col("entry") == F.col("at"), "miss").otherwise("hit")
+    found = counted.select("key", "request_id", kind.alias("kind"), F.col("hits").cast("int").alias("hits"))
+    return found.unionByName(late.select("key", "request_id", F.lit("uncached").alias("kind"), F.coalesce("hits", F.lit(0)).cast("int").alias("hits")))
 
 
 def with_context(rows: DataFrame, ts: str, span_s: int) -> DataFrame:

@@ -358,6 +358,49 @@ def test_cache_openings_against_plain(spark):
             last.append((k, s))
     got = telemetry.opening_requests(given, 30).collect()
     assert sorted((r.key, r.request_id) for r in got) == sorted((key, k) for key, found in expected.items() for k, _ in found)
+    plain = []
+    for key in "abc":
+        until, hits = None, 0
+        for _, k, s, storable in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            if until is not None and s < until:
+                hits += 1
+                plain.append((key, k, "hit", hits))
+            elif storable:
+                until, hits = s + 30, 0
+                plain.append((key, k, "miss", 0))
+            else:
+                plain.append((key, k, "uncached", hits))
+    assert sorted(map(tuple, telemetry.cache_classify(given, 30).collect())) == sorted(plain)
+    assert telemetry.cache_classify(given.limit(0), 30).count() == 0
+
+
+def test_cache_of_a_key_that_never_pauses(spark):
+    """One chain of 2,000 entries over 40,000 requests of a key; no array, no window over the whole key's requests."""
+    given = spark.range(40_000).select(F.lit("k").alias("key"), F.col("id").alias("request_id"), (F.col("id") * 10 % 199_990).alias("s"), F.lit(True).alias("storable")).withColumn("ts", F.timestamp_seconds("s"))
+    times = sorted((i * 10 % 199_990, i) for i in range(40_000))
+    opened = []
+    for s, i in times:
+        if not opened or s >= opened[-1][0] + 95:
+            opened.append((s, i))
+    found = telemetry.opening_requests(given, 95)
+    assert sorted(r.request_id for r in found.collect()) == sorted(i for _, i in opened) and len(opened) > 1900
+    assert "collect_list" not in telemetry.cache_classify(given, 95)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rates_of_a_hot_key_count_minutes(spark):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.9 else "cold", k, rng.randrange(3 * 86_400)) for k in range(4000)]
+    events = spark.createDataFrame(rows, "key string, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    minute, day, expected = {}, {}, {}
+    for key, k, s in sorted(rows, key=lambda r: (r[2], r[1])):
+        minute[key, s // 60] = minute.get((key, s // 60), 0) + 1
+        if minute[key, s // 60] > 2:
+            expected[k] = "minute"
+            continue
+        day[key, s // 86_400] = day.get((key, s // 86_400), 0) + 1
+        expected[k] = "day" if day[key, s // 86_400] > 500 else None
+    decided = telemetry.rate_decisions(events, 2, 500)
+    assert {r.event_id: r.rejected_by for r in decided.collect()} == expected and set(expected.values()) == {"minute", "day", None}
 
 
 def test_row_places_of_a_hot_group_with_ties_and_nulls(spark):
