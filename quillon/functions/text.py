@@ -10,7 +10,11 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "h
 SUFFIXES = [("([a-z]{2})ies$", "$1y"), ("([a-z]{3})(?:ing|ed|es|s)$", "$1"), ("(b)b$|(d)d$|(g)g$|(m)m$|(n)n$|(p)p$|(r)r$|(t)t$", "$1$2$3$4$5$6$7$8")]
 LAST_LETTERS = list("sgdbmnprt")  # no rule takes a word with another last letter
 SPACES = " \t\n\x0b\f\r"
-ABBREVIATIONS = "e\\.g\\.|i\\.e\\.|vs\\.|cf\\."
+# Control characters that no text holds, as admission and cleaning let none in.
+SWITCH, GUARD = "\x01", "\x04"
+# Abbreviations, with the guard sign behind their stops.
+ABBREVIATIONS = [(r"(?i)\b(e\.)(g\.)", f"$1{GUARD}$2{GUARD}"), (r"(?i)\b(i\.)(e\.)", f"$1{GUARD}$2{GUARD}"), (r"(?i)\b(vs\.|cf\.)", f"$1{GUARD}")]
+SENTENCE_GAP = r"(?<=[.!?][\"')\]*_]{0,3})\s+"
 
 
 def analyze(text: Column) -> Column:
@@ -87,15 +91,34 @@ def overlap(words: Column, others: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(words, others)), F.size(words))
 
 
+def code_parts(line: Column) -> Column:
+    """The stretches of a text in turn: text, code span, text, ... A span runs from some backticks to the next run of as many."""
+    runs, gaps = F.regexp_extract_all(line, F.lit("`+"), F.lit(0)), F.split(line, "`+", -1)
+    sizes = F.transform(runs, F.length)
+    start = F.struct(F.lit(-1).alias("closer"), F.get(gaps, F.lit(0)).alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        ahead = F.array_position(F.slice(sizes, i + 2, F.size(sizes)), F.get(sizes, i)).cast("int")
+        opens = (acc["closer"] < i) & (ahead > 0)
+        before, after = F.when(opens, SWITCH).otherwise(""), F.when(acc["closer"] == i, SWITCH).otherwise("")
+        return F.struct(F.when(opens, i + ahead).otherwise(acc["closer"]).alias("closer"), F.concat(acc["out"], before, F.get(runs, i), after, F.get(gaps, i + 1)).alias("out"))
+
+    marked = F.aggregate(F.sequence(F.lit(0), F.size(runs) - 1), start, step, lambda acc: acc["out"])
+    return F.when(line.contains("`"), F.split(marked, SWITCH, -1)).otherwise(F.array(line))
+
+
 def sentences(text: Column) -> Column:
-    """Sentences end at . ! or ? (closers included) before white space; not inside code spans or after abbreviations."""
-    masked = F.regexp_replace(text, rf"(`[^`]*`)|({ABBREVIATIONS})", "\x02$1$2\x03")
-    # inside a mask every end mark gets a guard sign, which keeps the split away from it
-    guarded = F.array_join(
-        F.transform(F.split(masked, "\x02"), lambda p: F.when(p.contains("\x03"), F.concat(
-            F.regexp_replace(F.substring_index(p, "\x03", 1), r"([.!?])", "$1\x04"), F.substring_index(p, "\x03", -1))).otherwise(p)), "")
-    parts = F.split(guarded, r"(?<=[.!?][\"')\]]{0,3})\s+")
-    clean = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "\x04", "")))
+    """Sentences end at . ! or ? (closing quotes, brackets and emphasis included) before white space; not inside code spans or after abbreviations."""
+
+    def guarded(part: Column, i: Column) -> Column:
+        # inside code and abbreviations every end mark gets a guard sign, which keeps the split away from it
+        kept = part
+        for pattern, replacement in ABBREVIATIONS:
+            kept = F.regexp_replace(kept, pattern, replacement)
+        return F.when(i % 2 == 1, F.regexp_replace(part, "([.!?])", "$1" + GUARD)).otherwise(kept)
+
+    parts = F.split(F.array_join(F.transform(code_parts(text), guarded), ""), SENTENCE_GAP)
+    clean = F.transform(parts, lambda p: F.trim(F.replace(p, F.lit(GUARD), F.lit(""))))
     return F.filter(clean, lambda p: p != "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.numbers import nearest_rank
@@ -75,6 +75,29 @@ def blocks(t: Tables) -> DataFrame:
     return c.blocks(c.page_lines(doc_pages(t))).where("block_type <> 'text'").groupBy("source_path", "block_type").agg(F.count("*").alias("n"))
 
 
+def marked_pages(t: Tables) -> DataFrame:
+    """Pages of every kind of block: underlined headings, lists with nested items and fences, tables, quotes with lazy lines, indented code, comments, containers."""
+    n = F.col("doc_id").cast("string")
+
+    def many(what: Column, count: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: F.concat(what, i.cast("string"))), "\n")
+
+    items = many(F.lit("- item\n  - nested\n\n  ```\n  # no\n\n  ```\n  item "), F.col("doc_id") % 4 + 1)
+    table = F.concat(F.lit("| a | b |\n|---|:-:|\n"), many(F.lit("| x | "), F.col("doc_id") % 3 + 1))
+    container = F.when(F.col("doc_id") % 2 == 0, F.lit("/// tip\n\n- x\n\ny\n\n///"))
+    parts = [F.concat(F.lit("Doc "), n, F.lit("\n===")), items, table, F.concat(F.lit("> q "), n, F.lit("\nlazy")), F.concat(F.lit("    code "), n, F.lit("\n\n    more")), F.concat(F.lit("<!-- "), n, F.lit("\n\nend -->")), container, F.lit("~~~\n# no\n\n```\n~~~"), F.concat(F.lit("***\nlast "), n)]
+    return t.documents.select(F.concat(F.lit("m/"), n, F.lit(".md")).alias("source_path"), F.concat_ws("\n\n", *parts).alias("text"))
+
+
+@query("C4_block_kinds", """with d as (select doc_id, doc_id::varchar as n, chr(10) as l from documents), parts as (select doc_id, unnest([{'k': 'heading', 'm': 'Doc ' || n || l || '==='},
+   {'k': 'list', 'm': list_aggregate(list_transform(range(1, doc_id % 4 + 2), lambda i: '- item' || l || '  - nested' || l || l || '  ```' || l || '  # no' || l || l || '  ```' || l || '  item ' || i), 'string_agg', l)},
+   {'k': 'table', 'm': '| a | b |' || l || '|---|:-:|' || l || list_aggregate(list_transform(range(1, doc_id % 3 + 2), lambda i: '| x | ' || i), 'string_agg', l)}, {'k': 'quote', 'm': '> q ' || n || l || 'lazy'},
+   {'k': 'indented', 'm': '    code ' || n || l || l || '    more'}, {'k': case when doc_id % 2 = 0 then 'container' end, 'm': '/// tip' || l || l || '- x' || l || l || 'y' || l || l || '///'}, {'k': 'fence', 'm': '~~~' || l || '# no' || l || l || '```' || l || '~~~'},
+   {'k': 'paragraph', 'm': 'last ' || n}]) as p from d) select 'm/' || doc_id || '.md' as source_path, p.k as kind, sha256(p.m) as markdown from parts where p.k is not null""")
+def block_kinds(t: Tables) -> DataFrame:
+    return c.blocks(c.page_lines(marked_pages(t))).select("source_path", "kind", F.sha2("markdown", 256).alias("markdown"))
+
+
 @query("C6_noise_code", f"with {PAGES} select source_path, 1 as n from docs where doc_id % 3 = 0")
 def noise_code(t: Tables) -> DataFrame:
     twice = doc_pages(t).withColumn("text", F.concat("text", F.lit("\n\n" + CODE), F.lit("```\n" + "QUJD" * 120 + "\n```")))
@@ -97,7 +120,7 @@ def chunks(t: Tables) -> DataFrame:
     return c.with_chunk_ids(c.chunks(all_pages(t), BASE)).select("chunk_id", "source_path", "ordinal", "section_id", "breadcrumb_text", "url", "token_count", "content_hash")
 
 
-@query("C14_sentences", "with x as (select doc_id, regexp_replace(text, '\\s+$', '') as t from documents) select doc_id, len(regexp_extract_all(t, '[.!?][\"'')\\]]{0,3}\\s+')) + 1 as n_sentences from x where t <> ''")
+@query("C14_sentences", "with x as (select doc_id, regexp_replace(text, '\\s+$', '') as t from documents) select doc_id, len(regexp_extract_all(t, '[.!?][\"'')\\]*_]{0,3}\\s+')) + 1 as n_sentences from x where t <> ''")
 def sentence_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(sentences(F.regexp_replace("text", r"\s+$", ""))).cast("long").alias("n_sentences"))
 
