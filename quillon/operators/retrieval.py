@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from quillon.functions.text import analyze, escape_attribute, escape_content
 
 MAX_BROADCAST_QUESTIONS = 20_000
 WEIGHT_HEADING, WEIGHT_BODY = 1.0, 0.4
+POSTING_BLOCK = 1 << 16
 
 
 def check_k(k: int) -> None:
@@ -74,14 +76,56 @@ def postings(chunks: DataFrame) -> DataFrame:
     return hits.groupBy("term", "chunk_id").agg(F.sum("a").alias("hits_a"), F.sum(1 - F.col("a")).alias("hits_b"))
 
 
-def lexical_search(questions: DataFrame, index: DataFrame, k: int) -> DataFrame:
+class LexicalIndex(NamedTuple):
+    """``rows``: the postings with hit (their weight) and part; ``levels``: term, hit, n, the number of postings of a term with that hit.
+
+    The postings of a term and hit are dealt into parts of about ``POSTING_BLOCK`` by a hash of the chunk, so a hot term stands in many blocks, whose
+    greatest hit is known without reading them.
+    """
+
+    rows: DataFrame
+    levels: DataFrame
+
+
+def lexical_index(found: DataFrame, block: int = POSTING_BLOCK) -> LexicalIndex:
+    """The index of postings (term, chunk_id, hits_a, hits_b). Nothing is sorted or gathered by term: counts say how many parts there are."""
+    rows = found.withColumn("hit", F.round(F.col("hits_a") * WEIGHT_HEADING + F.col("hits_b") * WEIGHT_BODY, 9))
+    levels = rows.groupBy("term", "hit").agg(F.count("*").alias("n"))
+    parts = levels.where(F.col("n") > block).select("term", "hit", F.ceil(F.col("n") / block).alias("parts"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
+    return LexicalIndex(rows.join(parts, ["term", "hit"], "left").withColumn("part", part.cast("int")).drop("parts"), levels)
+
+
+def needed_levels(terms: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
+    """(question_id, term, hit) of the postings that the top ``k`` of each question may need, of terms (question_id, term).
+
+    The highest postings of each term, ``k`` at least, give a k-th score that the true one does not fall below. A posting whose hit, with the highest
+    hits of the question's other terms, stays below it belongs to no chunk of the top ``k``: its level is left out.
+    """
+    down = Window.partitionBy("term").orderBy(F.desc("hit"))
+    own = index.levels.join(terms.select("term").distinct(), "term")
+    own = own.withColumn("before", F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = own.withColumn("best", F.max("hit").over(Window.partitionBy("term")))
+    asked = terms.join(own, "term").select("question_id", "term", "hit", "before", "best")
+    first = asked.where(F.col("before") < k).select("question_id", "term", "hit").join(index.rows.select("term", "hit", "chunk_id"), ["term", "hit"])
+    seen = first.groupBy("question_id", "chunk_id").agg(F.sum("hit").alias("score"))
+    floor = top(seen, k, "_rank", F.desc("score"), "chunk_id").where(F.col("_rank") == k).select("question_id", F.col("score").alias("floor"))
+    tops = asked.where("before = 0").groupBy("question_id").agg(F.sum("best").alias("tops"))
+    bound = F.col("hit") + F.col("tops") - F.col("best")
+    kept = asked.join(tops, "question_id").join(floor, "question_id", "left")
+    return kept.where(F.col("floor").isNull() | (bound >= F.col("floor") - 1e-6)).select("question_id", "term", "hit")
+
+
+def lexical_search(questions: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     """Chunks with at least one question term, top ``k`` by weighted hits, ties by chunk_id.
 
-    A question of stop words only has no rows. Terms are made distinct before the join, so a posting counts once.
+    A question of stop words only has no rows. Terms are made distinct before the join, so a posting counts once. Levels of postings that no chunk of
+    the top ``k`` can be in are not read.
     """
+    check_k(k)
     terms = questions.select("question_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
-    hit = F.col("hits_a") * WEIGHT_HEADING + F.col("hits_b") * WEIGHT_BODY
-    scored = terms.join(index, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(hit), 9).alias("fts_score"))
+    needed = needed_levels(terms, index, k)
+    scored = needed.join(index.rows.select("term", "hit", "chunk_id"), ["term", "hit"]).groupBy("question_id", "chunk_id").agg(F.round(F.sum("hit"), 9).alias("fts_score"))
     return top(scored, k, "fts_rank", F.desc("fts_score"), "chunk_id")
 
 
@@ -92,7 +136,7 @@ def fuse(dense: DataFrame, lexical: DataFrame, k_fused: int, rrf_k: int = 60) ->
     return top(lists.withColumn("rrf_score", score), k_fused, "fused_rank", F.desc("rrf_score"), "chunk_id")
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, index: DataFrame, k_dense: int = 20, k_fts: int = 20, k_fused: int = 40, rrf_k: int = 60) -> DataFrame:
+def hybrid_search(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, k_dense: int = 20, k_fts: int = 20, k_fused: int = 40, rrf_k: int = 60) -> DataFrame:
     return fuse(dense_search(questions, chunks, k_dense), lexical_search(questions, index, k_fts), k_fused, rrf_k)
 
 
@@ -111,7 +155,7 @@ def rerank(candidates: DataFrame, scores: DataFrame, top_n: int, rank: str = "fu
 RANKS = {"dense": "dense_rank", "fts": "fts_rank", "hybrid": "fused_rank", "hybrid_rerank": "final_rank"}
 
 
-def search(mode: str, questions: DataFrame, chunks: DataFrame, index: DataFrame, k: int = 20, k_fused: int = 40, score: Callable[[DataFrame], DataFrame] | None = None, top_n: int = 10) -> DataFrame:
+def search(mode: str, questions: DataFrame, chunks: DataFrame, index: LexicalIndex, k: int = 20, k_fused: int = 40, score: Callable[[DataFrame], DataFrame] | None = None, top_n: int = 10) -> DataFrame:
     """The ranked candidates of a retrieval mode. ``score`` gives (question_id, chunk_id, rerank_score) of the fused candidates; scores
     that are no permutation of them, or out of range, leave the question's order alone."""
     if mode not in RANKS:
@@ -169,10 +213,13 @@ def build_context(ranked: DataFrame, k_context: int = 5, rank: str = "final_rank
 
 def rerank_cached(candidates: DataFrame, cache: DataFrame, model: str, score: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores, new, stats): pairs with a cached score take it, the others go to ``score`` on batches of (key, question,
-    content) to (key, rerank_score). Candidates: question_id, chunk_id, question, content."""
+    content) to (key, rerank_score). A score that is missing or out of [0, 1] fails. Candidates: question_id, chunk_id, question, content."""
     keyed = candidates.withColumn("key", F.sha2(F.to_json(F.array(F.lit(model), "question", "content")), 256))
     misses = keyed.select("key", "question", "content").dropDuplicates(["key"]).join(cache, "key", "left_anti")
-    new = misses.mapInPandas(score, "key string, rerank_score double")
+    given = misses.select("key").join(misses.mapInPandas(score, "key string, rerank_score double"), "key", "full")
+    fine = F.col("rerank_score").between(0, 1) & ~F.isnan("rerank_score")
+    checked = F.when(fine, F.col("rerank_score")).otherwise(F.raise_error(F.concat(F.lit("no score in [0, 1] for the pair "), "key")).cast("double"))
+    new = given.select("key", checked.alias("rerank_score"))
     scores = keyed.join(cache.unionByName(new), "key").select("question_id", "chunk_id", "rerank_score")
     stats = keyed.join(cache.select("key", F.lit(True).alias("hit")), "key", "left").agg(F.count_if("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
     return scores, new, stats

@@ -90,8 +90,8 @@ def marked_pages(t: Tables) -> DataFrame:
 
 
 @query("C4_block_kinds", """with d as (select doc_id, doc_id::varchar as n, chr(10) as l from documents), parts as (select doc_id, unnest([{'k': 'heading', 'm': 'Doc ' || n || l || '==='},
-   {'k': 'list', 'm': list_aggregate(list_transform(range(1, doc_id % 4 + 2), lambda i: '- item' || l || '  - nested' || l || l || '  ```' || l || '  # no' || l || l || '  ```' || l || '  item ' || i), 'string_agg', l)},
-   {'k': 'table', 'm': '| a | b |' || l || '|---|:-:|' || l || list_aggregate(list_transform(range(1, doc_id % 3 + 2), lambda i: '| x | ' || i), 'string_agg', l)}, {'k': 'quote', 'm': '> q ' || n || l || 'lazy'},
+   {'k': 'list', 'm': replace(array_to_string(list_transform(range(1, doc_id % 4 + 2), lambda i: '- item' || l || '  - nested' || l || l || '  ```' || l || '  # no' || l || l || '  ```' || l || '  item ' || i), '~~'), '~~', l)},
+   {'k': 'table', 'm': '| a | b |' || l || '|---|:-:|' || l || replace(array_to_string(list_transform(range(1, doc_id % 3 + 2), lambda i: '| x | ' || i), '~~'), '~~', l)}, {'k': 'quote', 'm': '> q ' || n || l || 'lazy'},
    {'k': 'indented', 'm': '    code ' || n || l || l || '    more'}, {'k': case when doc_id % 2 = 0 then 'container' end, 'm': '/// tip' || l || l || '- x' || l || l || 'y' || l || l || '///'}, {'k': 'fence', 'm': '~~~' || l || '# no' || l || l || '```' || l || '~~~'},
    {'k': 'paragraph', 'm': 'last ' || n}]) as p from d) select 'm/' || doc_id || '.md' as source_path, p.k as kind, sha256(p.m) as markdown from parts where p.k is not null""")
 def block_kinds(t: Tables) -> DataFrame:

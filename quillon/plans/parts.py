@@ -64,7 +64,7 @@ def cosine(t: Tables) -> DataFrame:
 @query("D2_terms_postings", f"with {rq.LEXICAL} select question_id, count(*) as n_postings, sum(hits_a)::bigint as hits_a, sum(hits_b)::bigint as hits_b from asked join postings using (term) group by question_id")
 def terms_postings(t: Tables) -> DataFrame:
     terms = rq.asked_texts(t).select("question_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
-    return terms.join(rq.index_of(t), "term").groupBy("question_id").agg(F.count("*").alias("n_postings"), F.sum("hits_a").alias("hits_a"), F.sum("hits_b").alias("hits_b"))
+    return terms.join(rq.index_of(t).rows, "term").groupBy("question_id").agg(F.count("*").alias("n_postings"), F.sum("hits_a").alias("hits_a"), F.sum("hits_b").alias("hits_b"))
 
 
 @query("D3_list_outer_join", f"with {rq.HYBRID} select question_id, count_if(dense_rank is not null and fts_rank is not null) as in_both, count_if(fts_rank is null) as dense_only, count_if(dense_rank is null) as lexical_only from merged group by question_id")

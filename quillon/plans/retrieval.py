@@ -77,9 +77,11 @@ def postings(t: Tables) -> DataFrame:
     return r.postings(text_chunks(t))
 
 
-def index_of(t: Tables) -> DataFrame:
-    """The postings as a table that all lexical queries of a session read, rows of a term side by side."""
-    return built_once(postings(t), "postings", "term")
+def index_of(t: Tables) -> r.LexicalIndex:
+    """The postings and their levels as tables that all lexical queries of a session read, a term's rows of one hit side by side."""
+    rows = built_once(lambda: r.lexical_index(postings(t)).rows, "postings", t.documents, "term", "hit", "part")
+    levels = built_once(lambda: rows.groupBy("term", "hit").agg(F.count("*").alias("n")), "posting-levels", t.documents)
+    return r.LexicalIndex(rows, levels)
 
 
 @query("C24_analyzer", f"with x as ({terms_sql('benchmark', 'item_id', 'text')}) select term, count(*) as n, count(distinct item_id) as n_items from x group by term")
@@ -91,7 +93,7 @@ def analyzer(t: Tables) -> DataFrame:
 @query("B6_any_term_match", f"with {LEXICAL} select question_id, count(distinct chunk_id) as n_candidates from asked join postings using (term) group by question_id")
 def any_term(t: Tables) -> DataFrame:
     terms = asked_texts(t).select("question_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
-    return terms.join(index_of(t), "term").groupBy("question_id").agg(F.count_distinct("chunk_id").alias("n_candidates"))
+    return terms.join(index_of(t).rows, "term").groupBy("question_id").agg(F.count_distinct("chunk_id").alias("n_candidates"))
 
 
 @query("L2_lexical_search", f"with {LEXICAL} select question_id, chunk_id, round(fts_score, 6) as fts_score, fts_rank from fts_top")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _BUILT: dict[tuple, str] = {}
 
@@ -35,15 +37,24 @@ def stored(df: DataFrame, tag: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def built_once(df: DataFrame, tag: str, *by: str) -> DataFrame:
-    """``stored``, once per session and set of input files; a table that has gone is written again."""
-    spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, tag, tuple(sorted(df.inputFiles())))
+def files_of(table: DataFrame) -> tuple[int, int]:
+    """How many files a table read from files has, and a digest of their paths, sizes and times; computed by the tasks that read them."""
+    meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
+    files = table.select(*meta).distinct()
+    found = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("digest")).first()
+    return found["n"], int(found["digest"] or 0)
+
+
+def built_once(build: Callable[[], DataFrame], tag: str, source: DataFrame, *by: str) -> DataFrame:
+    """``stored(build())``, once per session and content of ``source``, a table read from files: written again if its files have changed, or if the
+    built table has gone."""
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, tag, files_of(source))
     if key in _BUILT:
         try:
             return spark.read.parquet(_BUILT[key])
         except AnalysisException:
             del _BUILT[key]
-    found = stored(df, tag, *by)
+    found = stored(build(), tag, *by)
     _BUILT[key] = found.inputFiles()[0].rsplit("/", 1)[0]
     return found

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions import links, numbers, text
 from quillon.operators import agreement, answers, gates, indexing, retrieval, telemetry
 from quillon.plans import QUERIES, Tables
-from quillon.sources import readers
+from quillon.sources import readers, store
 from quillon.streaming import jobs
 
 
@@ -77,6 +77,59 @@ def test_rerank_cached(spark):
     assert tuple(stats.first()) == (1, 2)
 
 
+def test_scores_out_of_range_are_refused(spark):
+    found = spark.createDataFrame([(1, 1, "q", "a")], "question_id long, chunk_id long, question string, content string")
+
+    def score(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "rerank_score": 1.5})
+
+    with pytest.raises(Exception, match="no score"):
+        retrieval.rerank_cached(found, spark.createDataFrame([], "key string, rerank_score double"), "m", score)[0].collect()
+
+
+def plain_lexical(questions, rows, k):
+    return retrieval.top(
+        questions.select("question_id", F.explode(F.array_distinct(text.analyze(F.col("question")))).alias("term")).join(rows, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("hits_a") + F.col("hits_b") * 0.4), 9).alias("fts_score")),
+        k, "fts_rank", F.desc("fts_score"), "chunk_id")
+
+
+def test_levels_of_postings_are_left_out(spark):
+    """Rare heading words decide; the common word's single hits are not read. The rows are those of all postings, whatever k."""
+    rng = random.Random(7)
+    body = lambda k: " ".join(["common"] * rng.choice([1, 1, 1, 1, 9]) + [f"w{rng.randrange(30)}" for _ in range(rng.randrange(8))] + ["rareword"] * (k % 97 == 0) * rng.randrange(1, 9))
+    chunks = spark.createDataFrame([(k, "zebra title" if k % 150 == 0 else None, body(k)) for k in range(3000)], "chunk_id long, heading string, body string")
+    questions = spark.createDataFrame([(1, "common rareword"), (2, "zebra common w1 w2"), (3, "common"), (4, "the of"), (5, "w3 w4 w5 rareword absentword"), (6, "absentword")], "question_id long, question string")
+    found = retrieval.postings(chunks)
+    index = retrieval.lexical_index(found, 50)
+    for k in (1, 5, 40, 5000):
+        got = sorted(map(tuple, retrieval.lexical_search(questions, index, k).collect()))
+        assert got == sorted(map(tuple, plain_lexical(questions, found, k).collect()))
+    terms = questions.select("question_id", F.explode(F.array_distinct(text.analyze(F.col("question")))).alias("term"))
+    read = retrieval.needed_levels(terms, index, 5).join(index.levels, ["term", "hit"]).groupBy("question_id").agg(F.sum("n").alias("n"))
+    whole = {r.question_id: r.n for r in terms.join(index.levels, "term").groupBy("question_id").agg(F.sum("n").alias("n")).collect()}
+    part = {r.question_id: r.n for r in read.collect()}
+    assert part[3] < whole[3] / 2 and all(part[q] <= whole[q] for q in part) and set(part) == {1, 2, 3, 5}
+    parts = index.rows.groupBy("term", "hit", "part").count()
+    assert parts.agg(F.max("count")).first()[0] < 120 and index.rows.where("term = 'common'").count() == 3000
+
+
+def test_built_tables_follow_their_source(spark, tmp_path):
+    """A table that is written anew under the same name is built anew; otherwise it is built once."""
+    path = f"file://{tmp_path}/t"
+    builds = []
+
+    def build():
+        builds.append(1)
+        return spark.read.parquet(path).selectExpr("x + 1 as y")
+
+    for rows in (3, 3, 5):
+        if not builds or rows == 5:
+            spark.range(rows).selectExpr("id as x").coalesce(1).write.mode("overwrite").parquet(path)
+        assert store.built_once(build, "follow", spark.read.parquet(path), "y").count() == rows
+    assert len(builds) == 2
+
+
 def test_kappa_is_undefined_when_chance_is_certain(spark):
     rows = spark.createDataFrame([(i, "k", "s", "A", "A") for i in range(4)], "item_id int, kind string, source string, human string, judge string")
     found = agreement.agreement_scopes(rows).collect()
