@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions.numbers import nearest_rank
 from quillon.functions.text import escape_attribute, escape_content, normalize_label, sentences, slug, token_count
 from quillon.operators import corpus as c
-from quillon.operators import indexing
+from quillon.operators import includes, indexing
 from quillon.plans.registry import Tables, query, r6
 
 BASE = "https://docs.example"
@@ -217,8 +217,8 @@ def one_setup(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg((n <= 1).alias("one_language"), n.alias("n"))
 
 
-@query("B10_golden_problems", """with x as (select item_id, 'q' || lpad(item_id::varchar, 3, '0') as id, ['single_section', 'multi_section', 'unanswerable'][1 + item_id % 3] as type, item_id % 4 <> 0 as answerable, item_id % 5 as g from benchmark where item_id < 1000)
- select id, 'answerable' as rule from x where answerable = (type = 'unanswerable') union all select id, 'grade' from x where g = 0
+@query("B10_golden_problems", """with x as (select item_id, 'q' || case when item_id < 1000 then lpad(item_id::varchar, 3, '0') else item_id::varchar end as id, ['single_section', 'multi_section', 'unanswerable'][1 + item_id % 3] as type, item_id % 4 <> 0 as answerable, item_id % 5 as g from benchmark)
+ select id, 'id' as rule from x where item_id > 999 union all select id, 'answerable' as rule from x where answerable = (type = 'unanswerable') union all select id, 'grade' from x where g = 0
  union all select id, 'too_few_answers' from x where answerable and (case when g = 2 then 1 else 0 end) < (case when type = 'multi_section' then 2 else 1 end) union all select id, 'labels_on_unanswerable' from x where not answerable
  union all select id, 'grade' from x where g > 2""")
 def golden_problems(t: Tables) -> DataFrame:
@@ -242,8 +242,9 @@ def golden_subset(t: Tables) -> DataFrame:
 
 
 def with_directives(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 30
-    text = F.concat(F.lit("start\n{* ../../src/f"), k, F.lit(".py ln[2:3] *}\n/// tip\n\nfirst\n\nsecond\n\n///\n\n<!-- gone -->\n\nend"))
+    """Pages with a fenced include, one inside a list's fence, a container and a comment; every seventh include leads out of the root."""
+    k = F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("../../../src/f")).otherwise(F.lit("../../src/f")), (F.col("doc_id") % 30).cast("string"), F.lit(".py"))
+    text = F.concat(F.lit("start\n{* "), k, F.lit(" ln[2:3] title[\"t\"] *}\n- item\n\n  ```py hl_lines=\"1\"\n  {!> "), k, F.lit(" !}\n  ```\n\n/// tip\n\nfirst\n\nsecond\n\n///\n\n<!-- gone -->\n\nend"))
     return t.documents.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source_path"), text.alias("text"))
 
 
@@ -252,21 +253,23 @@ def code_files(t: Tables) -> DataFrame:
     return t.nation.select(F.concat(F.lit("src/f"), "n_nationkey", F.lit(".py")).alias("path"), lines.alias("text"))
 
 
-@query("C2_includes", """select source || '/' || doc_id || '.md' as source_path, sha256('start' || chr(10) || case when n_name is not null then '# Code above omitted' || chr(10) || n_name || ' 2' || chr(10) || n_name || ' 3' || chr(10) || '# Code below omitted' || chr(10) else '' end
-  || '/// tip' || chr(10) || chr(10) || 'first' || chr(10) || chr(10) || 'second' || chr(10) || chr(10) || '///' || chr(10) || chr(10) || '<!-- gone -->' || chr(10) || chr(10) || 'end') as resolved from documents left join nation on n_nationkey = doc_id % 30""")
-def includes(t: Tables) -> DataFrame:
-    lines, _ = c.resolve_includes(c.page_lines(with_directives(t)), code_files(t))
+@query("C2_includes", """with x as (select source || '/' || doc_id || '.md' as source_path, chr(10) as l, case when doc_id % 7 > 0 then n_name end as n from documents left join nation on n_nationkey = doc_id % 30)
+ select source_path, sha256('start' || l || case when n is not null then '```python title="t"' || l || '# Code above omitted 👆' || l || l || n || ' 2' || l || n || ' 3' || l || l || '# Code below omitted 👇' || l || '```' || l else '' end
+  || '- item' || l || l || '  ```py' || l || case when n is not null then '  ' || n || ' 1' || l || '  ' || n || ' 2' || l || '  ' || n || ' 3' || l || '  ' || n || ' 4' || l || '  ' || n || ' 5' || l else '' end || '  ```' || l || l
+  || '/// tip' || l || l || 'first' || l || l || 'second' || l || l || '///' || l || l || '<!-- gone -->' || l || l || 'end') as resolved from x""")
+def resolved_includes(t: Tables) -> DataFrame:
+    lines, _ = includes.resolve_includes(c.page_lines(with_directives(t)), code_files(t))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "sub_no", "line"))), lambda x: x["line"]), "\n")
     return lines.groupBy("source_path").agg(F.sha2(text, 256).alias("resolved"))
 
 
-@query("D9_include_problems", "select source || '/' || doc_id || '.md' as source_path, 1::bigint as line_no, 'missing_file' as rule from documents where doc_id % 30 >= 25")
+@query("D9_include_problems", """select source || '/' || doc_id || '.md' as source_path, unnest([1, 5])::bigint as line_no, case when doc_id % 7 = 0 then 'outside_root' else 'missing_file' end as rule from documents where doc_id % 30 >= 25 or doc_id % 7 = 0""")
 def include_problems(t: Tables) -> DataFrame:
-    _, problems = c.resolve_includes(c.page_lines(with_directives(t)), code_files(t))
+    _, problems = includes.resolve_includes(c.page_lines(with_directives(t)), code_files(t))
     return problems.withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query("C7_containers", "select source || '/' || doc_id || '.md' as source_path, 3 as n_blocks, 7 as container_lines from documents")
+@query("C7_containers", "select source || '/' || doc_id || '.md' as source_path, 4 as n_blocks, 7 as container_lines from documents")
 def containers(t: Tables) -> DataFrame:
     rows = c.blocks(c.page_lines(with_directives(t)))
     inside = F.max(F.when(F.col("markdown").startswith("///"), F.size(F.split("markdown", "\n"))))
