@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import normalize_question
@@ -24,9 +24,9 @@ def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return read.text(root, wholetext=True).select(F.substring(full, len(own) + 2, 1 << 20).alias("source_path"), F.col("value").alias("text"))
 
 
-def scan_pages(spark: SparkSession, root: str) -> DataFrame:
-    """source_path, text of every Markdown page below ``root``."""
-    return _files(spark, root, "*.md")
+def scan_pages(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """source_path, text of every page below ``root``; a page is a file and a row."""
+    return _files(spark, root, pattern)
 
 
 def scan_code_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
@@ -34,11 +34,24 @@ def scan_code_files(spark: SparkSession, root: str, pattern: str = "*.py") -> Da
     return _files(spark, root, pattern).withColumnRenamed("source_path", "path")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1), line of text files that are read in splits of bytes, whatever their size.
+
+    A split's lines have consecutive ids in one task, so a line's number is its place in its split behind the lines of the splits before, of
+    which only the counts meet.
+    """
+    meta = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split")]
+    rows = spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = rows.groupBy("_path", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_path", "_split", "_first", "_before")
+    return rows.join(splits, ["_path", "_split"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+
+
 def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(items, problems) of JSONL files; problems name the file, the 1-based line and its text. Blank lines do not count."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
     parsed = F.from_json("line", f"{GOLDEN}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    rows = files.where(F.trim("line") != "").select("file", (F.col("at") + 1).alias("line_no"), "line", parsed.alias("item"))
+    rows = numbered_lines(spark, path).where(F.trim("line") != "").select("file", "line_no", "line", parsed.alias("item"))
     bad = F.col("item._bad").isNotNull() | F.col("item").isNull()
     return rows.where(~bad).select("item.*").drop("_bad"), rows.where(bad).select("file", "line_no", "line")
 

@@ -280,6 +280,22 @@ def test_readers(spark, tmp_path):
     assert readers.read_run(spark, f"file://{tmp_path}/run").first().config == "dense"
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Two files read in splits of a few lines each: numbers run on, also with line ends of two characters and a last line without one."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("".join(f"{k} {'x' * (k % 50)}\n" for k in range(1, 901)))
+    (tmp_path / "in/b.jsonl").write_bytes(b"".join(b"%d\r\n" % k for k in range(1, 301)) + b"301")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.numbered_lines(spark, f"file://{tmp_path}/in")
+        assert spark.read.text(f"file://{tmp_path}/in").rdd.getNumPartitions() > 10
+        got = {(r.file, r.line_no): r.line.split()[0] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.jsonl", k): str(k) for k in range(1, 901)} | {("b.jsonl", k): str(k) for k in range(1, 302)}
+
+
 def drain(frame, name):
     q = frame.writeStream.format("memory").queryName(name).outputMode("append" if name == "rates" else "complete").start()
     try:
