@@ -102,7 +102,7 @@ class Codes:
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode ``docs`` (doc_id, text) and write segments in ascending order of doc_id below ``out``.
 
-    One range shuffle of the texts by id; each shard is a range of ids.
+    One range shuffle of the texts by id and, for rows of one id, by text hash; each shard is a range of them.
     """
     path = path or rank_path()
 
@@ -129,9 +129,10 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, segmen
 
     n_shards = shuffle_partitions(docs.sparkSession)
     (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(n_shards, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("_hash"))
+        .repartitionByRange(n_shards, "doc_id", "_hash")
+        .sortWithinPartitions("doc_id", "_hash", "text")
+        .drop("_hash")
         .mapInArrow(segments, SEGMENT)
         .write.parquet(out)
     )
