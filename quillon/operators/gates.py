@@ -127,7 +127,7 @@ def mixed_setups(base: DataFrame, info: DataFrame, run_configs: DataFrame) -> Da
 def target_verdict(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """verdict met, missed or — per (metric, value); targets: metric, target, strict."""
     over = F.when(F.col("strict"), F.col("value") > F.col("target") + SLACK).otherwise(F.col("value") >= F.col("target") - SLACK)
-    return rows.join(F.broadcast(targets), "metric").withColumn("verdict", F.when(F.col("value").isNull(), "—").when(over, "met").otherwise("missed"))
+    return rows.join(targets, "metric").withColumn("verdict", F.when(F.col("value").isNull(), "—").when(over, "met").otherwise("missed"))
 
 
 def rag_value(means: DataFrame, metric: str = "correctness") -> DataFrame:

@@ -97,24 +97,26 @@ def section_groups(t: Tables) -> DataFrame:
     return rows.select("question_id", "section_id", F.col("first").cast("long").alias("first"), (F.col("last") - F.col("first") + 1 == F.col("n")).alias("together"), "n")
 
 
-def shaped(t: Tables, head: str) -> DataFrame:
-    """The first chunk of a page that begins with ``head`` and goes on with a document's words."""
-    words = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+def shaped(t: Tables, head: str, limit: int) -> DataFrame:
+    """The first chunk of a page that begins with ``head`` and goes on with a document's words of small letters."""
+    words = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]+"), F.lit(0)), " ")
     pages = t.documents.select(F.concat(F.lit("p"), "doc_id", F.lit(".md")).alias("source_path"), F.concat(F.lit(head + "Words: "), words).alias("text"))
-    # A limit that no page reaches: long sections are another query's.
-    return stored(c.pack_sections(c.sections(c.blocks(c.page_lines(pages))), 10**9), "shaped").where("ordinal = 0")
+    first = stored(c.pack_sections(c.sections(c.blocks(c.page_lines(pages))), limit), "shaped").where("ordinal = 0")
+    return first.select("source_path", F.sha2("content", 256).alias("first_chunk"))
 
 
-THIN, SMALL = "# T\n\n## A\n\n### B\n\n", "# T\n\n## A\n\none small\n\n## B\n\ntwo small\n\n## C\n\n"
+THIN, SMALL = "# T\n\n## A\n\n### B\n\n", "# T\n\n## A\n\none small\n\n## B\n\ntwo small"
+WORDS = "w as (select doc_id, chr(10) || chr(10) as l, regexp_extract_all(coalesce(text, ''), '[a-z]+') as ws from documents)"
 
 
-@query("C11_thin_parents", "select 'p' || doc_id || '.md' as source_path, true as with_parent from documents")
+@query("C11_thin_parents", f"""with {WORDS} select 'p' || doc_id || '.md' as source_path, sha256(rtrim('# T' || l || '## A' || l || '### B' || l || 'Words: ' || coalesce(array_to_string(ws, ' '), ''))) as first_chunk from w""")
 def thin_parents(t: Tables) -> DataFrame:
-    """An empty parent section opens its child's chunk."""
-    return shaped(t, THIN).select("source_path", F.col("content").contains("## A\n\n### B\n\n").alias("with_parent"))
+    """Empty parent sections open their child's chunk; no page reaches the limit."""
+    return shaped(t, THIN, 10**9)
 
 
-@query("C12_small_siblings", "select 'p' || doc_id || '.md' as source_path, true as joined from documents")
+@query("C12_small_siblings", f"""with {WORDS}, s as (select *, '# T' || l || '## A' || l || 'one small' || l || '## B' || l || 'two small' as small from w)
+ select 'p' || doc_id || '.md' as source_path, sha256(case when len(ws) + 13 <= 60 then rtrim(small || l || '## C' || l || 'Words: ' || coalesce(array_to_string(ws, ' '), '')) else small end) as first_chunk from s""")
 def small_siblings(t: Tables) -> DataFrame:
-    """Two small sections of one parent are one chunk, whatever follows them."""
-    return shaped(t, SMALL).select("source_path", F.col("content").contains("## A\n\none small\n\n## B\n\ntwo small").alias("joined"))
+    """Small sections of one parent are one chunk, and the next one joins them if all fit the limit of 60 words."""
+    return shaped(t, SMALL + "\n\n## C\n\n", 60)
