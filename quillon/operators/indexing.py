@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,12 +67,27 @@ def compatible(version: dict, model: str, dim: int) -> None:
         raise ValueError(f"the index has {version['embedding_model']} with {version['embedding_dim']} dimensions, not {model} with {dim}")
 
 
+def listed_versions(spark: SparkSession, versions_path: str) -> DataFrame | None:
+    """The version rows, the list of what is visible; None before the first."""
+    try:
+        return spark.read.parquet(versions_path)
+    except AnalysisException:
+        return None
+
+
 def publish_index(documents: DataFrame, chunks: DataFrame, versions_path: str, index_path: str, version: dict, dim: int) -> dict:
-    """Write documents and chunks of a version, verify what was written, and append the version row last."""
-    spark = chunks.sparkSession
+    """Write documents and chunks of a version, verify what was written, and append the version row last.
+
+    The row alone makes a version visible. An id that is listed is refused; what a failed run left under an id that is not, is replaced.
+    """
+    spark, number = chunks.sparkSession, version["index_version_id"]
+    listed = listed_versions(spark, versions_path)
+    if listed is not None and not listed.where(F.col("index_version_id") == number).isEmpty():
+        raise ValueError(f"index version {number} is published already")
     for name, df in (("documents", documents), ("chunks", chunks)):
-        df.withColumn("index_version_id", F.lit(version["index_version_id"])).write.mode("append").partitionBy("index_version_id").parquet(f"{index_path}/{name}")
-    mine = F.col("index_version_id") == version["index_version_id"]
+        writer = df.withColumn("index_version_id", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("index_version_id").parquet(f"{index_path}/{name}")
+    mine = F.col("index_version_id") == number
     found = verify_index(*(spark.read.parquet(f"{index_path}/{name}").where(mine) for name in ("documents", "chunks")), dim).first()
     row = version | {"status": "ready" if found["ok"] else "failed", "is_active": False}
     spark.createDataFrame([row]).write.mode("append").parquet(versions_path)
