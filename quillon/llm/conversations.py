@@ -371,3 +371,36 @@ def repair(rows: DataFrame, longest: int = LONGEST, segment: int = SEGMENT) -> D
         found = repair_short(rows.join(long, "key", "left_anti")).unionByName(repair_long(rows.join(long, "key", "left_semi"), segment))
     conv_id = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).cast(kind)
     return found.select(conv_id.alias("conv_id"), *[c for c in found.columns if c != "key"])
+
+
+def sql() -> str:
+    """The rows of ``repair`` over the table conversations, for DuckDB: the least (cost, edits) of each state, row after row. Inserts are left out: at a cost of 5 one
+    never pays, as deleting a row next to it costs 2 at most and has the same effect on what may follow."""
+
+    def row(s: str, cost: str, label: str, line: str | None) -> str:
+        out = f"{s}.o" if line is None else f"{s}.o || chr(10) || {line}"
+        return f"case when {s} is not null then {{'c': {s}.c + {cost}, 'a': {s}.a || '{label}', 'o': {out}}} end"
+
+    def kept(s: str, initial: str) -> str:
+        return f"case when not must and initial = '{initial}' then {row(s, 'extra', 'K', 'line')} end"
+
+    def given(s: str, role: str) -> str:
+        return f"case when not must then {row(s, '1 + extra', 'R', f"'{role}:' || text")} end"
+
+    deleted = [row(f"s{k}", "2", "D", None) for k in range(4)]
+    user = ", ".join(f"{kept(s, 'u')}, {given(s, 'user')}" for s in ("s0", "s1", "s3"))
+    state = "null::struct(c bigint, a varchar, o varchar)"
+    return f"""with recursive told as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint) as codes from conversations),
+ crc as (select *, xor(list_reduce(list_concat([4294967295::bigint], codes), lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295::bigint) % 20 as kind from told),
+ damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy from crc),
+ placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as rn from damaged),
+ faulty as (select *, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by rn) > 1 then 'duplicate' when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' end as fault,
+   left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by rn) || left(role, 1) as pair from placed),
+ lattice as materialized (select conv_id, rn, initial, text, role || ':' || text as line, coalesce(fault in ('blank', 'duplicate'), false) as must, case when fault = 'truncated' then 5 else 0 end as extra from faulty),
+ steps as (select conv_id, 0::bigint as rn, {{'c': 0::bigint, 'a': '', 'o': ''}} as s0, {state} as s1, {state} as s2, {state} as s3 from (select distinct conv_id from conversations)
+   union all select l.conv_id, l.rn, {deleted[0]}, list_min([{deleted[1]}, {kept('s0', 's')}]), list_min([{deleted[2]}, {user}]), list_min([{deleted[3]}, {kept('s2', 'a')}, {given('s2', 'assistant')}])
+   from steps s join lattice l on l.conv_id is not distinct from s.conv_id and l.rn = s.rn + 1),
+ best as (select conv_id, list_min([s0, s3]) as b from steps qualify row_number() over (partition by conv_id order by rn desc) = 1),
+ counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'blank') as blank, count_if(fault = 'duplicate') as duplicate, count_if(fault = 'truncated') as truncated, count_if(pair not in ('su', 'ua', 'au')) as illegal from faulty group by conv_id)
+ select best.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, b.c as cost, b.a as audit, sha256(substr(b.o, 2)) as repaired_sha256
+ from best left join counts on counts.conv_id is not distinct from best.conv_id"""

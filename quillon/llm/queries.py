@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.chunk_bpe import encode_and_decode
 from quillon.llm.common import read_table
 from quillon.llm.conversations import repair
+from quillon.llm.conversations import sql as repair_sql
 from quillon.llm.digest import fingerprints
 from quillon.llm.html_text import extract
 from quillon.llm.line_crf import classify
@@ -21,6 +22,7 @@ from quillon.llm.simhash import near_duplicates
 from quillon.llm.token_files import round_trip
 from quillon.llm.urls import judge as judge_urls
 from quillon.llm.vector_codes import compress
+from quillon.llm.vector_codes import sql as codes_sql
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +99,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the secret scan is SQL: the others need hashes, tokenizers, fitted models or components."""
-    return {"op7_linked_secrets": secrets_sql()}
+    """The others need hashes, tokenizers, fitted models or components."""
+    return {"op7_linked_secrets": secrets_sql(), "op12_dual_tree_codes": codes_sql(), "op13_auction_repair": repair_sql()}

@@ -286,3 +286,26 @@ def in_range(ints: Column) -> Column:
     """True; an error if a component is too large for the squares to be whole numbers of 64 bits."""
     too_large = F.exists(ints, lambda x: F.abs(x) > LARGEST)
     return F.when(too_large, F.raise_error(F.lit(f"a component is larger than {LARGEST} after scaling")).cast("boolean")).otherwise(F.lit(True))
+
+
+def sql(n_parts: int = PARTS, n_entries: int = ENTRIES, rounds: int = ROUNDS) -> str:
+    """The rows of ``compress`` over the table embeddings, whose vectors are of one length, for DuckDB: every part is held against every entry."""
+
+    def assigned(k: int) -> str:
+        return f"""a{k} as materialized (select p.vec_id, p.part, any_value(p.x) as x, min({{'d': p.xx - 2 * list_inner_product(p.x, b.c) + list_inner_product(b.c, b.c), 'e': b.e}}) as n from p join b{k} b using (part) group by p.vec_id, p.part)"""
+
+    def moved(k: int) -> str:
+        return f"""s{k} as (select part, n.e as e, pos, sum(x[pos]) as s, count(*) as cnt from (select *, unnest(range(1, len(x) + 1)) as pos from a{k}) group by all),
+ b{k + 1} as materialized (select b.part, b.e, coalesce(m.c, b.c) as c from b{k} b left join (select part, e, list(floor(s / cnt) order by pos) as c from s{k} group by part, e) m using (part, e))"""
+
+    steps = ",\n ".join(f"{assigned(k)},\n {moved(k)}" for k in range(rounds))
+    return f"""with v as (select vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::double)) as x from embeddings
+   where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ p as materialized (select vec_id, label, part, y as x, list_inner_product(y, y) as xx
+   from (select vec_id, label, part, list_slice(x, part * len(x) // {n_parts} + 1, (part + 1) * len(x) // {n_parts}) as y from (select *, unnest(range({n_parts})) as part from v))),
+ b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as e, x as c from p qualify row_number() over (partition by part order by vec_id) <= {n_entries}),
+ {steps},
+ {assigned(rounds)},
+ digest as (select sha256(string_agg(c::bigint, ',' order by part, e, pos)) as h from (select part, e, unnest(c) as c, unnest(range(len(c))) as pos from b{rounds})),
+ coded as (select vec_id, string_agg(printf('%02x', n.e), '' order by part) as code, sum(n.d)::bigint as error from a{rounds} group by vec_id)
+ select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256 from coded join v using (vec_id) cross join digest"""

@@ -3,6 +3,8 @@ import random
 import re
 import zlib
 
+import duckdb
+import pyarrow as pa
 import pytest
 from quillon.llm import conversations, queries
 
@@ -114,6 +116,15 @@ def test_registered_query_on_a_given_table(spark, sf_dir):
     assert got(queries.queries()["op13_auction_repair"](spark, sf_dir)) == plain_repair(rows)
 
 
+def test_sql_against_whole_texts():
+    rows = table(9, 80, 30)
+    columns = list(zip(*rows, strict=True))
+    conversations_table = pa.table({n: pa.array(c, k) for n, c, k in zip(("conv_id", "turn", "role", "text"), columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
+    con = duckdb.connect()
+    con.register("conversations", conversations_table)
+    assert sorted(con.sql(conversations.sql()).fetchall(), key=repr) == plain_repair(rows)
+
+
 def test_empty_table_and_dropped_conversations(spark):
     assert got(conversations.repair(frame(spark, []))) == []
     gone = next(k for k in range(1000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)

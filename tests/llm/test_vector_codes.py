@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from quillon.llm import queries, vector_codes
@@ -56,6 +57,13 @@ def test_registered_query_on_a_given_table(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(plain_codes(rows))
 
 
+def test_sql_on_a_given_table(sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
+    rows = con.sql("select vec_id, embedding, label from embeddings").fetchall()
+    assert sorted(con.sql(vector_codes.sql()).fetchall()) == sorted(plain_codes(rows))
+
+
 def test_clusters_copies_and_ties(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(0, 1, (40, 8))
