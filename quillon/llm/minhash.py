@@ -49,3 +49,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     named = similar.named_groups(marks, on_sketches, similarity, bucket)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def sql() -> str:
+    """The rows of ``near_duplicates`` over the table documents, for DuckDB: all pairs that share a shingle, and everything that links reach."""
+    return r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+ sets as materialized (select doc_id, case when len(ws) < 2 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as ss from w),
+ members as materialized (select doc_id, len(ss) as n, hash(s) as s from (select doc_id, ss, unnest(ss) as s from sets)),
+ met as (select a.doc_id as u, b.doc_id as v, a.n + b.n as total, count(*) as shared from members a join members b on a.s = b.s and a.doc_id < b.doc_id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n group by all),
+ links as materialized (select u, v from met where 100 * shared >= 80 * (total - shared)),
+ both_ways as materialized (select u, v from links union all select v, u from links),
+ reached as (select doc_id as node, doc_id as root from sets union select v, root from reached join both_ways on u = node where root < v),
+ least as (select node, min(root) as component_id from reached group by node)
+ select doc_id, len(ss)::bigint as n_shingles, component_id, component_id = doc_id as kept from sets join least on node = doc_id"""

@@ -14,6 +14,7 @@ from quillon.llm.digest import fingerprints
 from quillon.llm.html_text import extract
 from quillon.llm.line_crf import classify
 from quillon.llm.minhash import near_duplicates as minhash_duplicates
+from quillon.llm.minhash import sql as minhash_sql
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality_rules import judge as judge_quality
 from quillon.llm.secrets import scan
@@ -99,5 +100,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others need hashes, tokenizers, fitted models or components."""
-    return {"op7_linked_secrets": secrets_sql(), "op12_dual_tree_codes": codes_sql(), "op13_auction_repair": repair_sql()}
+    """The others need hashes that DuckDB lacks, tokenizers or fitted models."""
+    return {"op7_linked_secrets": secrets_sql(), "op11_minhash_odd_sketches": minhash_sql(), "op12_dual_tree_codes": codes_sql(), "op13_auction_repair": repair_sql()}

@@ -1,4 +1,6 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from quillon.llm import minhash, odd_sketch, queries
 
@@ -28,6 +30,13 @@ def test_registered_query_on_a_given_table(spark, sf_dir):
     assert sorted(map(tuple, got)) == expected_rows(docs)
 
 
+def test_sql_against_all_pairs():
+    texts = [*corpus(12), "a b c d e", "a b c d", "B a", "b A", " ", "one"]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
+    assert sorted(con.sql(minhash.sql()).fetchall()) == expected_rows(dict(enumerate(texts)))
+
+
 def test_empty_table_null_ids_and_repeated_rows(docs):
     assert minhash.near_duplicates(docs([])).count() == 0
     rows = minhash.near_duplicates(docs([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, ""), (7, None), (8, "")])).collect()
