@@ -110,8 +110,9 @@ def test_trees_hold_every_row_once(n):
 
 def test_far_clusters_are_assigned_whole():
     rng = np.random.default_rng(0)
-    points = np.repeat(rng.integers(-9, 9, (16, 4)) * 1000, 64, axis=0) + rng.integers(0, 5, (1024, 4))
+    centres = np.stack([rng.permutation(16) for _ in range(4)], axis=1) * 1000
+    points = np.repeat(centres, 64, axis=0) + rng.integers(0, 5, (1024, 4))
     tree = vector_codes.Tree(points[vector_codes.tree_order(points, 32)], 32)
-    entries = np.unique(points // 1000 * 1000, axis=0)
+    entries = np.unique(centres, axis=0)
     whole = sum(np.diff(tree.edges[level])[which].sum() for level, which, _ in vector_codes.assignments(tree, entries) if level >= 0)
     assert whole > 900
