@@ -318,7 +318,7 @@ def credit(t: Tables) -> DataFrame:
 @query("I6_lexical_score", f"with {rq.POSTINGS} select term, round(sum(hits_a * 1.0::double + hits_b * 0.4::double), 6) as score from postings group by term")
 def lexical_score(t: Tables) -> DataFrame:
     hit = F.col("hits_a") * r.WEIGHT_HEADING + F.col("hits_b") * r.WEIGHT_BODY
-    return rq.index_of(t).groupBy("term").agg(F.round(F.sum(hit), 6).alias("score"))
+    return rq.index_of(t).rows.groupBy("term").agg(F.round(F.sum(hit), 6).alias("score"))
 
 
 @query("I7_signal_scales", "select event_id, round(greatest(0, least(1, 1 - value / 200)), 6) as closeness, round((greatest(50, 1 + event_id % 90) - event_id % 90) / greatest(50, 1 + event_id % 90)::double, 6) as strength, round(least(1, value / 100), 6) as share from events")
