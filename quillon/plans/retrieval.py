@@ -79,7 +79,7 @@ def postings(t: Tables) -> DataFrame:
 
 def index_of(t: Tables) -> r.LexicalIndex:
     """The postings and their levels as tables that all lexical queries of a session read, a term's rows of one hit side by side."""
-    rows = built_once(lambda: r.lexical_index(postings(t)).rows, "postings", t.documents, "term", "hit", "part")
+    rows = built_once(lambda: r.lexical_index(stored(postings(t), "raw-postings")).rows, "postings", t.documents, "term", "hit", "part")
     levels = built_once(lambda: rows.groupBy("term", "hit").agg(F.count("*").alias("n")), "posting-levels", t.documents)
     return r.LexicalIndex(rows, levels)
 
