@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.store import stored
+
 SLICES = 64
 
 
@@ -66,14 +68,20 @@ def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])).drop(*[f"_of_{c}" for c in keys])
 
 
+def slice_borders(df: DataFrame, by: list[str], order: str, *more: Column) -> DataFrame:
+    """(by, _borders, more) of each group: its approximate quantiles of ``order``. A quantile sketch depends on the order in which tasks merge it, so the
+    borders are written once: every row and every count is cut at the same ones."""
+    shares = [k / SLICES for k in range(1, SLICES)]
+    return stored(df.groupBy(*by).agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), F.lit(20 * SLICES)).alias("_borders"), *more), "slice-borders")
+
+
 def row_places(df: DataFrame, by: list[str], order: str, *ties: str, name: str = "place") -> DataFrame:
     """``df`` with ``row_number() over (partition by by order by order, ties)`` as the long column ``name``.
 
     Each group is cut into ``SLICES`` ranges of ``order``, a number, at approximate quantiles; rows are numbered within their range behind the
     count of the ranges below, so that a group with most of all rows is spread over tasks. Nulls come first.
     """
-    shares = [k / SLICES for k in range(1, SLICES)]
-    borders = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), F.lit(20 * SLICES)).alias("_borders"))
+    borders = slice_borders(df, by, order)
     slice_of = F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col(order))), F.lit(0))
     rows = beside(df, borders, by).withColumn("_slice", slice_of).drop("_borders")
     below = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,8 +98,7 @@ def placed_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     starts from the exact counts of those below, so that a group with most of all rows is spread over tasks.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    shares = [k / SLICES for k in range(1, SLICES)]
-    borders = counted.groupBy(*by).agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(20 * SLICES)).alias("_borders"), F.sum("_c").alias("_n"))
+    borders = slice_borders(counted, by, value, F.sum("_c").alias("_n"))
     rows = beside(counted, borders, by).select(*by, value, "_c", "_n", F.size(F.filter("_borders", lambda b: b < F.col(value))).alias("_slice"))
     below = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*by, "_slice").agg(F.sum("_c").alias("_c")).select(*by, "_slice", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_start"))

@@ -484,3 +484,15 @@ def test_row_places_of_a_hot_group_with_ties_and_nulls(spark):
     assert numbers.row_places(rows.limit(0), ["g"], "v").count() == 0
     empty = numbers.row_places(rows.where("v is null"), ["g"], "v", "id")
     assert sorted(r.place for r in empty.collect() if r.g == "cold") == list(range(1, 1 + rows.where("v is null and g = 'cold'").count()))
+
+
+def test_slices_of_places_are_cut_at_one_set_of_borders(spark):
+    """Quantile sketches that are merged anew for rows and for counts need not agree."""
+    rows = spark.range(0, 400_000, 1, 32).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % 399_989).cast("double").alias("v"), "id")
+    values = np.sort(np.arange(400_000) * 7919 % 399_989)
+    found = numbers.nearest_rank(rows, "v", {"p50": 50, "p95": 95}, ["g"])
+    assert tuple(found.first())[1:] == (values[199_999], values[379_999], 400_000)
+    places = numbers.row_places(rows, ["g"], "v", "id")
+    assert places.agg(F.count_distinct("place"), F.min("place"), F.max("place")).first() == (400_000, 1, 400_000)
+    for df in (found, numbers.continuous_percentiles(rows, "v", {"p50": 0.5}, ["g"]), places):
+        assert "percentile_approx" not in df._jdf.queryExecution().executedPlan().toString()
