@@ -18,6 +18,9 @@ from quillon.functions.numbers import cosine_distance, rrf_credit
 from quillon.functions.text import analyze, escape_attribute, escape_content
 
 MAX_BROADCAST_QUESTIONS = 20_000
+PAIRS_PER_TASK, MAX_TASKS = 5_000_000, 2_000
+#: Components that are columns of their own: the compiled product of more would be too long for the JVM's compiler.
+MAX_COLUMNS = 64
 WEIGHT_HEADING, WEIGHT_BODY = 1.0, 0.4
 POSTING_BLOCK = 1 << 16
 
@@ -44,26 +47,85 @@ def of_version(chunks: DataFrame, version_id: int) -> DataFrame:
     return chunks.where(F.col("index_version_id") == version_id)
 
 
-def distance_blocks(questions: DataFrame, chunks: DataFrame) -> Iterator[DataFrame]:
-    """All pairs as question_id, chunk_id, distance, a frame for each block of at most about ``MAX_BROADCAST_QUESTIONS`` stated questions.
+def whole(v: Column, width: int) -> Column:
+    """True for a vector of ``width`` components without nulls."""
+    return F.coalesce((F.size(v) == width) & ~F.exists(v, lambda x: x.isNull()), F.lit(False))
+
+
+class Side(NamedTuple):
+    """One side of the pairs: rows with their components as columns of doubles (an array beyond ``MAX_COLUMNS``), and whether they are all there."""
+
+    rows: DataFrame
+    tag: str
+    width: int
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, tag: str, width: int) -> Side:
+        e = F.col("embedding")
+        # A missing component is NaN, so that no column is nullable and the product is straight code; ``_whole`` tells it from a given NaN.
+        parts = [e.alias(f"_{tag}")] if width > MAX_COLUMNS else [F.coalesce(F.get(e, F.lit(i)).cast("double"), F.lit(float("nan"))).alias(f"_{tag}{i}") for i in range(width)]
+        return cls(df.select(key, whole(e, width).alias(f"_whole_{tag}"), *parts), tag, width)
 
-    A block is broadcast and the chunks stream past it once.
-    """
-    asked = questions.select("question_id", F.col("embedding").alias("_q"))
-    n_blocks = -(-max(asked.count(), 1) // MAX_BROADCAST_QUESTIONS)
-    for block in range(n_blocks):
-        part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == block)
-        pairs = chunks.select("chunk_id", "embedding").join(F.broadcast(part), F.lit(True), "inner")
-        yield pairs.select("question_id", "chunk_id", cosine_distance(F.col("embedding"), F.col("_q")).alias("distance"))
+
+def pair_distance(a: Side, b: Side) -> Column:
+    """1 - inner product, summed in the order of the components; NaN or null where a component is missing."""
+    if a.width > MAX_COLUMNS:
+        return cosine_distance(F.col(f"_{a.tag}"), F.col(f"_{b.tag}"))
+    return F.expr(f"1.0D - ({' + '.join(['0.0D', *(f'_{a.tag}{i} * _{b.tag}{i}' for i in range(a.width))])})")
+
+
+def pairs(questions: Side, chunks: Side, within: bool = False) -> DataFrame:
+    """question_id, chunk_id, distance of all pairs, or of those not beyond their question's (_bound, _last). The questions are broadcast."""
+    at = pair_distance(chunks, questions)
+    bound = F.col("_bound")
+    near = F.isnan(bound) | (at < bound) | ((at == bound) & F.coalesce(F.col("chunk_id") <= F.col("_last"), F.lit(True)))
+    found = chunks.rows.join(F.broadcast(questions.rows), near if within else F.lit(True), "inner")
+    return found.select("question_id", "chunk_id", F.when(F.col(f"_whole_{chunks.tag}") & F.col(f"_whole_{questions.tag}"), at).alias("distance"))
+
+
+def nearest(questions: Side, chunks: Side, k: int, within: bool = False) -> DataFrame:
+    return top(pairs(questions, chunks, within), k, "dense_rank", F.asc_nulls_last("distance"), "chunk_id")
 
 
 def dense_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Exact top ``k`` by cosine distance, ties by chunk_id: question_id, chunk_id, distance, dense_rank.
+    """Exact top ``k`` by cosine distance, ties by chunk_id, null distances last: question_id, chunk_id, distance, dense_rank.
 
-    The questions meet all chunks in blocks; a task keeps ``k`` rows per question.
+    The questions meet all chunks in blocks of at most about ``MAX_BROADCAST_QUESTIONS``; a block is broadcast, the chunks are dealt out by the number of
+    pairs and stream past it once. The k-th place among about sqrt(k * n) of the n chunks bounds the true one from above, so only pairs that are not
+    beyond it are put in order: about as many again.
     """
     check_k(k)
-    return reduce(DataFrame.unionByName, [top(rows, k, "dense_rank", "distance", "chunk_id") for rows in distance_blocks(questions, chunks)])
+    size = questions.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    n_chunks, width = chunks.count(), max(size["width"] or 0, 1)
+    n_blocks = -(-max(size["n"], 1) // MAX_BROADCAST_QUESTIONS)
+    step = int((n_chunks / k) ** 0.5)
+    tasks = min(size["n"] * n_chunks // PAIRS_PER_TASK, MAX_TASKS)
+    asked, all_chunks = Side.of(questions, "question_id", "q", width), Side.of(chunks, "chunk_id", "c", width)
+    dealt = all_chunks._replace(rows=all_chunks.rows.repartition(tasks, "chunk_id")) if tasks > 1 else all_chunks
+    some = Side.of(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(step)) == 0), "chunk_id", "c", width)
+    if tasks > 1:
+        some = some._replace(rows=some.rows.repartition(-(-tasks // step) + 1, "chunk_id"))
+    found = []
+    for block in range(n_blocks):
+        part = asked if n_blocks == 1 else asked._replace(rows=asked.rows.where(F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == block))
+        if step > 1:
+            last = nearest(part, some, k).where(F.col("dense_rank") == k).select("question_id", F.col("distance").alias("_bound"), F.col("chunk_id").alias("_last"))
+            bounded = part.rows.join(last, "question_id", "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("nan"))))
+            found.append(nearest(part._replace(rows=bounded), dealt, k, within=True))
+        else:
+            found.append(nearest(part, dealt, k))
+    return reduce(DataFrame.unionByName, found)
+
+
+def mean_distances(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, n, mean_distance over all pairs with all chunks: as the inner product is linear, it is taken with the mean of the chunks."""
+    given = F.col("embedding").isNotNull()
+    means = chunks.where(given).select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("_mean"))
+    n = chunks.agg(F.count("*").alias("_n")).where("_n > 0")
+    rows = questions.join(F.broadcast(n), F.lit(True)).join(F.broadcast(mean), F.lit(True))
+    at = F.when(F.size("_mean") > 0, cosine_distance(F.col("embedding"), F.col("_mean")))
+    return rows.groupBy("question_id").agg(F.sum("_n").alias("n"), F.avg(at).alias("mean_distance"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -496,3 +496,30 @@ def test_slices_of_places_are_cut_at_one_set_of_borders(spark):
     assert places.agg(F.count_distinct("place"), F.min("place"), F.max("place")).first() == (400_000, 1, 400_000)
     for df in (found, numbers.continuous_percentiles(rows, "v", {"p50": 0.5}, ["g"]), places):
         assert "percentile_approx" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_search_orders_bounded_pairs_only(spark, sf_dir):
+    """Against all pairs: copies tie by chunk_id, vectors that are absent or short come last, a question without a vector has the first chunks."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(40, 3)).round(1)
+    rows = [(k, None if k % 500 == 3 else vectors[k % 40].tolist()[: 2 if k % 500 == 4 else 3]) for k in range(1500)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(k, None if k == 9 else rng.normal(size=3).tolist()) for k in range(10)], "question_id long, embedding array<float>")
+    given = {k: np.float32(v).astype(float) for k, v in rows if v is not None and len(v) == 3}
+    found = retrieval.dense_search(asked, chunks, 60)
+    got = {(r.question_id, r.dense_rank): r.chunk_id for r in found.collect()}
+    expected = {}
+    for q in asked.collect():
+        def at(k, q=q):
+            if q.embedding is None or k not in given:
+                return (1, 0.0, k)
+            a, b = given[k], np.float32(q.embedding).astype(float)
+            return (0, 1.0 - (((0.0 + a[0] * b[0]) + a[1] * b[1]) + a[2] * b[2]), k)
+        expected |= {(q.question_id, i + 1): k for i, k in enumerate(sorted(range(1500), key=at)[:60])}
+    assert got == expected
+    whole = {(r.question_id, r.chunk_id) for r in retrieval.dense_search(asked, chunks.where("chunk_id < 70"), 70).collect()}
+    assert whole == {(q, c) for q in range(10) for c in range(70)}
+    # the vectors are searched once for all that is read from them, and means need no pairs
+    for name in ("L10_retrieval_eval", "L11_retrieval_gate"):
+        assert "embedding#" not in QUERIES[name](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_id" not in QUERIES["D1_question_chunk_distance"](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
