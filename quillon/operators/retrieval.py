@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.numbers import cosine_distance, rrf_credit
 from quillon.functions.text import analyze, escape_attribute, escape_content
+from quillon.sources.store import stored
 
 MAX_BROADCAST_QUESTIONS = 20_000
 PAIRS_PER_TASK, MAX_TASKS = 5_000_000, 2_000
@@ -23,6 +24,8 @@ PAIRS_PER_TASK, MAX_TASKS = 5_000_000, 2_000
 MAX_COLUMNS = 64
 WEIGHT_HEADING, WEIGHT_BODY = 1.0, 0.4
 POSTING_BLOCK = 1 << 16
+CHUNKS_PER_TASK = 2_000
+MAX_BROADCAST_LEVELS = 500_000
 
 
 def check_k(k: int) -> None:
@@ -134,7 +137,9 @@ def postings(chunks: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("a"), analyze(F.coalesce("heading", F.lit(""))).alias("terms")),
         F.struct(F.lit(0).alias("a"), analyze(F.coalesce("body", F.lit(""))).alias("terms")),
     )
-    hits = chunks.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.a", F.explode("f.terms").alias("term"))
+    # Chunks are dealt out before their terms are counted, so texts are shuffled instead of postings, and a task counts a bounded number of chunks.
+    dealt = chunks.repartition(-(-max(chunks.count(), 1) // CHUNKS_PER_TASK), "chunk_id")
+    hits = dealt.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.a", F.explode("f.terms").alias("term"))
     return hits.groupBy("term", "chunk_id").agg(F.sum("a").alias("hits_a"), F.sum(1 - F.col("a")).alias("hits_b"))
 
 
@@ -155,7 +160,15 @@ def lexical_index(found: DataFrame, block: int = POSTING_BLOCK) -> LexicalIndex:
     levels = rows.groupBy("term", "hit").agg(F.count("*").alias("n"))
     parts = levels.where(F.col("n") > block).select("term", "hit", F.ceil(F.col("n") / block).alias("parts"))
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
-    return LexicalIndex(rows.join(parts, ["term", "hit"], "left").withColumn("part", part.cast("int")).drop("parts"), levels)
+    # Each of these levels has more than ``block`` postings, so there are few of them.
+    return LexicalIndex(rows.join(F.broadcast(parts), ["term", "hit"], "left").withColumn("part", part.cast("int")).drop("parts"), levels)
+
+
+def matched(asked: DataFrame, index: LexicalIndex) -> DataFrame:
+    """The postings of the levels (question_id, term, hit) of a written table; up to ``MAX_BROADCAST_LEVELS`` of them are broadcast, so
+    the index is not shuffled and the hits of a chunk, whose rows stand side by side, are summed where they are read."""
+    few = asked.count() <= MAX_BROADCAST_LEVELS
+    return index.rows.select("term", "hit", "chunk_id").join(F.broadcast(asked) if few else asked, ["term", "hit"])
 
 
 def needed_levels(terms: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
@@ -169,7 +182,7 @@ def needed_levels(terms: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     own = own.withColumn("before", F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = own.withColumn("best", F.max("hit").over(Window.partitionBy("term")))
     asked = terms.join(own, "term").select("question_id", "term", "hit", "before", "best")
-    first = asked.where(F.col("before") < k).select("question_id", "term", "hit").join(index.rows.select("term", "hit", "chunk_id"), ["term", "hit"])
+    first = matched(stored(asked.where(F.col("before") < k).select("question_id", "term", "hit"), "first-levels"), index)
     seen = first.groupBy("question_id", "chunk_id").agg(F.sum("hit").alias("score"))
     floor = top(seen, k, "_rank", F.desc("score"), "chunk_id").where(F.col("_rank") == k).select("question_id", F.col("score").alias("floor"))
     tops = asked.where("before = 0").groupBy("question_id").agg(F.sum("best").alias("tops"))
@@ -186,8 +199,8 @@ def lexical_search(questions: DataFrame, index: LexicalIndex, k: int) -> DataFra
     """
     check_k(k)
     terms = questions.select("question_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
-    needed = needed_levels(terms, index, k)
-    scored = needed.join(index.rows.select("term", "hit", "chunk_id"), ["term", "hit"]).groupBy("question_id", "chunk_id").agg(F.round(F.sum("hit"), 9).alias("fts_score"))
+    needed = stored(needed_levels(terms, index, k), "needed-levels")
+    scored = matched(needed, index).groupBy("question_id", "chunk_id").agg(F.round(F.sum("hit"), 9).alias("fts_score"))
     return top(scored, k, "fts_rank", F.desc("fts_score"), "chunk_id")
 
 
@@ -231,6 +244,7 @@ def search(mode: str, questions: DataFrame, chunks: DataFrame, index: LexicalInd
         return found
     if score is None:
         raise ValueError("hybrid_rerank needs scores")
+    found = stored(found, "fused")
     given = score(found)
     bad = rerank_problems(found, given).where("rule <> 'missing'").select("question_id").distinct()
     return rerank(found, given.join(bad, "question_id", "left_anti"), top_n)

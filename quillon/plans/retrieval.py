@@ -78,8 +78,8 @@ def postings(t: Tables) -> DataFrame:
 
 
 def index_of(t: Tables) -> r.LexicalIndex:
-    """The postings and their levels as tables that all lexical queries of a session read, a term's rows of one hit side by side."""
-    rows = built_once(lambda: r.lexical_index(stored(postings(t), "raw-postings")).rows, "postings", t.documents, "term", "hit", "part")
+    """The postings and their levels as tables that all lexical queries of a session read, a chunk's rows side by side."""
+    rows = built_once(lambda: r.lexical_index(stored(postings(t), "raw-postings")).rows, "postings", t.documents)
     levels = built_once(lambda: rows.groupBy("term", "hit").agg(F.count("*").alias("n")), "posting-levels", t.documents)
     return r.LexicalIndex(rows, levels)
 
@@ -124,7 +124,7 @@ RERANKED = f"""{HYBRID}, s as (select *, case when question_id % 3 <> 1 or chunk
 
 @query("L4_rerank", f"with {RERANKED} select question_id, chunk_id, fused_rank, round(rerank_score, 6) as rerank_score, case when degraded then 'missing_scores' end as rerank_error, final_rank from final where final_rank <= 10")
 def rerank(t: Tables) -> DataFrame:
-    found = r.hybrid_search(asked_both(t), vectors(t), index_of(t), K, K, 40)
+    found = stored(r.hybrid_search(asked_both(t), vectors(t), index_of(t), K, K, 40), "fused")
     rows = r.rerank(found, scores(found), 10)
     ranks = [F.col(c).cast("long").alias(c) for c in ("fused_rank", "final_rank")]
     return rows.select("question_id", "chunk_id", *ranks, r6("rerank_score"), "rerank_error")
@@ -136,7 +136,7 @@ def rerank(t: Tables) -> DataFrame:
  union all select question_id, 'missing', count(*) from fused where chunk_id % 7 = 0 group by 1
  union all select question_id, 'unknown', count(*) from given where chunk_id = -1 group by 1""")
 def rerank_problems(t: Tables) -> DataFrame:
-    found = r.hybrid_search(asked_both(t), vectors(t), index_of(t), K, K, 40).select("question_id", "chunk_id")
+    found = stored(r.hybrid_search(asked_both(t), vectors(t), index_of(t), K, K, 40).select("question_id", "chunk_id"), "fused")
     given = found.where("chunk_id % 7 <> 0").select("question_id", "chunk_id", F.when(F.col("chunk_id") % 5 == 0, 1.5).otherwise(0.5).alias("rerank_score"))
     extra = found.select("question_id").distinct().select("question_id", F.lit(-1).cast("long").alias("chunk_id"), F.lit(0.5).alias("rerank_score"))
     return r.rerank_problems(found, given.unionByName(extra))

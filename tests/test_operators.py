@@ -523,3 +523,19 @@ def test_dense_search_orders_bounded_pairs_only(spark, sf_dir):
     for name in ("L10_retrieval_eval", "L11_retrieval_gate"):
         assert "embedding#" not in QUERIES[name](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "chunk_id" not in QUERIES["D1_question_chunk_distance"](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lexical_index_is_shuffled_neither_by_term_nor_for_few_questions(spark, monkeypatch):
+    rows = [(k, f"head {k % 3}", " ".join(f"w{(k * j) % 11}" for j in range(1, 8))) for k in range(300)]
+    found = retrieval.postings(spark.createDataFrame(rows, "chunk_id long, heading string, body string"))
+    assert "hashpartitioning(term" not in found._jdf.queryExecution().executedPlan().toString()
+    index = retrieval.lexical_index(store.stored(found, "test-postings"), block=16)
+    assert "hashpartitioning(term#" not in index.rows._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    index = retrieval.LexicalIndex(store.stored(index.rows, "test-index"), store.stored(index.levels, "test-levels"))
+    asked = spark.createDataFrame([(1, "w3 w5 head"), (2, "w7"), (3, "none")], "question_id long, question string")
+    search = retrieval.lexical_search(asked, index, 7)
+    plan = search._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(term" not in plan
+    few = {tuple(r) for r in search.collect()}
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_LEVELS", 0)
+    assert few == {tuple(r) for r in retrieval.lexical_search(asked, index, 7).collect()} and len(few) == 14
