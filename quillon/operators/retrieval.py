@@ -20,7 +20,7 @@ from quillon.sources.store import stored
 
 MAX_BROADCAST_QUESTIONS = 20_000
 PAIRS_PER_TASK, MAX_TASKS = 5_000_000, 2_000
-#: Components that are columns of their own: the compiled product of more would be too long for the JVM's compiler.
+#: Vectors of up to so many components have a column for each; wider ones keep the general product of arrays.
 MAX_COLUMNS = 64
 WEIGHT_HEADING, WEIGHT_BODY = 1.0, 0.4
 POSTING_BLOCK = 1 << 16
