@@ -7,10 +7,12 @@ within each task before the shuffle. Wide chunk fields are joined at the end.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,11 @@ from quillon.functions.numbers import cosine_distance, rrf_credit
 from quillon.functions.text import analyze, escape_attribute, escape_content
 from quillon.sources.store import stored
 
-MAX_BROADCAST_QUESTIONS = 20_000
-PAIRS_PER_TASK, MAX_TASKS = 5_000_000, 2_000
+#: Up to so many pairs are joined as rows; beyond, blocks of so many questions and chunks meet, and a product takes so many questions at once.
+JOINED_PAIRS = 5_000_000
+QUESTION_BLOCK, CHUNK_BLOCK, QUESTIONS_AT_ONCE, MAX_TASKS = 4_096, 16_384, 256, 2_000
+#: Products of vectors up to this norm do not overflow.
+MAX_NORM = 1e150
 #: Vectors of up to so many components have a column for each; wider ones keep the general product of arrays.
 MAX_COLUMNS = 64
 WEIGHT_HEADING, WEIGHT_BODY = 1.0, 0.4
@@ -90,34 +95,100 @@ def nearest(questions: Side, chunks: Side, k: int, within: bool = False) -> Data
     return top(pairs(questions, chunks, within), k, "dense_rank", F.asc_nulls_last("distance"), "chunk_id")
 
 
+def matrix(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of a block in double precision, zeros where there is none; which are given; their norms."""
+    vectors = table["embedding"].combine_chunks()
+    given = vectors.is_valid().to_numpy(zero_copy_only=False)
+    rows = np.zeros((len(given), width))
+    rows[given] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return rows, given, np.sqrt(np.einsum("ij,ij->i", rows, rows))
+
+
+def nearest_of_blocks(questions: pa.Table, chunks: pa.Table, k: int, width: int) -> pa.Table:
+    """question_id, chunk_id, distance: each question's exact top ``k`` of a block of chunks. A vector that is not whole is null.
+
+    A matrix product gives scores with a bound of their error. The k-th best among a part of the chunks bounds the block's k-th one; only pairs that may reach it are
+    summed again, in the order of the components, and sorted. Vectors too large for the bound meet everything; of equal vectors, absent ones
+    and those with NaN, the first ``k`` are enough.
+    """
+    chunks = chunks.take(pc.sort_indices(chunks.select(["chunk_id"]), sort_keys=[("chunk_id", "ascending")], null_placement="at_start"))
+    with np.errstate(all="ignore"):
+        (q, q_given, q_norm), (c, c_given, c_norm) = matrix(questions, width), matrix(chunks, width)
+        kinds = 2 * np.unique(c.view(f"V{8 * width}").ravel(), return_inverse=True)[1] + c_given
+        few = (pd.Series(kinds).groupby(kinds).cumcount() < k).to_numpy()
+        chunks, c, c_given, c_norm = chunks.filter(pa.array(few)), c[few], c_given[few], c_norm[few]
+        q_alike, c_nan = ~q_given | np.isnan(q).any(1), np.isnan(c).any(1)
+        q_plain, c_plain = q_given & (q_norm <= MAX_NORM), np.flatnonzero(c_given & (c_norm <= MAX_NORM))
+        absent = np.flatnonzero(~c_given)[:k]
+        rest = np.concatenate([absent, np.flatnonzero(c_nan)[:k], np.flatnonzero(c_given & ~c_nan & ~(c_norm <= MAX_NORM))])
+        alike = np.concatenate([absent, np.flatnonzero(c_given)[:k]])
+        error = (width + 8) * 2.0**-51
+        wide = np.vstack([c[c_plain].T, c_norm[c_plain]])
+        step = max(1, int((len(c_plain) / (30 * k)) ** 0.5))
+        q_parts, c_parts, found = q.T.copy(), c.T.copy(), []
+        plain, odd = np.flatnonzero(q_plain), np.flatnonzero(~q_plain)
+        for group in [*(plain[i : i + QUESTIONS_AT_ONCE] for i in range(0, len(plain), QUESTIONS_AT_ONCE)), *odd.reshape(-1, 1)]:
+            if q_plain[group[0]]:
+                most = np.column_stack([q[group], error * q_norm[group]]) @ wide
+                least = most[:, ::step] - np.outer(2 * error * q_norm[group], wide[-1, ::step])
+                bound = np.partition(least, -k, axis=1)[:, -k] - 1e-15 if least.shape[1] >= k else np.full(len(group), -np.inf)
+                i, j = np.nonzero(most >= bound[:, None])
+                at_q, at_c = np.concatenate([group[i], np.repeat(group, len(rest))]), np.concatenate([c_plain[j], np.tile(rest, len(group))])
+            else:
+                at_c = alike if q_alike[group[0]] else np.arange(len(c))
+                at_q = np.repeat(group, len(at_c))
+            total = np.zeros(len(at_q))
+            for q_part, c_part in zip(q_parts, c_parts, strict=True):
+                total += c_part[at_c] * q_part[at_q]
+            null = ~(q_given[at_q] & c_given[at_c])
+            distance = np.where(null, 0.0, 1.0 - total)
+            order = np.lexsort((at_c, distance, null, at_q))
+            asked = at_q[order]
+            order = order[np.arange(len(asked)) - np.searchsorted(asked, asked) < k]
+            found.append((at_q[order], at_c[order], distance[order], null[order]))
+    at_q, at_c, distance, null = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
+    return pa.table({"question_id": questions["question_id"].take(pa.array(at_q)), "chunk_id": chunks["chunk_id"].take(pa.array(at_c)), "distance": pa.array(distance, mask=null)})
+
+
+def block_search(questions: DataFrame, chunks: DataFrame, k: int, n_questions: int, n_chunks: int, width: int) -> DataFrame:
+    """``dense_search`` by matrix products: every block of questions meets every block of chunks in a group of its own, whose size is bounded."""
+    n_q, n_c = -(-n_questions // QUESTION_BLOCK), -(-n_chunks // CHUNK_BLOCK)
+    tasks = min(2 * n_q * n_c, MAX_TASKS)
+
+    def blocks(df: DataFrame, key: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        e, kind = F.col("embedding"), df.schema["embedding"].dataType.elementType.typeName()
+        vector = F.when(whole(e, width), e if kind in ("float", "double") else e.cast("array<double>"))
+        rows = df.select(key, vector.alias("embedding"), F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int").alias(own[0]))
+        return rows.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1)))).repartition(tasks, "_q", "_c").groupBy("_q", "_c")
+
+    def best(asked: pa.Table, block: pa.Table) -> pa.Table:
+        return nearest_of_blocks(asked, block, k, width)
+
+    kinds = {**dict(questions.dtypes), **dict(chunks.dtypes)}
+    asked, all_chunks = blocks(questions, "question_id", ("_q", n_q), ("_c", n_c)), blocks(chunks, "chunk_id", ("_c", n_c), ("_q", n_q))
+    found = asked.cogroup(all_chunks).applyInArrow(best, f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, distance double")
+    return top(found, k, "dense_rank", F.asc_nulls_last("distance"), "chunk_id")
+
+
 def dense_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Exact top ``k`` by cosine distance, ties by chunk_id, null distances last: question_id, chunk_id, distance, dense_rank.
 
-    The questions meet all chunks in blocks of at most about ``MAX_BROADCAST_QUESTIONS``; a block is broadcast, the chunks are dealt out by the number of
-    pairs and stream past it once. The k-th place among about sqrt(k * n) of the n chunks bounds the true one from above, so only pairs that are not
-    beyond it are put in order: about as many again.
+    Up to ``JOINED_PAIRS`` pairs are joined: the questions are broadcast and the chunks stream past them; the k-th place among about sqrt(k * n) of the n chunks
+    bounds the true one from above, so only pairs that are not beyond it are put in order. More pairs meet block by block as matrix products.
     """
     check_k(k)
     size = questions.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
     n_chunks, width = chunks.count(), max(size["width"] or 0, 1)
-    n_blocks = -(-max(size["n"], 1) // MAX_BROADCAST_QUESTIONS)
+    if size["n"] * n_chunks > JOINED_PAIRS:
+        return block_search(questions, chunks, k, size["n"], n_chunks, width)
     step = int((n_chunks / k) ** 0.5)
-    tasks = min(size["n"] * n_chunks // PAIRS_PER_TASK, MAX_TASKS)
     asked, all_chunks = Side.of(questions, "question_id", "q", width), Side.of(chunks, "chunk_id", "c", width)
-    dealt = all_chunks._replace(rows=all_chunks.rows.repartition(tasks, "chunk_id")) if tasks > 1 else all_chunks
+    if step <= 1:
+        return nearest(asked, all_chunks, k)
     some = Side.of(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(step)) == 0), "chunk_id", "c", width)
-    if tasks > 1:
-        some = some._replace(rows=some.rows.repartition(-(-tasks // step) + 1, "chunk_id"))
-    found = []
-    for block in range(n_blocks):
-        part = asked if n_blocks == 1 else asked._replace(rows=asked.rows.where(F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == block))
-        if step > 1:
-            last = nearest(part, some, k).where(F.col("dense_rank") == k).select("question_id", F.col("distance").alias("_bound"), F.col("chunk_id").alias("_last"))
-            bounded = part.rows.join(last, "question_id", "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("nan"))))
-            found.append(nearest(part._replace(rows=bounded), dealt, k, within=True))
-        else:
-            found.append(nearest(part, dealt, k))
-    return reduce(DataFrame.unionByName, found)
+    last = nearest(asked, some, k).where(F.col("dense_rank") == k).select("question_id", F.col("distance").alias("_bound"), F.col("chunk_id").alias("_last"))
+    bounded = asked.rows.join(last, "question_id", "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("nan"))))
+    return nearest(asked._replace(rows=bounded), all_chunks, k, within=True)
 
 
 def mean_distances(questions: DataFrame, chunks: DataFrame) -> DataFrame:

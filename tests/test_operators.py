@@ -539,3 +539,28 @@ def test_lexical_index_is_shuffled_neither_by_term_nor_for_few_questions(spark,
     few = {tuple(r) for r in search.collect()}
     monkeypatch.setattr(retrieval, "MAX_BROADCAST_LEVELS", 0)
     assert few == {tuple(r) for r in retrieval.lexical_search(asked, index, 7).collect()} and len(few) == 14
+
+
+def test_dense_search_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """Copies in several blocks, vectors that are absent, short, NaN, infinite, huge or tiny, on both sides: the ranks and distances of the join of all pairs."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(60, 4)).round(1)
+    odd = {3: None, 4: [1.0, 2.0], 5: [float("nan"), 1.0, 0.0, 2.0], 6: [float("inf"), 0.0, 1.0, 1.0], 7: [1e200, -1e200, 1.0, 0.0], 8: [1e-200, 0.0, 0.0, 0.0], 9: [0.0] * 4, 10: [1.0, None, 2.0, 3.0], 11: [-1e155, 1e155, 1e155, 0.0]}
+    vector = lambda k, m: odd[k % m] if k % m in odd else base[k % 60].tolist()
+    chunks = spark.createDataFrame([(k, vector(k, 97)) for k in range(900)], "chunk_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(k, vector(k, 40)) for k in range(80)], "question_id long, embedding array<double>")
+    exact = lambda rows: sorted((r.question_id, r.dense_rank, r.chunk_id, repr(r.distance)) for r in rows.collect())
+    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 30)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 250)
+    for k in (1, 12, 400, 1000):
+        monkeypatch.setattr(retrieval, "JOINED_PAIRS", 10**9)
+        joined = retrieval.dense_search(asked, chunks, k)
+        monkeypatch.setattr(retrieval, "JOINED_PAIRS", 1000)
+        found = retrieval.dense_search(asked, chunks, k)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
+        assert exact(found) == exact(joined)
+    singles, names = asked.withColumn("embedding", F.col("embedding").cast("array<float>")), chunks.withColumn("chunk_id", F.concat(F.lit("é"), "chunk_id"))
+    found = retrieval.dense_search(singles, names, 7)
+    monkeypatch.setattr(retrieval, "JOINED_PAIRS", 10**9)
+    assert exact(found) == exact(retrieval.dense_search(singles, names, 7))
