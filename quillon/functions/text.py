@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The analyzer's stop words and suffix rules (pattern, replacement), applied in order.
+# The analyzer's stop words; two suffix rules (endings, pattern, replacement), applied in order; after them, one letter of these doubled at the end goes.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "with"]
-SUFFIXES = [("([a-z]{2})ies$", "$1y"), ("([a-z]{3})(?:ing|ed|es|s)$", "$1"), ("(b)b$|(d)d$|(g)g$|(m)m$|(n)n$|(p)p$|(r)r$|(t)t$", "$1$2$3$4$5$6$7$8")]
-LAST_LETTERS = list("sgdbmnprt")  # no rule takes a word with another last letter
+SUFFIXES = [(["ies"], "([a-z]{2})ies$", "$1y"), (["ing", "ed", "s"], "([a-z]{3})(?:ing|ed|es|s)$", "$1")]
+DOUBLED = list("bdgmnprt")
 SPACES = " \t\n\x0b\f\r"
 # Control characters that no text holds, as admission and cleaning let none in.
 SWITCH, GUARD = "\x01", "\x04"
@@ -22,13 +25,16 @@ def analyze(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
-    def stem(word: Column) -> Column:
-        stemmed = word
-        for pattern, replacement in SUFFIXES:
-            stemmed = F.regexp_replace(stemmed, pattern, replacement)
-        return F.when(F.right(word, F.lit(1)).isin(*LAST_LETTERS), stemmed).otherwise(word)
+    def ends(word: Column, endings: list[str]) -> Column:
+        return reduce(or_, (word.endswith(e) for e in endings))
+
+    def cut(words: Column, endings: list[str], pattern: str, replacement: str) -> Column:
+        # Patterns are slow, so a rule's pattern is run on the words with its endings only.
+        return F.transform(words, lambda w: F.when(ends(w, endings), F.regexp_replace(w, pattern, replacement)).otherwise(w))
 
-    return F.transform(kept, stem)
+    for rule in SUFFIXES:
+        kept = cut(kept, *rule)
+    return F.transform(kept, lambda w: F.when(ends(w, [2 * x for x in DOUBLED]), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
 
 
 def token_count(text: Column) -> Column:

@@ -215,9 +215,9 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 class LexicalIndex(NamedTuple):
-    """``rows``: the postings with hit (their weight) and part; ``levels``: term, hit, n, the number of postings of a term with that hit.
+    """``rows``: the postings with hit (their weight); ``levels``: term, hit, n, the number of postings of a term with that hit.
 
-    The postings of a term and hit are dealt into parts of about ``POSTING_BLOCK`` by a hash of the chunk, so a hot term stands in many blocks, whose
+    A search reads no more than these. ``lexical_index`` also names parts: the postings of a term and hit are dealt into parts of about ``POSTING_BLOCK`` by a hash of the chunk, so a hot term stands in many blocks, whose
     greatest hit is known without reading them.
     """
 
@@ -225,10 +225,19 @@ class LexicalIndex(NamedTuple):
     levels: DataFrame
 
 
+def weighted(found: DataFrame) -> DataFrame:
+    """Postings (term, chunk_id, hits_a, hits_b) with their weight, hit."""
+    return found.withColumn("hit", F.round(F.col("hits_a") * WEIGHT_HEADING + F.col("hits_b") * WEIGHT_BODY, 9))
+
+
+def levels_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term", "hit").agg(F.count("*").alias("n"))
+
+
 def lexical_index(found: DataFrame, block: int = POSTING_BLOCK) -> LexicalIndex:
     """The index of postings (term, chunk_id, hits_a, hits_b). Nothing is sorted or gathered by term: counts say how many parts there are."""
-    rows = found.withColumn("hit", F.round(F.col("hits_a") * WEIGHT_HEADING + F.col("hits_b") * WEIGHT_BODY, 9))
-    levels = rows.groupBy("term", "hit").agg(F.count("*").alias("n"))
+    rows = weighted(found)
+    levels = levels_of(rows)
     parts = levels.where(F.col("n") > block).select("term", "hit", F.ceil(F.col("n") / block).alias("parts"))
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
     # Each of these levels has more than ``block`` postings, so there are few of them.

@@ -79,8 +79,8 @@ def postings(t: Tables) -> DataFrame:
 
 def index_of(t: Tables) -> r.LexicalIndex:
     """The postings and their levels as tables that all lexical queries of a session read, a chunk's rows side by side."""
-    rows = built_once(lambda: r.lexical_index(stored(postings(t), "raw-postings")).rows, "postings", t.documents)
-    levels = built_once(lambda: rows.groupBy("term", "hit").agg(F.count("*").alias("n")), "posting-levels", t.documents)
+    rows = built_once(lambda: r.weighted(postings(t)), "postings", t.documents)
+    levels = built_once(lambda: r.levels_of(rows), "posting-levels", t.documents)
     return r.LexicalIndex(rows, levels)
 
 
@@ -157,7 +157,8 @@ def context_labels(t: Tables) -> DataFrame:
  select question_id, count(*) as n_sources, sha256(string_agg('<source id="c' || no || '" section="' || section_id || '" url="https://docs.example/' || chunk_id || '">' || chr(10) ||
    regexp_replace(text, '^\\n+|\\n+$', '', 'g') || chr(10) || '</source>', chr(10) || chr(10) order by no)) as context_sha256 from z group by question_id""")
 def build_context(t: Tables) -> DataFrame:
-    found = r.lexical_search(asked_texts(t), index_of(t), K).where("fts_rank <= 5")
+    # Written, so that its size is known before the join: few rows are broadcast, and no text is shuffled.
+    found = stored(r.lexical_search(asked_texts(t), index_of(t), K).where("fts_rank <= 5"), "context-ranks")
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("section_id"), F.col("source").alias("breadcrumb_text"), F.concat(F.lit("https://docs.example/"), "doc_id").alias("url"), F.col("text").alias("content"))
     rows = r.build_context(found.join(docs, "chunk_id"), 5, "fts_rank")
     return rows.select("question_id", "n_sources", F.sha2("context", 256).alias("context_sha256"))

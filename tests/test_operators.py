@@ -564,3 +564,34 @@ def test_dense_search_in_blocks_equals_all_pairs(spark, monkeypatch):
     found = retrieval.dense_search(singles, names, 7)
     monkeypatch.setattr(retrieval, "JOINED_PAIRS", 10**9)
     assert exact(found) == exact(retrieval.dense_search(singles, names, 7))
+
+
+def test_analyzer_runs_patterns_on_few_words(spark):
+    """The rules as one pattern after the other, on every ending of up to four letters that they look at."""
+    import itertools
+    import re
+
+    def stem(w):
+        for pattern, replacement in [(r"([a-z]{2})ies$", r"\1y"), (r"([a-z]{3})(?:ing|ed|es|s)$", r"\1"), (r"([bdgmnprt])\1$", r"\1")]:
+            w = re.sub(pattern, replacement, w)
+        return w
+
+    tails = ["".join(t) for n in range(5) for t in itertools.product("ieszb", repeat=n)] + ["dd", "gging", "nned", "ttes", "rring", "mms", "pp", "lling", "sses", "éies", "3ies", "zzed", "llies", "bbies", "ings", "eds"]
+    words = sorted({head + tail for head in ("", "q", "qx", "qxv", "qx7", "éz") for tail in tails} - {"", *text.STOP_WORDS})
+    given = spark.createDataFrame([(w,) for w in words], "w string").withColumn("got", text.analyze(F.col("w")))
+    assert {r.w: r.got for r in given.collect()} == {w: [stem(w)] for w in words}
+    patterns = str(text.analyze(F.col("w"))._jc)
+    assert patterns.lower().count("regexp_replace") == 2
+
+
+def test_context_texts_are_not_shuffled(spark, sf_dir):
+    """Few found chunks are broadcast to the documents, also where nothing is known of their number before they are written."""
+    for name in ("D4_chunk_fields", "L7_build_context"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+        try:
+            plan = QUERIES[name](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    index = QUERIES["I6_lexical_score"](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "part#" not in index and "Join" not in index
