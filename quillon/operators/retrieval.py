@@ -202,6 +202,10 @@ def mean_distances(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.groupBy("question_id").agg(F.sum("_n").alias("n"), F.avg(at).alias("mean_distance"))
 
 
+def counting_tasks(chunks: DataFrame) -> int:
+    return -(-max(chunks.count(), 1) // CHUNKS_PER_TASK)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """term, chunk_id, hits_a (heading), hits_b (body)."""
     fields = F.array(
@@ -209,7 +213,7 @@ def postings(chunks: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("a"), analyze(F.coalesce("body", F.lit(""))).alias("terms")),
     )
     # Chunks are dealt out before their terms are counted, so texts are shuffled instead of postings, and a task counts a bounded number of chunks.
-    dealt = chunks.repartition(-(-max(chunks.count(), 1) // CHUNKS_PER_TASK), "chunk_id")
+    dealt = chunks.repartition(counting_tasks(chunks), "chunk_id")
     hits = dealt.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.a", F.explode("f.terms").alias("term"))
     return hits.groupBy("term", "chunk_id").agg(F.sum("a").alias("hits_a"), F.sum(1 - F.col("a")).alias("hits_b"))
 

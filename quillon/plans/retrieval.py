@@ -13,6 +13,8 @@ from quillon.plans.registry import Tables, query, r6
 from quillon.sources.store import built_once, stored
 
 K = 20
+#: Spark's own limit.
+MAX_BUCKETS = 100_000
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -78,8 +80,10 @@ def postings(t: Tables) -> DataFrame:
 
 
 def index_of(t: Tables) -> r.LexicalIndex:
-    """The postings and their levels as tables that all lexical queries of a session read, a chunk's rows side by side."""
-    rows = built_once(lambda: r.weighted(postings(t)), "postings", t.documents)
+    """The postings and their levels as tables that all lexical queries of a session read. A chunk's rows stand in one bucket of a bounded number of
+    chunks, where its hits are summed and cut to the best of each question."""
+    buckets = min(r.counting_tasks(t.documents), MAX_BUCKETS)
+    rows = built_once(lambda: r.weighted(postings(t)), "postings", t.documents, "chunk_id", buckets=buckets)
     levels = built_once(lambda: r.levels_of(rows), "posting-levels", t.documents)
     return r.LexicalIndex(rows, levels)
 

@@ -29,14 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
-def stored(df: DataFrame, tag: str, *by: str) -> DataFrame:
-    """``df`` written once, with equal values of ``by`` side by side, and read back."""
+def stored(df: DataFrame, tag: str, *by: str, buckets: int = 0) -> DataFrame:
+    """``df`` written once, with equal values of ``by`` side by side, and read back. With ``buckets``, they stand in so many buckets of a table, and what
+    is grouped by them needs no shuffle."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    if buckets:
+        df.write.format("parquet").bucketBy(buckets, *by).option("path", path).saveAsTable(table_at(path))
+        return df.sparkSession.table(table_at(path))
     out = df.repartition(*by).sortWithinPartitions(*by) if by else df
     out.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_at(path: str) -> str:
+    return path.rsplit("/", 1)[-1].replace("-", "_")
+
+
 def files_of(table: DataFrame) -> tuple[int, int]:
     """How many files a table read from files has, and a digest of their paths, sizes and times; computed by the tasks that read them."""
     meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
@@ -45,16 +53,17 @@ def files_of(table: DataFrame) -> tuple[int, int]:
     return found["n"], int(found["digest"] or 0)
 
 
-def built_once(build: Callable[[], DataFrame], tag: str, source: DataFrame, *by: str) -> DataFrame:
+def built_once(build: Callable[[], DataFrame], tag: str, source: DataFrame, *by: str, buckets: int = 0) -> DataFrame:
     """``stored(build())``, once per session and content of ``source``, a table read from files: written again if its files have changed, or if the
     built table has gone."""
     spark = source.sparkSession
     key = (spark.sparkContext.applicationId, tag, files_of(source))
     if key in _BUILT:
         try:
-            return spark.read.parquet(_BUILT[key])
+            found = spark.read.parquet(_BUILT[key])  # a table's name outlives its files
+            return spark.table(table_at(_BUILT[key])) if buckets else found
         except AnalysisException:
             del _BUILT[key]
-    found = stored(build(), tag, *by)
+    found = stored(build(), tag, *by, buckets=buckets)
     _BUILT[key] = found.inputFiles()[0].rsplit("/", 1)[0]
     return found

@@ -595,3 +595,20 @@ def test_context_texts_are_not_shuffled(spark, sf_dir):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     index = QUERIES["I6_lexical_score"](Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "part#" not in index and "Join" not in index
+
+
+def test_scores_are_summed_and_cut_in_their_bucket(spark, sf_dir, tmp_path, monkeypatch):
+    """Only each bucket's best of a question are shuffled; an index whose files have gone is written again."""
+    t = Tables(spark, sf_dir)
+    plan = QUERIES["L2_lexical_search"](t)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Bucketed: true" in plan and "Exchange hashpartitioning(question_id#" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(question_id#" in line and "chunk_id#" in line]
+    rows = spark.range(50).select("id", (F.col("id") % 7).alias("g"))
+    rows.write.parquet(f"{tmp_path}/given.parquet")
+    given = Tables(spark, str(tmp_path)).given
+    first = store.built_once(lambda: rows, "bucketed", given, "g", buckets=3)
+    again = store.built_once(lambda: rows, "bucketed", given, "g", buckets=3)
+    assert first.inputFiles() == again.inputFiles() and again.count() == 50
+    assert "Exchange" not in again.groupBy("g").count()._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(store, "_BUILT", {key: path + "-gone" for key, path in store._BUILT.items()})
+    assert store.built_once(lambda: rows, "bucketed", given, "g", buckets=3).count() == 50
