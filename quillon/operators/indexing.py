@@ -134,6 +134,21 @@ def embed_cached(texts: DataFrame, cache: DataFrame, embed: Callable[[Iterator[p
     return texts.join(cache.unionByName(new), "key"), new
 
 
+def page_vectors(rows: DataFrame, cache: DataFrame, embed: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """source_path, vectors (ordinal, value) in order, of stored chunk rows in buckets of source_path: ``embed_cached`` without a shuffle of the texts.
+
+    A distinct text is embedded where its first chunk lies. A text that ``embed`` gives no vector has a null.
+    """
+    places = rows.select("source_path", "ordinal", F.col("content_hash").alias("key"))
+    first = places.groupBy("key").agg(F.min(F.struct("source_path", "ordinal")).alias("at")).join(cache, "key", "left_anti")
+    wanted = first.groupBy("at.source_path").agg(F.collect_set("at.ordinal").alias("wanted"))
+    text = F.concat_ws("\n\n", "breadcrumb_text", "content")
+    texts = rows.join(wanted, "source_path").where(F.array_contains("wanted", F.col("ordinal"))).select(F.col("content_hash").alias("key"), text.alias("text"))
+    new = texts.mapInPandas(embed, "key string, value array<float>")
+    found = places.join(cache.unionByName(new), "key", "left")
+    return found.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "value"))).alias("vectors"))
+
+
 def uncached(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """One row: distinct keys that a run would send."""
     return texts.join(cache, "key", "left_anti").agg(F.count_distinct("key").alias("uncached"))
@@ -145,19 +160,20 @@ def build_index(
 ) -> dict:
     """Pages to a verified index version; a ready version of the same configuration is used again.
 
-    Chunks, embeddings of texts that the cache lacks, both tables, the check, the version row last.
+    Chunks, embeddings of texts that the cache lacks, both tables, the check, the version row last. The chunks are shuffled once, into buckets of their
+    pages; what is joined to them comes by page, and only keys, places and vectors are shuffled for it.
     """
     from quillon.operators import corpus
+    from quillon.sources.store import stored
 
     digest = config_hash(config)
     ready = versions.where((F.col("status") == "ready") & (F.col("config_hash") == digest)).orderBy(F.desc("index_version_id")).first()
     if ready:
         return ready.asDict()
-    rows = corpus.with_chunk_ids(corpus.chunks(pages, base_url))
-    text = F.concat_ws("\n\n", "breadcrumb_text", "content")
-    texts = rows.select("chunk_id", text.alias("text"), F.col("content_hash").alias("key"))
-    vectors, _ = embed_cached(texts, cache, embed)
-    chunks = rows.join(vectors.select("chunk_id", F.col("value").alias("embedding")), "chunk_id").withColumnRenamed("source_path", "document_id")
+    buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(corpus.chunks(pages, base_url).repartition(buckets, "source_path"), "chunk-rows", "source_path", buckets=buckets, codec="zstd")
+    chunks = corpus.numbered(rows).join(page_vectors(rows, cache, embed), "source_path")
+    chunks = chunks.withColumn("embedding", F.get("vectors", F.col("ordinal"))["value"]).drop("vectors").withColumnRenamed("source_path", "document_id")
     documents = pages.select(F.col("source_path").alias("document_id"))
     newest = versions.agg(F.coalesce(F.max("index_version_id"), F.lit(0)).alias("v")).first()["v"]
     return publish_index(documents, chunks, versions_path, index_path, {"index_version_id": newest + 1, "config_hash": digest}, dim)

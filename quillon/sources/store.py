@@ -29,15 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
-def stored(df: DataFrame, tag: str, *by: str, buckets: int = 0) -> DataFrame:
+def stored(df: DataFrame, tag: str, *by: str, buckets: int = 0, codec: str = "snappy") -> DataFrame:
     """``df`` written once, with equal values of ``by`` side by side, and read back. With ``buckets``, they stand in so many buckets of a table, and what
     is grouped by them needs no shuffle."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     if buckets:
-        df.write.format("parquet").bucketBy(buckets, *by).option("path", path).saveAsTable(table_at(path))
+        df.write.format("parquet").option("compression", codec).bucketBy(buckets, *by).option("path", path).saveAsTable(table_at(path))
         return df.sparkSession.table(table_at(path))
     out = df.repartition(*by).sortWithinPartitions(*by) if by else df
-    out.write.parquet(path)
+    out.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
