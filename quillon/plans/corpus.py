@@ -117,7 +117,8 @@ def sections(t: Tables) -> DataFrame:
 
 @query("C15_chunks")
 def chunks(t: Tables) -> DataFrame:
-    return c.with_chunk_ids(c.chunks(all_pages(t), BASE)).select("chunk_id", "source_path", "ordinal", "section_id", "breadcrumb_text", "url", "token_count", "content_hash")
+    rows = c.chunks(all_pages(t), BASE).drop("anchor_path", "content")
+    return c.with_chunk_ids(rows).select("chunk_id", "source_path", "ordinal", "section_id", "breadcrumb_text", "url", "token_count", "content_hash")
 
 
 @query("C14_sentences", "with x as (select doc_id, regexp_replace(text, '\\s+$', '') as t from documents) select doc_id, len(regexp_extract_all(t, '[.!?][\"'')\\]*_]{0,3}\\s+')) + 1 as n_sentences from x where t <> ''")
