@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quillon.functions.text import normalize_label, seeded_rank
+from quillon.functions.text import normalize_label, overlap, seeded_rank
+from quillon.sources.store import stored
 
 MAX_DONORS = 4096
+SAMPLED = 64
 SCOPES = "(human, judge), (kind, human, judge), (source, human, judge), (kind, source, human, judge)"
 
 
@@ -102,26 +105,44 @@ def too_alike(donors: DataFrame, sources: DataFrame, max_overlap: float) -> Data
     return both.where(F.size(F.array_intersect("words", "source_words")) / size > max_overlap).select("donor", "source_name")
 
 
+def named_sources(sources: DataFrame) -> DataFrame:
+    """Distinct sources with their name and a number, written once."""
+    named = sources.withColumn("source_name", F.concat_ws("|", "source_question", "source")).dropDuplicates(["source_name"])
+    return stored(named.withColumn("source_no", F.monotonically_increasing_id()), "control-sources")
+
+
+def fitting_pairs(donors: list[Row], bounds: dict[int, str], given: DataFrame, sources: DataFrame, seed: int, max_overlap: float, depth: int) -> DataFrame:
+    """(donor_no, source_question, first (k, source_no, overlap), place): each donor's first ``depth`` questions with a fitting source, in its order.
+
+    A task hashes each of its sources for every donor and goes on with those up to the donor's bound, if it has one; only fitting ones are shuffled, without their texts.
+    """
+    question = given.schema["question_id"].dataType
+    every = F.array(*[F.struct(F.lit(no).alias("donor_no"), F.lit(d["donor"]).alias("donor"), F.lit(d["question_id"]).cast(question).alias("question_id"), F.lit(bounds.get(no)).cast("string").alias("bound")) for no, d in enumerate(donors)])
+    pairs = sources.select("source_question", "source_sections", "source_words", "source_name", "source_no", F.explode(every).alias("d")).where("d.question_id <> source_question")
+    key = seeded_rank(seed, F.concat(F.lit("control-sources:"), "d.donor"), F.col("source_name"))
+    pairs = pairs.withColumn("k", key).where(F.col("d.bound").isNull() | (F.col("k") <= F.col("d.bound"))).withColumn("donor_no", F.col("d.donor_no")).drop("d", "source_name")
+    both = pairs.join(F.broadcast(given.select("donor_no", "sections", "words")), "donor_no")
+    both = both.withColumn("overlap", F.coalesce(overlap(F.col("words"), F.col("source_words")), F.lit(0.0)))
+    fit = both.where(~F.coalesce(F.arrays_overlap("sections", "source_sections"), F.lit(False)) & (F.col("overlap") <= max_overlap))
+    first = fit.groupBy("donor_no", "source_question").agg(F.min(F.struct("k", "source_no", "overlap")).alias("first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("donor_no").orderBy("first"))).where(F.col("place") <= depth)
+
+
 def fitting_sources(donors: list[Row], queue: DataFrame, sources: DataFrame, seed: int, max_overlap: float, depth: int) -> DataFrame:
     """(donor, place, source_question, source, overlap): for each of a stated set of donors the first ``depth`` questions with a fitting source, in
     the donor's own seeded order; of each question the first source.
 
-    What does not fit is found by joins on words and on sections and taken away; the order itself needs a hash of every donor and source.
+    The order needs a hash of every donor and source. A donor's ``depth``-th place among one of ``SAMPLED`` questions bounds its true one, so of the
+    other pairs only about ``SAMPLED * depth`` a donor are looked at, whatever the number of sources; a donor with fewer places there has no bound.
     """
-    spark = queue.sparkSession
-    given = spark.createDataFrame(donors, queue.schema)
-    named = sources.withColumn("source_name", F.concat_ws("|", "source_question", "source")).dropDuplicates(["source_name"])
-    shared = given.select("donor", F.explode("sections").alias("section")).join(named.select("source_name", F.explode("source_sections").alias("section")), "section").select("donor", "source_name")
-    unfit = too_alike(given, named, max_overlap).unionByName(shared).distinct()
-    every = F.array(*[F.struct(F.lit(d["donor"]).alias("donor"), F.lit(d["question_id"]).cast(queue.schema["question_id"].dataType).alias("question_id")) for d in donors])
-    pairs = named.select("source_question", "source_name", F.explode(every).alias("d")).where("d.question_id <> source_question").select("d.donor", "source_question", "source_name")
-    key = seeded_rank(seed, F.concat(F.lit("control-sources:"), "donor"), F.col("source_name"))
-    first = pairs.join(unfit, ["donor", "source_name"], "left_anti").groupBy("donor", "source_question").agg(F.min(F.struct(key.alias("k"), "source_name")).alias("first"))
-    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("donor").orderBy("first"))).where(F.col("place") <= depth)
-    ranked = ranked.select("donor", "place", "source_question", F.col("first.source_name").alias("source_name"))
-    texts = ranked.join(named.select("source_name", "source", "source_words"), "source_name").join(given.select("donor", "words"), "donor")
-    overlap = F.coalesce(F.try_divide(F.size(F.array_intersect("words", "source_words")), F.size("words")), F.lit(0.0))
-    return texts.select("donor", "place", "source_question", "source", overlap.alias("overlap"))
+    spark, named = queue.sparkSession, sources if "source_no" in sources.columns else named_sources(sources)
+    given = spark.createDataFrame([(no, *d) for no, d in enumerate(donors)], StructType([StructField("donor_no", IntegerType()), *queue.schema]))
+    some = named.where(F.pmod(F.xxhash64("source_question"), F.lit(SAMPLED)) == 0)
+    last = fitting_pairs(donors, {}, given, some, seed, max_overlap, depth).where(F.col("place") == depth)
+    bounds = {r["donor_no"]: r["k"] for r in last.select("donor_no", "first.k").collect()}
+    ranked = fitting_pairs(donors, bounds, given, named, seed, max_overlap, depth).select("donor_no", "place", "source_question", "first.source_no", "first.overlap")
+    texts = ranked.join(named.select("source_no", "source"), "source_no").join(F.broadcast(given.select("donor_no", "donor")), "donor_no")
+    return texts.select("donor", "place", "source_question", "source", "overlap")
 
 
 def control_donors(claims: DataFrame, seed: int) -> DataFrame:
@@ -139,7 +160,7 @@ def negative_controls(claims: DataFrame, sources: DataFrame, n: int, seed: int,
     ``2 * n`` questions are used up, so one more fitting question for each claim decides. Only if they do not suffice, the next claims
     follow, eight times as many each time but at most ``MAX_DONORS``.
     """
-    queue, made, used, last, block = control_donors(claims, seed), [], set(), None, 8 * n
+    queue, named, made, used, last, block = control_donors(claims, seed), named_sources(sources), [], set(), None, 8 * n
     while len(made) < n:
         rest = queue if last is None else queue.where(F.struct("_k", "donor") > F.struct(F.lit(last[0]), F.lit(last[1])))
         donors = rest.orderBy("_k", "donor").limit(min(block, MAX_DONORS)).collect()
@@ -147,7 +168,7 @@ def negative_controls(claims: DataFrame, sources: DataFrame, n: int, seed: int,
             break
         last, block = (donors[-1]["_k"], donors[-1]["donor"]), 8 * block
         found: dict[str, list] = {}
-        for r in fitting_sources(donors, queue, sources, seed, max_overlap, 2 * n + 1).orderBy("donor", "place").collect():
+        for r in fitting_sources(donors, queue, named, seed, max_overlap, 2 * n + 1).orderBy("donor", "place").collect():
             found.setdefault(r["donor"], []).append(r)
         for d in donors:
             free = [r for r in found.get(d["donor"], []) if r["source_question"] not in used]
