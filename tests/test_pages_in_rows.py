@@ -99,7 +99,12 @@ def test_index_build_shuffles_texts_into_buckets_only(spark, pages, tmp_path, mo
     none = spark.createDataFrame([], "index_version_id long, config_hash string, status string, is_active boolean")
     rows = c.with_chunk_ids(c.chunks(pages, "https://d")).withColumn("text", F.concat_ws("\n\n", "breadcrumb_text", "content"))
     cache = rows.where("startswith(text, 'About A')").select(F.col("content_hash").alias("key"), F.array(F.lit(0.0), F.lit(-1.0)).cast("array<float>").alias("value")).dropDuplicates(["key"])
-    assert indexing.build_index(pages, "https://d", cache, embed, none, *places, {}, 2)["status"] == "ready"
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        assert indexing.build_index(pages, "https://d", cache, embed, none, *places, {}, 2)["status"] == "ready"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     found = spark.read.parquet(f"{places[1]}/chunks")
     vector = F.when(F.col("text").startswith("About A"), F.array(F.lit(0.0), F.lit(-1.0))).otherwise(F.array(F.length("text").cast("double"), F.lit(1.0)))
     columns = ["chunk_id", "source_path", "ordinal", "section_id", "anchor_path", "breadcrumb_text", "url", "content", "token_count", "content_hash"]
